@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundset.functions import urls
-from groundset.operators.skew import ROWS_PER_TASK, join_spread
+from groundset.operators.skew import ROWS_PER_TASK, join_spread, with_prefix
 from groundset.sources.dimensions import BLOCKED_HOSTS
 
 # Status names and limits.
@@ -111,25 +111,13 @@ def fetch_schedule(
     key: str = "host",
     arrival: str = "arrival_s",
     tie: str = "request_id",
-    block_seconds: int = 3600,
 ) -> DataFrame:
     """Earliest polite fetch time per request: `delay` seconds after the previous one of its key.
 
     Closed form of the sequential rule: with i the position in the key, the slot is
-    max over earlier j of (arrival_j - j*delay) + i*delay. Position and running maximum are taken
-    per time block first and joined with the block totals, so a key holding a third of all
-    requests is still split over many tasks.
+    max over j <= i of (arrival_j - j*delay) + i*delay.
     """
-    df = requests.withColumn("_block", F.floor(F.col(arrival) / block_seconds))
-    inside = Window.partitionBy(key, "_block").orderBy(arrival, tie)
-    df = df.withColumn("_i", F.row_number().over(inside)).withColumn(
-        "_lead", F.max(F.col(arrival) - F.col("_i") * delay).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    blocks = df.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"), F.max("_lead").alias("_top"))
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    blocks = blocks.withColumn("_prior", F.max(F.col("_top") - F.col("_offset") * delay).over(before))
-    df = df.join(blocks.select(key, "_block", "_offset", "_prior"), [key, "_block"])
-    position = F.col("_offset") + F.col("_i")
-    slot = F.greatest("_prior", F.col("_lead") - F.col("_offset") * delay) + position * delay
-    return df.select(*requests.columns, slot.alias("fetch_s"))
+    numbered = with_prefix(requests, [key], [arrival, tie], count="_i")
+    lead = F.col(arrival) - F.col("_i") * delay
+    scanned = with_prefix(numbered, [key], [arrival, tie], running_max={"_lead": lead})
+    return scanned.select(*requests.columns, (F.col("_lead") + F.col("_i") * delay).alias("fetch_s"))

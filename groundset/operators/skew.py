@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundset.session import cut_lineage
+
 ROWS_PER_TASK = 1_000_000
 
 
@@ -33,3 +35,47 @@ def join_spread(
     )
     joined = dealt.drop("_salts").join(repeated.drop("_salts"), [*on, "_salt"], how)
     return joined.drop("_salt")
+
+
+def range_blocks(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows sorted into range partitions over (group, order), the partition number in `_block`.
+
+    Blocks are even however the groups are sized, and a group's blocks follow its order. The
+    result is checkpointed, since range bounds come from a sample and must not move afterwards.
+    """
+    ranged = df.repartitionByRange(*group, *order).withColumn("_block", F.spark_partition_id())
+    return cut_lineage(ranged)
+
+
+def with_prefix(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    count: str | None = None,
+    running_max: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Running row number and running maxima per group without a one-task window.
+
+    Each block is scanned by itself; block totals (one row per group and block) are combined and
+    joined back. `running_max` maps a name to the value whose maximum so far is wanted.
+    """
+    running_max = running_max or {}
+    keys = [*group, "_block"]
+    df = range_blocks(df, group, order)
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = df.withColumn("_n", F.count(F.lit(1)).over(inside))
+    for name, value in running_max.items():
+        scanned = scanned.withColumn(f"_in_{name}", F.max(value).over(inside))
+    totals = scanned.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.max(f"_in_{n}").alias(f"_top_{n}") for n in running_max]
+    )
+    totals = totals.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    for name in running_max:
+        totals = totals.withColumn(f"_top_{name}", F.max(f"_top_{name}").over(before))
+    joined = scanned.join(totals.drop("_rows"), keys)
+    out = [F.col(c) for c in df.columns if c != "_block"]
+    if count:
+        out.append((F.col("_offset") + F.col("_n")).alias(count))
+    out += [F.greatest(f"_in_{n}", f"_top_{n}").alias(n) for n in running_max]
+    return joined.select(*out)

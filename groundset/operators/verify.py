@@ -18,6 +18,7 @@ UNGROUNDED_NAMES = ("date", "posted_date", "created_at", "updated_at")
 UNGROUNDED_VALUES = r"^\s*\d{4}-\d{2}-\d{2}|^https?://"
 
 SHINGLE_WORDS = 3
+SHORT_PIECE = 4
 
 
 def _skips(name: str, value: Column, data_type: T.DataType, types: dict[str, str] | None) -> Column | None:
@@ -154,14 +155,16 @@ def snippets_in_documents(snippets: DataFrame, documents: DataFrame) -> DataFram
         unique.filter(F.size("_anchors") > 0),
         docs.withColumn("_anchors", _word_shingles(F.col("_doc"), False)),
     )
-    piece = F.least(F.length("_snip"), F.lit(4))
-    short = unique.filter(F.size("_anchors") == 0).withColumn("_size", piece)
-    sizes = short.agg(F.collect_set("_size").alias("_sizes"))  # at most four lengths
-    cut = docs.crossJoin(F.broadcast(sizes.filter(F.size("_sizes") > 0)))
-    short_pairs = _pairs_on_anchor(
-        short.withColumn("_anchors", _letter_grams(F.col("_snip"), F.array("_size"))),
-        cut.withColumn("_anchors", _letter_grams(F.col("_doc"), F.col("_sizes"))),
-    )
-    pairs = long_pairs.unionByName(short_pairs)
+    short = unique.filter(F.size("_anchors") == 0)
+    pairs = long_pairs
+    if not short.isEmpty():
+        piece = F.least(F.length("_snip"), F.lit(SHORT_PIECE))
+        lengths = F.sequence(F.lit(1), F.lit(SHORT_PIECE))
+        pairs = pairs.unionByName(
+            _pairs_on_anchor(
+                short.withColumn("_anchors", _letter_grams(F.col("_snip"), F.array(piece))),
+                docs.withColumn("_anchors", _letter_grams(F.col("_doc"), lengths)),
+            )
+        )
     found = pairs.join(docs, "doc_id").filter(F.col("_doc").contains(F.col("_snip"))).select("_snip", "doc_id")
     return found.join(snips, "_snip").select("snippet_id", "doc_id")
