@@ -214,7 +214,7 @@ def confidence(filled: Column, total_fields: int, sources: Column, flag_count: C
 def source_counts(evidence: DataFrame) -> DataFrame:
     """Distinct non-empty sources per record, one row per (record, source) before the count."""
     given = evidence.filter(F.coalesce(F.col("source_id").cast("string"), F.lit("")) != "")
-    pairs = given.groupBy("run_id", "dedupe_key", "source_id").agg()
+    pairs = given.select("run_id", "dedupe_key", "source_id").distinct()
     return pairs.groupBy("run_id", "dedupe_key").agg(F.count(F.lit(1)).alias("n_sources"))
 
 

@@ -52,18 +52,19 @@ def _signature(length: Column, i: Column, piece: Column) -> Column:
     return F.xxhash64("run_id", length, i, piece)
 
 
-def _sketch(value: Column) -> Column:
-    """64-bit parity sketch of (character, occurrence): each edit flips one bit, so the bit
+def _with_sketch(strings: DataFrame) -> DataFrame:
+    """Add a 64-bit parity sketch of (character, occurrence): each edit flips one bit, so the bit
     difference of two strings never exceeds their distance."""
-    chars = F.array_sort(F.filter(F.split(value, ""), lambda c: c != ""))
+    df = strings.withColumn("_chars", F.array_sort(F.filter(F.split("s", ""), lambda c: c != "")))
     bits = F.transform(
-        chars,
+        "_chars",
         lambda c, i: F.call_function(
             "shiftleft", F.lit(1).cast("bigint"),
-            F.pmod(F.xxhash64(c, i - F.array_position(chars, c)), F.lit(64)).cast("int"),
+            F.pmod(F.xxhash64(c, i - F.array_position("_chars", c)), F.lit(64)).cast("int"),
         ),
     )
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseXOR(b))
+    sketch = F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseXOR(b))
+    return df.withColumn("sketch", sketch).drop("_chars")
 
 
 def _index_rows(nodes: DataFrame, threshold: int) -> DataFrame:
@@ -174,13 +175,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 
 def _distinct_strings(nodes: DataFrame) -> DataFrame:
     """Equal strings share their first position: similarity only looks at the string."""
-    return (
-        nodes.filter(F.length("s") > 0)
-        .groupBy("run_id", "s")
-        .agg(F.min("idx").alias("idx"))
-        .withColumn("len", F.length("s"))
-        .withColumn("sketch", _sketch(F.col("s")))
-    )
+    firsts = nodes.filter(F.length("s") > 0).groupBy("run_id", "s").agg(F.min("idx").alias("idx"))
+    return _with_sketch(firsts.withColumn("len", F.length("s")))
 
 
 def similar_pairs(nodes: DataFrame, threshold: int = MERGE_THRESHOLD, hot_pairs: int = HOT_PAIRS) -> DataFrame:

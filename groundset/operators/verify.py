@@ -102,14 +102,17 @@ def verify_for_spec(records: DataFrame, pages: DataFrame, spec: TaskSpec, **opti
     return verify_records(records, pages, spec.names, {f.name: f.type for f in spec.fields}, **options)
 
 
-def _word_shingles(value: Column, inner_only: bool) -> Column:
-    """Runs of three words; a snippet may start and end inside a word, so its outer words drop."""
-    words = F.filter(F.split(value, " "), lambda w: w != "")
+def _with_shingles(df: DataFrame, column: str, inner_only: bool) -> DataFrame:
+    """Add `_anchors`, the runs of three words; a snippet may start and end inside a word, so its
+    outer words drop. The word list is a column of its own, split once per row."""
+    words = F.filter(F.split(column, " "), lambda w: w != "")
     if inner_only:
         words = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    n = F.size(words) - (SHINGLE_WORDS - 1)
+    df = df.withColumn("_words", words)
+    n = F.size("_words") - (SHINGLE_WORDS - 1)
     starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE_WORDS), " "))))
+    shingle = F.transform(starts, lambda i: F.xxhash64(*[F.try_element_at("_words", i + k) for k in range(SHINGLE_WORDS)]))
+    return df.withColumn("_anchors", F.array_distinct(shingle)).drop("_words")
 
 
 def _letter_grams(value: Column, sizes: Column) -> Column:
@@ -150,10 +153,10 @@ def snippets_in_documents(snippets: DataFrame, documents: DataFrame) -> DataFram
     """
     snips = snippets.select("snippet_id", normalize_for_match(F.col("text")).alias("_snip")).filter(F.col("_snip") != "")
     docs = documents.select("doc_id", normalize_for_match(F.col("text")).alias("_doc"))
-    unique = snips.select("_snip").distinct().withColumn("_anchors", _word_shingles(F.col("_snip"), True))
+    unique = _with_shingles(snips.select("_snip").distinct(), "_snip", True)
     long_pairs = _pairs_on_anchor(
         unique.filter(F.size("_anchors") > 0),
-        docs.withColumn("_anchors", _word_shingles(F.col("_doc"), False)),
+        _with_shingles(docs, "_doc", False),
     )
     short = unique.filter(F.size("_anchors") == 0)
     pairs = long_pairs
