@@ -98,6 +98,11 @@ def _lcs_udf(first: pd.Series, second: pd.Series) -> pd.Series:
     )
 
 
+# Marked non-deterministic so that the optimiser neither repeats them nor moves filters below them.
+_partial_match_udf = _partial_match_udf.asNondeterministic()
+_lcs_udf = _lcs_udf.asNondeterministic()
+
+
 def partial_match_where(needed: Column, first: Column, second: Column, threshold: int) -> Column:
     """`partial_match` on rows where `needed` holds; elsewhere null, and no text goes to Python."""
     return _partial_match_udf(F.when(needed, first), F.when(needed, second), F.lit(threshold))

@@ -65,6 +65,11 @@ def _unescape_nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", html.unescape(v)), na_action="ignore")
 
 
+# Marked non-deterministic so that the optimiser neither repeats them nor moves filters below them.
+_nfkc = _nfkc.asNondeterministic()
+_unescape_nfkc = _unescape_nfkc.asNondeterministic()
+
+
 def _only_where(needed: Column, udf, value: Column) -> Column:
     """Send a value to Python only where the native path cannot decide; other rows ship a null."""
     return F.when(needed, udf(F.when(needed, value))).otherwise(value)

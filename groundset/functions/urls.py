@@ -228,6 +228,9 @@ def _ipv6_class(names: pd.Series) -> pd.Series:
     return names.map(classify, na_action="ignore")
 
 
+_ipv6_class = _ipv6_class.asNondeterministic()
+
+
 def address_class(name: Column, ipv6: bool = True) -> Column:
     """'private' or 'public' for address literals, 'name' for anything else.
 

@@ -112,9 +112,10 @@ def _probe_rows(nodes: DataFrame, threshold: int) -> DataFrame:
         return _signature(F.col("short"), F.col("i"), piece)
 
     signatures = F.array_distinct(F.transform(shifts, signature))
+    # The outer form: plain explode would infer a size filter and hash everything twice.
     return rows.select(
-        "run_id", "idx", "len", "sketch", F.explode(signatures).alias("sig"), F.lit(False).alias("shorter")
-    )
+        "run_id", "idx", "len", "sketch", F.explode_outer(signatures).alias("sig"), F.lit(False).alias("shorter")
+    ).filter(F.col("sig").isNotNull())
 
 
 def _postings(nodes: DataFrame, threshold: int, hot_pairs: int) -> DataFrame:

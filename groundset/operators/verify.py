@@ -132,8 +132,9 @@ def _letter_grams(value: Column, sizes: Column) -> Column:
 
 def _pairs_on_anchor(snippets: DataFrame, documents: DataFrame) -> DataFrame:
     """Pair each snippet with the documents holding the rarest of its anchors."""
-    wanted = snippets.select("_snip", F.explode("_anchors").alias("anchor"))
-    held = documents.select("doc_id", F.explode("_anchors").alias("anchor")).join(
+    # The outer form: plain explode would infer a size filter and compute the anchors twice.
+    wanted = snippets.select("_snip", F.explode_outer("_anchors").alias("anchor"))
+    held = documents.select("doc_id", F.explode_outer("_anchors").alias("anchor")).join(
         wanted.select("anchor").distinct(), "anchor", "left_semi"
     )
     counts = held.groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))

@@ -83,7 +83,7 @@ def main() -> None:
             else:
                 found = None if df.count() >= 0 else "?"
         except Exception as exc:  # noqa: BLE001
-            found = f"{type(exc).__name__}: {str(exc)[:1500]}"
+            found = f"{type(exc).__name__}: {str(exc)[:700]}"
         kind = "sql" if name in oracles else "rows"
         print(f"{'ok ' if found is None else 'BAD'} {name} [{kind}] {time.time() - start:.1f}s", found or "", flush=True)
         if found:
