@@ -331,7 +331,7 @@ def progress_percent(status: Column, deduped: Column, target: Column) -> Column:
 
 def duration_seconds(started: Column, finished: Column) -> Column:
     seconds = (F.unix_millis(finished) - F.unix_millis(started)) / 1000
-    return F.greatest(F.lit(0), F.floor(seconds + 0.5)).cast("bigint")
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0), F.floor(seconds + 0.5)).cast("bigint"))
 
 
 def run_timing(events: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ _DERIVED = {
                case when o_orderstatus = 'F' then @plus(o_orderdate, o_orderkey % 3600) end as finished_at
         from orders""",
     "records": """
-        select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as record_id,
+        select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string) as record_id,
                cast(l_orderkey as string) as run_id, l_linenumber,
                'part ' || cast(l_partkey as string) as name,
                case when l_linenumber % 3 = 0 then '' when l_linenumber % 5 = 0 then null
@@ -66,7 +66,7 @@ _DERIVED = {
                @plus(timestamp '2024-02-01 00:00:00', l_linenumber) as created_at
         from lineitem""",
     "sources": """
-        select 's' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as source_id,
+        select 's' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string) as source_id,
                cast(l_orderkey as string) as run_id,
                'https://d' || cast(l_suppkey % 7 as string) || '.example.com/' || cast(l_partkey as string) as url,
                'd' || cast(l_suppkey % 7 as string) || '.example.com' as domain,
@@ -75,17 +75,19 @@ _DERIVED = {
                case when l_linenumber % 2 = 0 then 'Insufficient text content after extraction' else 'HTTP 404' end as reason,
                cast(l_linenumber % 5 as bigint) as records_found,
                @plus(l_shipdate, l_linenumber) as fetched_at
-        from lineitem""",
+        from lineitem
+        union all
+        select 'o' || cast(o_orderkey as string) as source_id, cast(o_orderkey as string) as run_id,
+               'https://shop.example.com/' || cast(o_orderkey as string) as url, 'shop.example.com' as domain,
+               'fetched' as status, 'OK' as reason, cast(o_orderkey % 3 as bigint) as records_found, o_orderdate as fetched_at
+        from orders""",
     "evidence": """
-        select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as record_id,
-               cast(l_orderkey as string) as run_id,
-               's' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as source_id,
+        select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string) as record_id, cast(l_orderkey as string) as run_id, 's' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string) as source_id,
                case when l_linenumber % 4 = 0 then '' else 'seen ' || cast(l_suppkey as string) end as snippet,
                cast(0 as bigint) as position
         from lineitem
         union all
-        select cast(l_orderkey as string) || '-1' as record_id, cast(l_orderkey as string) as run_id,
-               's' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as source_id,
+        select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string) as record_id, cast(l_orderkey as string) as run_id, 'o' || cast(l_orderkey as string) as source_id,
                'also ' || cast(l_linenumber as string) as snippet, cast(l_linenumber as bigint) as position
         from lineitem where l_linenumber > 1""",
     "run_events": """
