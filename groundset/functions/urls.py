@@ -190,6 +190,12 @@ IPV4_BLOCKS = (
 )
 IPV4_GLOBAL = ("192.0.0.9", "192.0.0.10")
 
+# The same blocks by their leading octets, so that one pattern decides.
+_PRIVATE_IPV4 = (
+    r"^(?:0|10|127|22[4-9]|23\d|24\d|25[0-5])\.|^169\.254\.|^172\.(?:1[6-9]|2\d|3[01])\."
+    r"|^192\.168\.|^192\.0\.[02]\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
+)
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
@@ -198,18 +204,8 @@ def is_ipv4(name: Column) -> Column:
     return name.rlike(_IPV4)
 
 
-def _ipv4_number(name: Column) -> Column:
-    octets = F.split(name, r"\.")
-    return sum(F.try_element_at(octets, F.lit(i + 1)).try_cast("bigint") * (256 ** (3 - i)) for i in range(4))
-
-
 def is_private_ipv4(name: Column) -> Column:
-    number = F.when(is_ipv4(name), _ipv4_number(name))
-    inside = F.lit(False)
-    for block in IPV4_BLOCKS:
-        net = ipaddress.ip_network(block)
-        inside = inside | number.between(int(net.network_address), int(net.broadcast_address))
-    return F.coalesce(inside & ~name.isin(*IPV4_GLOBAL), F.lit(False))
+    return is_ipv4(name) & name.rlike(_PRIVATE_IPV4) & ~name.isin(*IPV4_GLOBAL)
 
 
 @F.pandas_udf(T.StringType())

@@ -26,8 +26,8 @@ def host_facts(robots_rules: DataFrame | None, dns: DataFrame | None) -> DataFra
         rule = F.struct("rule_idx", "allow", "path_prefix")
         parts.append(robots_rules.groupBy("host").agg(F.array_sort(F.collect_list(rule)).alias("rules")))
     if dns is not None:
-        private = urls.address_class(F.col("ip")) != "public"
-        parts.append(dns.groupBy("host").agg(F.bool_or(private).alias("resolves_private")))
+        classed = dns.select("host", (urls.address_class(F.col("ip")) != "public").alias("private"))
+        parts.append(classed.groupBy("host").agg(F.bool_or("private").alias("resolves_private")))
     if not parts:
         return None
     return parts[0] if len(parts) == 1 else parts[0].join(parts[1], "host", "full")

@@ -1 +1,153 @@
-"""placeholder"""
+"""Checked queries: Structured Streaming jobs drained over whole tables in several micro-batches."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from groundset.plans.catalog import query
+from groundset.plans.check_records import _LEADERS, _SCORE, PART_SPEC, _parts
+from groundset.plans.derived import derived, derived_sql
+from groundset.session import scratch_path
+from groundset.streaming import events as ev
+from groundset.streaming.live import run_live
+from groundset.streaming.throttle import throttle_stream
+
+BATCHES = 3
+
+
+def _streamed(spark, df, order: str):
+    """The frame written in order, one append per micro-batch, and read back as a stream."""
+    root = scratch_path(spark, "stream")
+    source = os.path.join(root, "in")
+    place = F.unix_micros(F.col(order).cast("timestamp")) if order in ("ts", "created_at") else F.col(order)
+    steps = [i / BATCHES for i in range(1, BATCHES)]
+    cuts = df.select(F.percentile_approx(place, steps, 1000).alias("q")).first()["q"]
+    low = None
+    for high in [*cuts, None]:
+        part = df if low is None else df.filter(place > low)
+        part = part if high is None else part.filter(place <= high)
+        part.coalesce(2).write.mode("append").parquet(source)
+        low = high
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    return stream, root
+
+
+_EVENTS = derived_sql("run_events")
+
+
+@query(
+    "stream_event_counts",
+    f"with {_EVENTS} select run_id, step, count(*) as n, max(id) as last_id from run_events group by 1, 2",
+)
+def stream_event_counts(spark, sf):
+    stream, root = _streamed(spark, derived(spark, sf, "run_events"), "id")
+    out = os.path.join(root, "out")
+    ev.write_latest(ev.event_counts(stream), out, os.path.join(root, "cp"), ["run_id", "step"]).awaitTermination()
+    return ev.read_latest(spark, out, ["run_id", "step"])
+
+
+@query(
+    "stream_run_stats",
+    """select run_id, sum(raw)::bigint as raw_count, sum(verified)::bigint as verified_count, sum(raw - verified)::bigint as hallucinated_count,
+    sum(nulled)::bigint as fields_nulled, count(*) as pages from (select doc_id % 7 as run_id, n_chars % 9 + 3 as raw, n_chars % 4 as verified, n_chars % 2 as nulled from documents) group by 1""",
+)
+def stream_run_stats(spark, sf):
+    from groundset.plans.derived import base
+
+    n = F.col("n_chars")
+    pages = base(spark, sf, "documents").select(
+        (F.col("doc_id") % 7).alias("run_id"), (n % 9 + 3).alias("raw"), (n % 4).alias("verified"),
+        (n % 9 + 3 - n % 4).alias("hallucinated"), (n % 2).alias("nulled"), "doc_id",
+    )
+    stream, root = _streamed(spark, pages, "doc_id")
+    out = os.path.join(root, "out")
+    ev.write_latest(ev.running_stats(stream), out, os.path.join(root, "cp"), ["run_id"]).awaitTermination()
+    return ev.read_latest(spark, out, ["run_id"])
+
+
+@query(
+    "stream_tail",
+    f"""with {_EVENTS} select run_id, id, case when step = 'records_updated' then 'records_updated' else 'log' end as event,
+    '{{"id":' || id || ',"level":"' || level || '","step":"' || step || '","message":"' || message || '","created_at":"'
+      || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || '"' || case when data <> '' then ',"data":' || replace(data, ' ', '') else '' end || '}}' as payload
+    from run_events where id > 100""",
+)
+def stream_tail(spark, sf):
+    stream, root = _streamed(spark, derived(spark, sf, "run_events"), "id")
+    out = os.path.join(root, "out")
+    ev.write_table(ev.tail(stream, after=100), out, os.path.join(root, "cp")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(
+    "stream_done",
+    f"""with {_EVENTS}, {derived_sql('runs')}, asked as (select cast(c as varchar) as run_id, c * 60 as after from range(200) t(c)),
+    new as (select distinct a.run_id from asked a join run_events e on e.run_id = a.run_id and e.id > a.after)
+    select a.run_id, 'done' as event, '{{"status":"' || coalesce(r.status, 'deleted') || '"}}' as payload from asked a left join runs r on r.run_id = a.run_id
+    left join new n on n.run_id = a.run_id where r.status is null or (r.status in ('completed', 'failed', 'cancelled') and n.run_id is null)""",
+)
+def stream_done(spark, sf):
+    asked = spark.range(200).select(F.col("id").cast("string").alias("run_id"), (F.col("id") * 60).alias("after"))
+    return ev.done_rows(derived(spark, sf, "runs"), asked, derived(spark, sf, "run_events"))
+
+
+_CAND = derived_sql("candidates")
+
+
+@query("stream_first_seen", f"with {_CAND} select distinct run_id, url from candidates")
+def stream_first_seen(spark, sf):
+    rows = derived(spark, sf, "candidates").select(
+        "run_id", "url", "rank", F.timestamp_seconds(F.lit(1704067200) + F.col("rank")).alias("seen_at")
+    )
+    stream, root = _streamed(spark, rows, "rank")
+    out = os.path.join(root, "out")
+    ev.write_table(ev.first_seen_stream(stream).select("run_id", "url"), out, os.path.join(root, "cp")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(
+    "stream_live_dataset",
+    f"""with recursive {_LEADERS}, joined as (select e.*, l.leader, (l.leader <> l.idx)::bigint * 1000000000 + e.first_arrival as ord
+      from exact e join led l on l.run_id = e.run_id and l.idx = e.first_arrival),
+    src as (select j.run_id, j.leader, count(distinct r.source_id) as n_sources from joined j join ranked r on r.run_id = j.run_id and r.dedupe_key = j.dedupe_key group by 1, 2),
+    merged as (select run_id, leader, arg_min(dedupe_key, ord) as dedupe_key, arg_min(name, ord) filter (name is not null) as name,
+      arg_min(type, ord) filter (type is not null) as type,
+      arg_min(brand, ord) filter (brand is not null) as brand, arg_min(size, ord) filter (size is not null) as size from joined group by run_id, leader)
+    select m.run_id::varchar as run_id, substring(sha1(m.run_id || ':' || dedupe_key), 1, 16) as record_id, name, brand, {_SCORE.format(n='n_sources')} as confidence
+    from merged m join src s on s.run_id = m.run_id and s.leader = m.leader""",
+)
+def stream_live_dataset(spark, sf):
+    """Verified records arriving in three batches end as the dataset built from all of them."""
+    stream, root = _streamed(spark, _parts(spark, sf), "arrival")
+    run_live(stream, root, PART_SPEC, os.path.join(root, "cp")).awaitTermination()
+    data = F.col("data")
+    return spark.read.parquet(os.path.join(root, "records")).select(
+        F.col("run_id").cast("string").alias("run_id"), "record_id", data["name"].alias("name"),
+        data["brand"].alias("brand"), "confidence",
+    )
+
+
+@query(
+    "stream_throttle",
+    """with recursive t as (select user_id % 40 as client, event_id as request_id, epoch_us(ts) // 60 as us from events),
+    s as (select *, row_number() over (partition by client order by us, request_id) as n from t),
+    walk as (select client, 0::bigint as n, 0::bigint as request_id, []::bigint[] as recent, true as accepted from (select distinct client from s)
+      union all
+      select s.client, s.n, s.request_id,
+        case when len(list_filter(w.recent, lambda x: x > s.us - 60000000)) >= 2 then list_filter(w.recent, lambda x: x > s.us - 60000000)
+          else list_append(list_filter(w.recent, lambda x: x > s.us - 60000000), s.us) end,
+        len(list_filter(w.recent, lambda x: x > s.us - 60000000)) < 2
+      from walk w join s on s.client = w.client and s.n = w.n + 1)
+    select client, request_id, accepted from walk where n > 0""",
+)
+def stream_throttled(spark, sf):
+    compressed = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60))
+    requests = derived(spark, sf, "requests").select(
+        (F.col("client") % 40).alias("client"), "request_id", compressed.alias("ts")
+    )
+    stream, root = _streamed(spark, requests, "ts")
+    out = os.path.join(root, "out")
+    ev.write_table(throttle_stream(stream, limit=2), out, os.path.join(root, "cp")).awaitTermination()
+    return spark.read.parquet(out).select("client", "request_id", "accepted")

@@ -86,8 +86,14 @@ def throttle(requests: DataFrame, limit: int = LIMIT, window_seconds: int = WIND
     return free.unionByName(ordered.mapInPandas(replay, schema))
 
 
-def throttle_stream(requests: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Streaming form; state is the accepted times of the last window, dropped when a client idles."""
+def throttle_stream(
+    requests: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS, delay: str = "10 minutes"
+) -> DataFrame:
+    """Streaming form; state is the accepted times of the last window.
+
+    A client's state is dropped once the watermark is a window past its last request. Requests
+    later than `delay` behind the newest one are outside the stream.
+    """
     window = window_seconds * 1_000_000
     client_type = requests.schema["client"].dataType.simpleString()
     id_type = requests.schema["request_id"].dataType.simpleString()
@@ -101,7 +107,8 @@ def throttle_stream(requests: DataFrame, limit: int = LIMIT, window_seconds: int
         rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
         decisions = [_decide(recent, int(us), limit, window) for us in rows["us"]]
         state.update((list(recent),))
-        state.setTimeoutDuration(window_seconds * 1000)
+        last_ms = max(int(rows["us"].iloc[-1]) // 1000, state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(last_ms + window_seconds * 1000)
         yield pd.DataFrame(
             {
                 "client": [key[0]] * len(rows),
@@ -111,7 +118,8 @@ def throttle_stream(requests: DataFrame, limit: int = LIMIT, window_seconds: int
             }
         )
 
-    timed = requests.select("client", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return timed.groupBy("client").applyInPandasWithState(
-        step, output, "recent array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    at = F.col("ts").cast("timestamp")
+    timed = requests.select("client", "request_id", at.alias("at"), F.unix_micros(at).alias("us"))
+    return timed.withWatermark("at", delay).groupBy("client").applyInPandasWithState(
+        step, output, "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
