@@ -289,7 +289,7 @@ def platform_totals(tasks: DataFrame, runs: DataFrame, records: DataFrame, sourc
         )
 
     one = F.count(F.lit(1))
-    blocked = F.sum(stat(F.col("stats"), "hallucinated_count"))
+    blocked = F.sum(stat(parsed_stats(F.col("stats"))["hallucinated_count"]))
     parts = [
         row(tasks, names[0], one), row(runs, names[1], one), row(records, names[2], one),
         row(sources, names[3], one), row(runs, names[4], blocked),
@@ -300,19 +300,24 @@ def platform_totals(tasks: DataFrame, runs: DataFrame, records: DataFrame, sourc
     return stacked.agg(*[F.sum(n).alias(n) for n in names])
 
 
-def stat(stats_json: Column, name: str) -> Column:
-    """A count out of a stats JSON text; bad JSON and odd values give 0."""
-    return F.coalesce(F.get_json_object(stats_json, f"$.{name}").try_cast("bigint"), F.lit(0))
+def parsed_stats(stats_json: Column) -> Column:
+    """Stats JSON read once, values as text: bad JSON gives null, an odd value spoils only itself."""
+    fields = ", ".join(f"{c} string" for c in STAT_COUNTS)
+    return F.from_json(stats_json, f"{fields}, dropped_reasons map<string,string>")
+
+
+def stat(value: Column) -> Column:
+    """A count, 0 where it cannot be read."""
+    return F.coalesce(value.try_cast("bigint"), F.lit(0))
 
 
 def stats_columns(runs: DataFrame) -> DataFrame:
     """Stats JSON to columns, tolerant of bad JSON, plus `missing_required` from the drop reasons."""
-    return runs.select(
-        "*",
-        *[stat(F.col("stats"), c).alias(c) for c in STAT_COUNTS],
-        F.coalesce(
-            F.get_json_object("stats", "$.dropped_reasons.missing_required").try_cast("bigint"), F.lit(0)
-        ).alias("missing_required"),
+    s = F.col("_stats")
+    return runs.withColumn("_stats", parsed_stats(F.col("stats"))).select(
+        *runs.columns,
+        *[stat(s[c]).alias(c) for c in STAT_COUNTS],
+        stat(F.try_element_at(s["dropped_reasons"], F.lit("missing_required"))).alias("missing_required"),
     )
 
 

@@ -10,6 +10,15 @@ from groundset.session import cut_lineage
 ROWS_PER_TASK = 1_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of few splits over all cores ahead of heavy per-row work.
+
+    A table with at least one split per core, as any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_spread(
     left: DataFrame,
     right: DataFrame,

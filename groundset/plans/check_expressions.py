@@ -8,7 +8,7 @@ from groundset.functions import text, urls, values
 from groundset.operators.pages import chunk_pages, prompt_text, read_responses
 from groundset.plans import sqltext as q
 from groundset.plans.catalog import query
-from groundset.plans.derived import base, derived, derived_sql
+from groundset.plans.derived import base, derived, derived_sql, texts
 from groundset.sources.dimensions import with_region
 from groundset.spec import FieldSpec, TaskSpec, parse_specs, spec_fields
 
@@ -48,7 +48,7 @@ def normalize_url(spark, sf):
 
 @query("canonical_url", f"select page_id, {q.rebuilt('url', False)} as url from pages")
 def canonical_url(spark, sf):
-    return base(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
+    return texts(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
 
 
 @query(
@@ -128,7 +128,7 @@ def normalize_email(spark, sf):
 
 @query("normalize_string", f"select doc_id, nullif({q.collapse('text')}, '') as text from documents")
 def normalize_string(spark, sf):
-    return base(spark, sf, "documents").select("doc_id", text.normalize_string(F.col("text")).alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", text.normalize_string(F.col("text")).alias("text"))
 
 
 @query("normalize_for_match", f"select conv_id, turn, {q.norm('text')} as text from conversations")
@@ -194,7 +194,7 @@ def chunk_text_whole(spark, sf):
 
 
 def _chunks(spark, sf, max_chunks):
-    docs = base(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "text")
     return chunk_pages(docs, max_chunks=max_chunks).select(
         "doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.col("n_chunks").cast("bigint").alias("n_chunks"),
         F.md5("chunk").alias("digest"), F.length("chunk").cast("bigint").alias("chars"),
@@ -203,12 +203,12 @@ def _chunks(spark, sf, max_chunks):
 
 @query("main_text", f"select page_id, {q.usable_text('html')} as text from pages")
 def main_text(spark, sf):
-    return base(spark, sf, "pages").select("page_id", text.usable_text(F.col("html"), None).alias("text"))
+    return texts(spark, sf, "pages").select("page_id", text.usable_text(F.col("html"), None).alias("text"))
 
 
 @query("first_paragraph", f"select page_id, {q.first_paragraph('html')} as paragraph from pages")
 def first_paragraph(spark, sf):
-    return base(spark, sf, "pages").select(
+    return texts(spark, sf, "pages").select(
         "page_id", F.try_element_at(text.paragraphs(F.col("html")), F.lit(1)).alias("paragraph")
     )
 
@@ -218,7 +218,7 @@ _CELL = "case doc_id % 5 when 0 then '=' || lang when 1 then '  -' || source whe
 
 @query("safe_cell", f"with t as (select doc_id, {_CELL} as raw from documents) select doc_id, {q.safe_cell('raw')} as cell from t")
 def safe_cell(spark, sf):
-    raw = base(spark, sf, "documents").select("doc_id", F.expr(_CELL).alias("raw"))
+    raw = texts(spark, sf, "documents").select("doc_id", F.expr(_CELL).alias("raw"))
     return raw.select("doc_id", text.safe_cell(F.col("raw")).alias("cell"))
 
 
@@ -248,7 +248,7 @@ def retry_delay(spark, sf):
     || html || chr(10) || '</UNTRUSTED_PAGE_DATA>' as prompt from pages""",
 )
 def prompt(spark, sf):
-    return base(spark, sf, "pages").select("page_id", prompt_text(F.col("html"), F.col("url"), COMPANY).alias("prompt"))
+    return texts(spark, sf, "pages").select("page_id", prompt_text(F.col("html"), F.col("url"), COMPANY).alias("prompt"))
 
 
 _ANSWER = """case p_partkey % 4 when 3 then 'Sorry, no answer' else

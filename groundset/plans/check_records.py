@@ -10,7 +10,8 @@ from groundset.operators.pages import drop_repeated_evidence, extract_records
 from groundset.plans import sqltext as q
 from groundset.plans.catalog import query
 from groundset.plans.dataset import build_dataset, collect, leaders_by_key
-from groundset.plans.derived import base, derived, derived_sql
+from groundset.plans.derived import base, derived, derived_sql, texts
+from groundset.session import cut_lineage
 from groundset.spec import FieldSpec, TaskSpec
 
 PART_SPEC = TaskSpec(
@@ -307,15 +308,14 @@ _GROUNDED = f"""{_PAGE_RECORDS}, spot as (select *, strpos(text, evidence) as p1
 
 def _page_texts(spark, sf):
     html = F.col("html")
-    return base(spark, sf, "pages").select(
+    return texts(spark, sf, "pages").select(
         (F.col("page_id") % 4).alias("run_id"), "page_id", "url", text.usable_text(html, None).alias("text"),
         F.try_element_at(text.paragraphs(html), F.lit(1)).alias("para"),
         text._visible(F.regexp_extract(html, _TITLE, 1)).alias("h1"), F.regexp_extract(html, _LANG, 1).alias("lang"),
     )
 
 
-def _page_records(spark, sf):
-    own = _page_texts(spark, sf)
+def _page_records(own):
     following = own.select((F.col("page_id") - 1).alias("page_id"), F.col("para").alias("next_para"))
     page = F.col("page_id")
     return own.join(following, "page_id", "left").select(
@@ -330,7 +330,9 @@ def _page_records(spark, sf):
 
 
 def _verified(spark, sf, **options):
-    return verify.verify_for_spec(_page_records(spark, sf), _page_texts(spark, sf), PAGE_SPEC, **options)
+    # Texts feed the records and the pages they are checked against: extracted once.
+    own = cut_lineage(_page_texts(spark, sf))
+    return verify.verify_for_spec(_page_records(own), own, PAGE_SPEC, **options)
 
 
 @query("evidence_exact", f"with {_PAGE_RECORDS} select run_id, page_id, verified from checked")
@@ -351,13 +353,13 @@ def ground_fields(spark, sf):
 # Quotes with every 25th letter lost still match, reversed ones do not.
 @query("evidence_fuzzy", "select page_id, page_id % 3 <> 2 as verified from pages")
 def evidence_fuzzy(spark, sf):
-    texts = _page_texts(spark, sf)
+    own_texts = cut_lineage(_page_texts(spark, sf).select("run_id", "page_id", "text"))
     own = F.substring("text", 11, 240)
     gaps = F.array_join(F.filter(F.split(own, ""), lambda c, i: i % 25 != 24), "")
     kind = F.col("page_id") % 3
     quote = F.when(kind == 0, own).when(kind == 1, gaps).otherwise(F.reverse(own))
-    records = texts.select("run_id", "page_id", F.col("page_id").alias("arrival"), quote.alias("evidence"))
-    return verify.verify_records(records, texts, [], ground=False).select("page_id", "verified")
+    records = own_texts.select("run_id", "page_id", F.col("page_id").alias("arrival"), quote.alias("evidence"))
+    return verify.verify_records(records, own_texts, [], ground=False).select("page_id", "verified")
 
 
 @query(
@@ -367,7 +369,7 @@ def evidence_fuzzy(spark, sf):
 )
 def snippets_in_documents(spark, sf):
     snippets = base(spark, sf, "benchmark").select(F.col("item_id").alias("snippet_id"), "text")
-    return verify.snippets_in_documents(snippets, base(spark, sf, "documents").select("doc_id", "text"))
+    return verify.snippets_in_documents(snippets, texts(spark, sf, "documents").select("doc_id", "text"))
 
 
 _LINES = """select doc_id % 3 as run_id, doc_id as page_id, case when n_chars > 2000 then 2 else 1 end as n_chunks, text from documents"""
@@ -382,7 +384,7 @@ _LINES = """select doc_id % 3 as run_id, doc_id as page_id, case when n_chars >
     select run_id, page_id, cast(arrival as bigint) as arrival, evidence from r where n_chunks = 1 or key = '' or n = 1""",
 )
 def repeated_evidence(spark, sf):
-    docs = spark.sql(_LINES.replace("from documents", "from {d}"), d=base(spark, sf, "documents"))
+    docs = spark.sql(_LINES.replace("from documents", "from {d}"), d=texts(spark, sf, "documents"))
     lines = docs.select("run_id", "page_id", "n_chunks", F.posexplode(F.split("text", "\n")).alias("arrival", "evidence"))
     kept = drop_repeated_evidence(lines.withColumn("arrival", F.col("arrival").cast("bigint")))
     return kept.select("run_id", "page_id", "arrival", "evidence")
@@ -449,7 +451,7 @@ def _collected(spark, sf):
         F.rpad(F.col("url"), 60, "x").alias("snippet"),
     )
     page = F.col("page_id")
-    fetched = base(spark, sf, "pages").select(
+    fetched = texts(spark, sf, "pages").select(
         "url", "html", F.when(page % 9 == 0, 503).otherwise(200).alias("http_status"),
         F.when(page % 10 == 3, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"),
     )
@@ -481,12 +483,12 @@ def run_stats(spark, sf):
 
 
 def _stages(spark, sf):
-    verified = _verified(spark, sf)
+    verified = cut_lineage(_verified(spark, sf))
     pool = verified.filter("verified").drop("verified", "n_nulled", "page_id")
-    validated = clean.validate_records(clean.normalize_records(pool, PAGE_SPEC), PAGE_SPEC)
+    validated = cut_lineage(clean.validate_records(clean.normalize_records(pool, PAGE_SPEC), PAGE_SPEC))
     valid = validated.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     records = clean.merge_exact(valid, PAGE_SPEC).records
-    sources = base(spark, sf, "pages").select(
+    sources = texts(spark, sf, "pages").select(
         (F.col("page_id") % 4).alias("run_id"),
         F.when(F.col("page_id") % 3 == 0, "failed").otherwise("fetched").alias("status"),
     )

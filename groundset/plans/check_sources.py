@@ -10,7 +10,7 @@ from groundset.operators.pages import accept_pages
 from groundset.plans import sqltext as q
 from groundset.plans.catalog import query
 from groundset.plans.check_expressions import _RAW_URL, raw_urls
-from groundset.plans.derived import base, derived, derived_sql
+from groundset.plans.derived import base, derived, derived_sql, texts
 from groundset.sources.robots import robots_rules
 from groundset.streaming.throttle import throttle
 
@@ -35,7 +35,7 @@ def _robots_texts(spark, sf):
     """A robots file per crawled host; its shape depends on the length of the host name."""
     from groundset.functions.urls import host
 
-    hosts = base(spark, sf, "pages").select(host(F.col("url")).alias("host")).distinct()
+    hosts = texts(spark, sf, "pages").select(host(F.col("url")).alias("host")).distinct()
     kind = F.length("host") % 4
     body = (
         F.when(kind == 0, F.lit("# all\nUser-agent: *\nAllow: /en/1\nDisallow: /en/ # no english\n"))
@@ -95,7 +95,7 @@ def resolved_addresses(spark, sf):
 )
 def redirect_chains(spark, sf):
     """Chains of up to five hops; in every fifth chain the first hop leads to a blocked host."""
-    pages = base(spark, sf, "pages").filter(F.col("page_id") % 6 > 0)
+    pages = texts(spark, sf, "pages").filter(F.col("page_id") % 6 > 0)
     hops = pages.select("page_id", F.explode(F.sequence(F.lit(1), (F.col("page_id") % 6).cast("int"))).alias("hop"))
     blocked = (F.col("page_id") % 5 == 0) & (F.col("hop") == 1)
     target = F.when(blocked, F.concat(F.lit("https://www.facebook.com/"), F.col("page_id").cast("string")))
@@ -116,7 +116,7 @@ def redirect_chains(spark, sf):
 )
 def accepted_pages(spark, sf):
     page = F.col("page_id")
-    df = base(spark, sf, "pages").select(
+    df = texts(spark, sf, "pages").select(
         "page_id", F.when(page % 7 == 0, "<p>tiny</p>").otherwise(F.col("html")).alias("html"),
         F.when(page % 9 == 0, 503).otherwise(200).alias("http_status"),
         F.when(page % 10 == 3, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"),

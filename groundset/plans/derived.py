@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundset.operators.skew import spread
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -142,6 +144,11 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table whose rows are long texts, dealt over all cores."""
+    return spread(base(spark, sf_dir, name))
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived frame; the base tables are bound as frames, not registered by name."""
     sql = _dialect(_DERIVED[name], "spark")
