@@ -6,17 +6,13 @@ Thresholds are compared in whole numbers, so no rounding decides a borderline pa
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TAIL_WINDOWS = 32
-
-
 def lcs_length(a: str, b: str) -> int:
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
@@ -29,54 +25,60 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - rows.bit_count()
 
 
-def _required_lcs(threshold: int, total_length):
+def _required_lcs(threshold: int, total_length: int) -> int:
     """Smallest LCS reaching the threshold: ceil(threshold * total / 200)."""
     return -(-(threshold * total_length) // 200)
 
 
-def _window_overlap(codes: np.ndarray, needle: np.ndarray, width: int) -> np.ndarray:
-    """Multiset overlap of `needle` with every `width`-long window of `codes`."""
-    overlap = np.zeros(len(codes) - width + 1, dtype=np.int32)
-    for code, wanted in Counter(needle.tolist()).items():
-        seen = np.concatenate(([0], np.cumsum(codes == code, dtype=np.int32)))
-        overlap += np.minimum(seen[width:] - seen[:-width], wanted)
-    return overlap
+def _closest_by_end(needle: str, text: str) -> Iterator[int]:
+    """For each end position in the text, the least edit distance of the needle to any substring
+    ending there: one bit-vector pass (Myers 1999). It never exceeds the indel distance."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(needle):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << len(needle)) - 1
+    top = 1 << (len(needle) - 1)
+    up, down, distance = full, 0, len(needle)
+    for ch in text:
+        equal = masks.get(ch, 0)
+        vertical = equal | down
+        horizontal = (((equal & up) + up) ^ up) | equal
+        rise = down | (full & ~(horizontal | up))
+        fall = up & horizontal
+        if rise & top:
+            distance += 1
+        elif fall & top:
+            distance -= 1
+        rise, fall = rise << 1, fall << 1
+        up = (fall | ~(vertical | rise)) & full
+        down = rise & vertical & full
+        yield distance
 
 
 def partial_match(first: str, second: str, threshold: int) -> bool:
     """Does any window of the longer string, as long as the shorter one, reach the threshold?
 
-    Windows clipped at either end count. Character and bigram counts rule windows out for all
-    positions at once; only the rest is scored.
+    Windows clipped at either end count. One pass over the text finds the places close enough to
+    be worth scoring.
     """
     needle, text = (first, second) if len(first) <= len(second) else (second, first)
-    m = len(needle)
+    m, n = len(needle), len(text)
     if m == 0:
-        return len(text) == 0
+        return n == 0
     if needle in text:
         return True
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    pattern = np.frombuffer(needle.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    edge = np.full(m - 1, -1, dtype=np.int64)
-    padded = np.concatenate((edge, codes, edge))
-    start = np.arange(len(padded) - m + 1)
-    low = np.maximum(start, m - 1)
-    high = np.minimum(start + m, m - 1 + len(codes))
-    width = high - low
-    needed = _required_lcs(threshold, m + width)
-    alive = np.flatnonzero(_window_overlap(padded, pattern, m) >= needed)
-    if len(alive) > _TAIL_WINDOWS and m > 2:
-        # A dropped needle character breaks two bigrams at most, an inserted one breaks one.
-        pairs = np.where((padded[:-1] < 0) | (padded[1:] < 0), -1, padded[:-1] * 2_000_000 + padded[1:])
-        wanted = pattern[:-1] * 2_000_000 + pattern[1:]
-        lost = 2 * (m - needed) + (width - needed)
-        shared = _window_overlap(pairs, wanted, m - 1)
-        alive = alive[shared[alive] >= (m - 1 - lost)[alive]]
-    for at in alive:
-        window = text[low[at] - (m - 1) : high[at] - (m - 1)]
-        if lcs_length(needle, window) >= needed[at]:
+
+    def reaches(start: int, end: int, distance: int) -> bool:
+        total = m + end - start
+        needed = _required_lcs(threshold, total)
+        return distance <= total - 2 * needed and lcs_length(needle, text[start:end]) >= needed
+
+    most = 2 * m * (100 - threshold) // 100
+    distance = m
+    for end, distance in enumerate(_closest_by_end(needle, text), 1):
+        if distance <= most and reaches(max(end - m, 0), end, distance):
             return True
-    return False
+    return distance <= most and any(reaches(start, n, distance) for start in range(n - m + 1, n))
 
 
 @F.pandas_udf(T.BooleanType())
