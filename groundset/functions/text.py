@@ -15,6 +15,11 @@ from pyspark.sql import types as T
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
 NOT_DIGIT = r"\P{Nd}"
+# The same white space as code points.
+_SPACE_CHARS = "".join(
+    map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
 
 # Code point ranges that compatibility normalisation leaves alone, or that the
 # native expressions below treat alike (no-break spaces, ellipsis). Rows made of these alone
@@ -86,23 +91,34 @@ def collapse(value: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Drop Unicode whitespace at both ends."""
-    return F.regexp_replace(value, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(value, F.lit(_SPACE_CHARS))
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate a costly value once and use it several times in `body`."""
+    return F.transform(F.array(value), body)[0]
 
 
 def lower_trim(value: Column) -> Column:
     return F.lower(strip(value))
 
 
+def _has_unstable(value: Column) -> Column:
+    """Plain ASCII, told by its byte count, skips the pattern."""
+    return (F.octet_length(value) != F.length(value)) & value.rlike(_NEEDS_NFKC)
+
+
 def normalize_string(value: Column) -> Column:
     """NFKC, collapsed whitespace, '' as null."""
-    folded = _only_where(value.rlike(_NEEDS_NFKC), _nfkc, value)
+    folded = _only_where(_has_unstable(value), _nfkc, value)
     return F.nullif(collapse(_dots(folded)), F.lit(""))
 
 
 def normalize_for_match(value: Column) -> Column:
     """Comparison form: entities, NFKC, plain quotes and dashes, no zero-width, lower case."""
     value = F.coalesce(value, F.lit(""))
-    folded = _only_where(value.rlike(f"{_NEEDS_NFKC}|{_NEEDS_UNESCAPE}"), _unescape_nfkc, value)
+    entity = value.contains("&") & value.rlike(_NEEDS_UNESCAPE)
+    folded = _only_where(entity | _has_unstable(value), _unescape_nfkc, value)
     # `translate` drops characters that have no partner, so those come last.
     source = "".join(map(chr, _FOLDED))
     plain = F.translate(_dots(folded), source, "".join(_FOLDED.values()))
@@ -180,10 +196,10 @@ def chunks(
 
 # What is markup noise, what breaks a line, and the entities decoded natively.
 _NOISE = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>"
-    r"|<head\b.*?</head\s*>|<nav\b.*?</nav\s*>|<footer\b.*?</footer\s*>|<aside\b.*?</aside\s*>"
+    r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>"
+    r"|head\b.*?</head\s*>|nav\b.*?</nav\s*>|footer\b.*?</footer\s*>|aside\b.*?</aside\s*>)"
 )
-_INVISIBLE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+_INVISIBLE = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>)"
 _BREAKS = (
     r"(?i)<(?:br|/?p|/?div|/?li|/?ul|/?ol|/?tr|/?table|/?h[1-6]|/?section|/?article|/?blockquote)"
     r"(?:\s[^>]*)?/?>"
@@ -206,7 +222,7 @@ def _visible(markup: Column) -> Column:
 def main_text(markup: Column) -> Column:
     """Readable text of the article element, or of the page without navigation and footer."""
     article = F.regexp_extract(markup, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
-    body = F.when(article != "", article).otherwise(markup)
+    body = _let(article, lambda a: F.when(a != "", a).otherwise(markup))
     return _visible(F.regexp_replace(body, _NOISE, ""))
 
 
@@ -216,9 +232,13 @@ def whole_page_text(markup: Column) -> Column:
 
 def usable_text(markup: Column, max_chars: int | None = MAX_TEXT_CHARS) -> Column:
     """Main text, else whole-page text when under 80 characters; null below 50."""
-    main = main_text(markup)
-    text = F.when(F.length(strip(main)) < MIN_MAIN_CHARS, whole_page_text(markup)).otherwise(main)
-    text = F.when(F.length(strip(text)) >= MIN_TEXT_CHARS, text)
+    def readable(main):
+        return F.when(F.length(strip(main)) < MIN_MAIN_CHARS, whole_page_text(markup)).otherwise(main)
+
+    def enough(text):
+        return F.when(F.length(strip(text)) >= MIN_TEXT_CHARS, text)
+
+    text = _let(_let(main_text(markup), readable), enough)
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
 

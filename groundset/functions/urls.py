@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundset.functions.text import SPACE, strip
+from groundset.functions.text import strip
 
 _URI = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
@@ -167,7 +167,7 @@ def canonical_url(value: Column) -> Column:
 
 def safe_href(value: Column) -> Column:
     """Absolute http(s) link or null, after dropping characters browsers ignore."""
-    url = F.regexp_replace(F.regexp_replace(value, r"[\t\n\r\x00]", ""), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    url = strip(F.regexp_replace(value, r"[\t\n\r\x00]", ""))
     name = host(url)
     rest = F.regexp_replace(url, r"(?s)^[^:]*://[^/?#]*", "")
     port = F.regexp_extract(_part(url, _AUTHORITY), r":(\d+)$", 1)

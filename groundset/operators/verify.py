@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from groundset.functions import evidence as ev
 from groundset.functions.text import digits, normalize_for_match, strip, without_punctuation
 from groundset.operators.skew import ROWS_PER_TASK, join_spread
+from groundset.session import cut_lineage
 from groundset.spec import TaskSpec
 
 # Field types, and for frames without declared types the names and value shapes,
@@ -137,6 +138,8 @@ def _pairs_on_anchor(snippets: DataFrame, documents: DataFrame) -> DataFrame:
     held = documents.select("doc_id", F.explode_outer("_anchors").alias("anchor")).join(
         wanted.select("anchor").distinct(), "anchor", "left_semi"
     )
+    # Only anchors some snippet asks for are left; they are counted, then joined.
+    held = cut_lineage(held)
     counts = held.groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
     rarity = wanted.join(counts, "anchor", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = rarity.groupBy("_snip").agg(F.min_by("anchor", F.struct("df", "anchor")).alias("anchor"))

@@ -82,7 +82,7 @@ _OFFERS = """select o_orderkey % 5 as run_id, o_orderkey as arrival, 's' as sour
 
 
 def _offers(spark, sf):
-    df = spark.sql(_OFFERS.replace("from orders", "from {orders}"), orders=base(spark, sf, "orders"))
+    df = spark.sql(_OFFERS.replace("from orders", "from {orders}"), orders=texts(spark, sf, "orders"))
     return df.withColumn("flags", F.array().cast("array<string>"))
 
 

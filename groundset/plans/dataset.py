@@ -35,10 +35,8 @@ def build_dataset(
     pool: DataFrame, spec: TaskSpec, corroborate: bool = True, merge_similar: bool = True, base_url: str | None = None, **options
 ) -> Dataset:
     """Normalise, validate, merge exact then similar duplicates, score: all runs of the pool at once."""
-    validated = clean.validate_records(clean.normalize_records(pool, spec, base_url), spec)
-    if merge_similar:
-        # The valid rows feed keys, evidence and clusters: they are computed once.
-        validated = cut_lineage(validated)
+    # The valid rows feed keys, evidence and clusters: they are computed once.
+    validated = cut_lineage(clean.validate_records(clean.normalize_records(pool, spec, base_url), spec))
     valid = validated.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     deduped = clean.merge_exact(valid, spec)
     if merge_similar:
