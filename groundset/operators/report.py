@@ -45,6 +45,13 @@ def run_stats(verified: DataFrame, validated: DataFrame, records: DataFrame, sou
     return joined.select("run_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in STAT_COUNTS])
 
 
+def with_records_found(sources: DataFrame, verified: DataFrame) -> DataFrame:
+    """Sources with the number of verified records each one gave."""
+    found = verified.filter("verified").groupBy("source_id").agg(F.count(F.lit(1)).alias("_found"))
+    joined = sources.join(found, "source_id", "left")
+    return joined.withColumn("records_found", F.coalesce("_found", F.lit(0))).drop("_found")
+
+
 def drop_reasons(sources: DataFrame, verified: DataFrame, validated: DataFrame) -> DataFrame:
     """Long histogram `(run_id, reason, n)` of everything that left the flow."""
     status = F.col("status")

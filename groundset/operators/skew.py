@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundset.session import cut_lineage
 
 ROWS_PER_TASK = 1_000_000
+BROADCAST_KEYS = 100_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -29,12 +30,20 @@ def join_spread(
 ) -> DataFrame:
     """Equi join where rows of a hot left key are dealt over several tasks.
 
-    Keys above `rows_per_task` left rows get as many salts as they need and the matching right
-    rows are repeated once per salt; all other keys join as usual. The table of hot keys has at
-    most `rows / rows_per_task` rows. `how` may be inner or left.
+    Left keys are counted first, on the key columns alone. Without a key above `rows_per_task`
+    rows this is the plain join. Otherwise hot keys get as many salts as they need and the
+    matching right rows are repeated once per salt. There are at most `rows / rows_per_task` hot
+    keys; they are broadcast only while few. `how` may be inner or left.
     """
+    if left.isStreaming:
+        return left.join(right, on, how)
     sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
-    hot = sizes.select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
+    hot = cut_lineage(sizes.select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return left.join(right, on, how)
+    if n_hot <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     salts = F.coalesce("_salts", F.lit(1))
     dealt = left.join(hot, on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundset.operators import report, views
+from groundset.plans import reports
 from groundset.plans import sqltext as q
 from groundset.plans.catalog import query
 from groundset.plans.derived import base, derived, derived_sql
@@ -447,3 +448,65 @@ def replace_runs(spark, sf):
     sink.replace_runs(rows.filter("bucket = 0").withColumn("confidence", F.lit(0.25)), root, "records")
     back = spark.read.parquet(f"{root}/records")
     return back.select(F.col("data")["run"].alias("run_id"), "record_id", "confidence")
+
+
+# Only task specs are complete; a run's own snapshot here lacks its fields and counts as unusable.
+_TARGETS = f"""{_STATS}, {_TASKS}, {_SUMMARY}, spec as (select r.run_id, case when r.run_spec not in ('', '{{}}') or t.task_id is null or cast(t.task_id as bigint) % 10 = 9 then null else cast(t.task_id as bigint) end as k
+      from runs r left join tasks t on t.task_id = r.task_id), target as (select run_id, k, case when k is null then 30 else 5 + k % 40 end as target from spec)"""
+
+
+@query(
+    "diagnosed_runs",
+    f"""with {_TARGETS}, d as (select s.run_id, deduped_count, target, raw_count, coalesce(m.total, 0) as n, coalesce(m.blocked_by_policy + m.blocked_by_robots, 0) as b
+      from stats s join target t on t.run_id = s.run_id left join summary m on m.run_id = s.run_id)
+    select run_id, 'Found ' || deduped_count || ' of ' || target || ' requested records. Sources ran out.' as message from d
+    where deduped_count < target * 0.5 and deduped_count > 0 and not (n > 0 and b = n)""",
+)
+def diagnosed_runs(spark, sf):
+    rows = reports.diagnose_runs(*[derived(spark, sf, n) for n in ("runs", "tasks", "sources")])
+    return rows.filter("rule = 'below_target'").select("run_id", "message")
+
+
+@query(
+    "trust_report_fields",
+    f"""with {_TARGETS}, {_RECORDS}, t as (select run_id, count(*) as total from records group by 1)
+    select g.run_id, 'company_name' as name, 0::bigint as non_null_count, coalesce(total, 0) as total from target g left join t on t.run_id = g.run_id where k is not null
+    union all select g.run_id, 'price', 0::bigint, coalesce(total, 0) from target g left join t on t.run_id = g.run_id where k is not null""",
+)
+def trust_report_fields(spark, sf):
+    frames = [derived(spark, sf, n) for n in ("runs", "tasks")]
+    made = reports.trust_report(*frames, _records(spark, sf), derived(spark, sf, "sources"))
+    return made.field_completeness.select("run_id", "name", "non_null_count", "total")
+
+
+@query(
+    "record_detail",
+    f"""with {_RECORDS}, {_EVIDENCE}, {_SOURCES} select r.record_id, r.confidence, e.snippet, s.url as source_url from records r
+    join evidence e on e.record_id = r.record_id left join sources s on s.source_id = e.source_id
+    where r.record_id = (select max(record_id) from records)""",
+)
+def record_detail(spark, sf):
+    records = _records(spark, sf)
+    wanted = records.agg(F.max("record_id")).first()[0]
+    rows = views.record_detail(records, derived(spark, sf, "evidence"), derived(spark, sf, "sources"), wanted)
+    return rows.select("record_id", "confidence", "snippet", "source_url")
+
+
+@query(
+    "recent_tasks",
+    f"with {_TASKS} select task_id, prompt from tasks order by updated_at desc, task_id limit 3",
+)
+def recent_tasks(spark, sf):
+    return views.page_of(derived(spark, sf, "tasks"), "updated_at", "task_id", page_size=3).select("task_id", "prompt")
+
+
+@query(
+    "records_found",
+    f"""with {_SOURCES}, v as (select 's' || cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) || '-' || cast(l_partkey as varchar) || '-' || cast(l_suppkey as varchar) as source_id,
+      l_returnflag <> 'N' as verified from lineitem), c as (select source_id, count(*) filter (verified) as n from v group by 1)
+    select s.source_id, coalesce(n, 0) as records_found from sources s left join c on c.source_id = s.source_id""",
+)
+def records_found(spark, sf):
+    key = F.concat_ws("-", F.concat(F.lit("s"), F.col("l_orderkey").cast("string")), "l_linenumber", "l_partkey", "l_suppkey")
+    verified = base(spark, sf, "lineitem").select(key.alias("source_id"), (F.col("l_returnflag") != "N").alias("verified"))
+    return report.with_records_found(derived(spark, sf, "sources"), verified).select("source_id", "records_found")

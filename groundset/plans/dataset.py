@@ -105,12 +105,11 @@ def collect(
     checked = verify.verify_for_spec(raw, texts, spec).withColumn("source_id", F.col("page_id"))
     verified = cut_lineage(checked)
     dataset = build_dataset(verified.filter("verified").drop("verified", "n_nulled", "page_id"), spec, **options)
-    found = verified.filter("verified").groupBy("source_id").agg(F.count(F.lit(1)).alias("records_found"))
-    sources = visits.join(found, "source_id", "left").select(
+    audited = visits.select(
         "source_id", F.col("run_id").cast("string").alias("run_id"), "url", "domain", "status", "http_status",
         F.coalesce("fail_reason", F.when(~F.col("allowed"), F.col("reason"))).alias("reason"),
-        F.coalesce("records_found", F.lit(0)).alias("records_found"),
     )
+    sources = report.with_records_found(audited, verified)
     stats = report.run_stats(verified, dataset.validated, dataset.records, sources)
     reasons = report.drop_reasons(sources, verified, dataset.validated)
     return Collected(dataset, sources, verified, stats, reasons)
