@@ -38,13 +38,16 @@ def within_budget(visits: DataFrame, order: list[str], max_pages: int | str = 8)
     """Candidates visited before the page budget is used up.
 
     `processed` marks candidates that cost budget; blocked and failed ones do not. The cut is the
-    `max_pages`-th processed candidate. A numeric budget keeps only that many rows per run ahead
-    of the shuffle; a column name reads the budget from each row.
+    `max_pages`-th processed candidate. Only as many rows per run as the budget (given as a column
+    name: the largest one) are kept ahead of the shuffle.
     """
     place = F.struct(*order)
-    ranked = visits.filter("processed").select("run_id", place.alias("place"), *([max_pages] if isinstance(max_pages, str) else []))
+    own = isinstance(max_pages, str)
+    most = (visits.agg(F.max(max_pages)).first()[0] or 0) if own else max_pages
+    limit = F.col(max_pages) if own else F.lit(max_pages)
+    ranked = visits.filter("processed").select("run_id", place.alias("place"), *([max_pages] if own else []))
     ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("run_id").orderBy("place")))
-    limit = F.col(max_pages) if isinstance(max_pages, str) else F.lit(max_pages)
+    ranked = ranked.filter(F.col("_n") <= most)
     cut = (
         ranked.filter(F.col("_n") <= limit)
         .groupBy("run_id")

@@ -12,6 +12,10 @@ from groundset.sources.store import table_path
 from groundset.spec import TaskSpec
 
 
+# Folders the pool is split into by run, so that a batch reads back only its own runs.
+POOL_BUCKETS = 64
+
+
 class LiveDataset:
     """Micro-batch sink that rebuilds the runs a batch touches and replaces them in the store.
 
@@ -25,17 +29,21 @@ class LiveDataset:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(F.col("run_id").cast("string")), F.lit(POOL_BUCKETS)).cast("int")
         (
             batch.withColumn("batch_id", F.lit(batch_id))
+            .withColumn("bucket", bucket)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
+            .partitionBy("bucket", "batch_id")
             .parquet(self.pool_path)
         )
         pool = spark.read.parquet(self.pool_path)
-        touched = pool.filter(F.col("batch_id") == batch_id).select("run_id").distinct()
+        touched = pool.filter(F.col("batch_id") == batch_id).select("bucket", "run_id").distinct()
         # A restarted query may find rows of batches it has yet to repeat; they are not in yet.
-        current = pool.filter(F.col("batch_id") <= batch_id).drop("batch_id").join(touched, "run_id", "left_semi")
+        # The bucket in the join keys lets Spark read only the folders of touched runs.
+        current = pool.filter(F.col("batch_id") <= batch_id).join(touched, ["bucket", "run_id"], "left_semi")
+        current = current.drop("batch_id", "bucket")
         dataset = build_dataset(current, self.spec, **self.options)
         records = as_store_records(dataset.records, self.spec)
         replace_runs(records, self.root, "records")
