@@ -29,10 +29,17 @@ def evidence_found(given: Column, snippet: Column, page: Column, fuzzy: bool = T
     return F.coalesce(given & (verbatim | close), F.lit(False))
 
 
-def grounding_context(evidence: Column, page: Column, window: int = CONTEXT_WINDOW) -> Column:
-    """Raw text around the evidence, cut at block separators; the evidence alone when not found."""
+def evidence_position(evidence: Column, page: Column) -> Column:
+    """Place of the evidence on the page, exact, else ignoring case; 0 when not found."""
     exact = F.instr(page, evidence)
-    at = F.when(exact > 0, exact).otherwise(F.instr(F.lower(page), F.lower(evidence)))
+    return F.when(exact > 0, exact).otherwise(F.instr(F.lower(page), F.lower(evidence)))
+
+
+def grounding_context(evidence: Column, page: Column, at: Column, window: int = CONTEXT_WINDOW) -> Column:
+    """Raw text around the evidence, cut at block separators; the evidence alone when not found.
+
+    `at` is the evidence position, best a column of its own: it is used many times.
+    """
     before = F.substring(page, F.greatest(at - window, F.lit(1)), F.least(at - 1, F.lit(window)))
     after = F.substring(page, at + F.length(evidence), F.lit(window))
     for separator in BLOCK_SEPARATORS:

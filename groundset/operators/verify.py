@@ -58,8 +58,10 @@ def verify_records(
     df = df.withColumn("verified", ev.evidence_found(given, F.col("_snippet"), F.col("_page"), fuzzy))
     if not ground:
         return df.drop("_text", "_page", "_snippet").withColumn("n_nulled", F.lit(0))
-    context = F.when(F.col("verified"), ev.grounding_context(F.col("evidence"), F.col("_text")))
-    df = df.withColumn("_raw", context).drop("_text", "_page", "_snippet")
+    position = F.when(F.col("verified"), ev.evidence_position(F.col("evidence"), F.col("_text")))
+    df = df.withColumn("_at", position)
+    context = ev.grounding_context(F.col("evidence"), F.col("_text"), F.col("_at"))
+    df = df.withColumn("_raw", F.when(F.col("verified"), context)).drop("_text", "_page", "_snippet", "_at")
     df = df.withColumn("_ctx", normalize_for_match(normalize_for_match(F.col("_raw")))).drop("_raw")
     df = df.withColumn("_plain", without_punctuation(F.col("_ctx"))).withColumn("_digits", digits(F.col("_ctx")))
     data_types = {f.name: f.dataType for f in records.schema.fields}

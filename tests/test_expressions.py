@@ -4,7 +4,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from groundset.functions import text, urls, values
-from groundset.functions.evidence import evidence_found, grounding_context
+from groundset.functions.evidence import evidence_found, evidence_position, grounding_context
 
 
 def test_stable_ranges_are_stable():
@@ -132,5 +132,7 @@ def test_evidence_and_context(spark):
     found = evidence_found(given, text.normalize_for_match(F.col("e")), text.normalize_for_match(F.col("p")))
     assert [r[0] for r in df.select(found).collect()] == [True, False, False]
     page = "Header Jane\n---\nbefore Acme Corp after\n\nnext block"
-    ctx = spark.createDataFrame([("Acme Corp", page)], "e string, p string").select(grounding_context(F.col("e"), F.col("p")))
+    ctx = spark.createDataFrame([("Acme Corp", page)], "e string, p string").select(
+        grounding_context(F.col("e"), F.col("p"), evidence_position(F.col("e"), F.col("p")))
+    )
     assert ctx.first()[0] == "\nbefore Acme Corp after"
