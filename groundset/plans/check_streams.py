@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from groundset.plans.catalog import query
 from groundset.plans.check_records import _LEADERS, _SCORE, PART_SPEC, _parts
-from groundset.plans.derived import derived, derived_sql
+from groundset.plans.derived import base, derived, derived_sql
 from groundset.session import scratch_path
 from groundset.streaming import events as ev
 from groundset.streaming.live import run_live
@@ -54,8 +54,6 @@ def stream_event_counts(spark, sf):
     sum(nulled)::bigint as fields_nulled, count(*) as pages from (select doc_id % 7 as run_id, n_chars % 9 + 3 as raw, n_chars % 4 as verified, n_chars % 2 as nulled from documents) group by 1""",
 )
 def stream_run_stats(spark, sf):
-    from groundset.plans.derived import base
-
     n = F.col("n_chars")
     pages = base(spark, sf, "documents").select(
         (F.col("doc_id") % 7).alias("run_id"), (n % 9 + 3).alias("raw"), (n % 4).alias("verified"),
@@ -83,13 +81,14 @@ def stream_tail(spark, sf):
 
 @query(
     "stream_done",
-    f"""with {_EVENTS}, {derived_sql('runs')}, asked as (select cast(c as varchar) as run_id, c * 60 as after from range(200) t(c)),
+    f"""with {_EVENTS}, {derived_sql('runs')}, asked as (select cast(c_custkey as varchar) as run_id, c_custkey * 60 as after from customer),
     new as (select distinct a.run_id from asked a join run_events e on e.run_id = a.run_id and e.id > a.after)
     select a.run_id, 'done' as event, '{{"status":"' || coalesce(r.status, 'deleted') || '"}}' as payload from asked a left join runs r on r.run_id = a.run_id
     left join new n on n.run_id = a.run_id where r.status is null or (r.status in ('completed', 'failed', 'cancelled') and n.run_id is null)""",
 )
 def stream_done(spark, sf):
-    asked = spark.range(200).select(F.col("id").cast("string").alias("run_id"), (F.col("id") * 60).alias("after"))
+    key = F.col("c_custkey")
+    asked = base(spark, sf, "customer").select(key.cast("string").alias("run_id"), (key * 60).alias("after"))
     return ev.done_rows(derived(spark, sf, "runs"), asked, derived(spark, sf, "run_events"))
 
 
