@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groundset.llm import exact, quality
+from groundset.llm import bpe, exact, packing, quality
 from groundset.llm.tables import documents, query
 
+
+@query("op2_bpe_round_trip")
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = bpe.encode_documents(docs, decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 OP5_SQL = """
 with d as (select doc_id, coalesce(text, '') as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
@@ -52,3 +66,8 @@ from m
 @query("op7_line_frequency", OP7_SQL)
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir).select("doc_id", "source", "text"))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut_pieces(documents(spark, sf_dir).select("doc_id", "text")))
