@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundset.llm import bpe, exact, packing, quality
+from groundset.llm import bpe, exact, packing, quality, simhash
 from groundset.llm.tables import documents, query
 
 
@@ -21,6 +21,14 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+@query("op3_simhash_near_dedup")
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 OP5_SQL = """
 with d as (select doc_id, coalesce(text, '') as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
