@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundset.llm import bpe, exact, packing, quality, simhash
+from groundset.llm import bpe, exact, packing, passages, quality, simhash
 from groundset.llm.tables import documents, query
 
 
@@ -29,6 +29,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+
+@query("op4_repeated_passages")
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_spans(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 OP5_SQL = """
 with d as (select doc_id, coalesce(text, '') as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
