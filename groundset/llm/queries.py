@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundset.llm import bpe, exact, packing, passages, quality, secrets, simhash
+from groundset.llm import bpe, chat, exact, packing, passages, quality, secrets, sharding, simhash, warc
 from groundset.llm.tables import documents, query
 
 
@@ -55,6 +55,22 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+SHARDS = 24
+
+
+@query("op6_feistel_shards")
+def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(spark, sf_dir).select(
+        "doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    dealt = sharding.shard(rows, ["doc_id", "text_crc32", "size"], SHARDS)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "row_number",
+    )
+
+
 OP7_SQL = """
 with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
 w as (select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words,
@@ -91,3 +107,33 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+OP9_SQL = """
+with b as (select conv_id, coalesce(trim(role, ' '), '') as speaker, coalesce(turn, 9223372036854775807) as t,
+  coalesce(text, '') as x from conversations),
+p as (select distinct conv_id, speaker as perspective from b where speaker <> 'system'),
+h as (select b.*, p.perspective,
+  case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user' end as as_role
+  from b join p on b.conv_id is not distinct from p.conv_id),
+r as (select *, '<|im_start|>' || as_role || case when as_role = 'user' then ' name=' || speaker else '' end
+  || chr(10) as head from h),
+s as (select *, head || x || '<|im_end|>' || chr(10) as segment from r),
+o as (select *, row_number() over w - 1 as position, coalesce(sum(length(segment)) over (w rows between unbounded
+  preceding and 1 preceding), 0)::bigint as first from s window w as (partition by conv_id, perspective
+  order by t, speaker, x))
+select conv_id, perspective, position, speaker, as_role, segment, first as start, first + length(segment) as "end",
+  case when as_role = 'assistant' then first + length(head) end as train_start,
+  case when as_role = 'assistant' then first + length(segment) - 1 end as train_end
+from o
+"""
+
+
+@query("op9_chat_perspectives", OP9_SQL)
+def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op10_warc_derivatives")
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
