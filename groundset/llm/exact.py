@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundset.llm.tables import carried, restored
+
 #: Parts that the rows of one text are spread over; a 64-bit mask names those in use.
 SALTS = 48
 
@@ -93,4 +95,5 @@ def drop_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS
 ) -> DataFrame:
     """`docs` without the rows that `mark_copies` drops; columns as they were."""
-    return mark_copies(docs, id_col, text_col, salts).where("kept").select(*docs.columns)
+    marked = mark_copies(carried(docs, id_col, text_col), id_col, text_col, salts)
+    return restored(marked.where("kept"), docs, id_col, text_col)

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundset.llm.tables import written
+from groundset.llm.tables import carried, restored, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BLANK = r"[\x20\x09-\x0D]+"
@@ -205,12 +205,13 @@ def clean_documents(
         & F.col(host_col).cast("string").eqNullSafe(F.col("_q_host"))
         & (own == F.col("_q_digest"))
     )
-    return (
-        docs.join(changed, same, "left")
+    left = (
+        carried(docs, id_col, host_col, text_col)
+        .join(changed, same, "left")
         .where("coalesce(_q_kept, true)")
         .withColumn(text_col, without_lines(F.col(text_col), F.col("_q_gone")))
-        .select(*docs.columns)
     )
+    return restored(left, docs, id_col, host_col, text_col)
 
 
 def without_lines(text: Column, gone: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundset.llm.tables import written
+from groundset.llm.tables import carried, restored, written
 
 #: Bounds of the model, not of the scan: labelled findings it learns from, and words of its dictionary.
 TRAIN_ROWS, DICTIONARY_WORDS = 20_000, 20_000
@@ -264,8 +264,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ),
         lambda a: F.concat(a.out, F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return (
-        docs.join(spans, same, "left")
-        .withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut))
-        .select(*docs.columns)
-    )
+    joined = carried(docs, id_col, text_col).join(spans, same, "left")
+    redacted = joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut))
+    return restored(redacted, docs, id_col, text_col)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundset.llm.components import components
-from groundset.llm.tables import written
+from groundset.llm.tables import carried, restored, written
 
 #: Words of a shingle, seed of its hash, and differing bits up to which two fingerprints link.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -154,12 +154,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .distinct()
     )
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = docs.drop("_own_text", "_nth").withColumn("_own_text", own)
+    keyed = carried(docs, id_col, text_col).withColumn("_own_text", own)
     same = F.col(id_col).eqNullSafe(F.col("_stay")) & (F.col("_own_text") == F.col("_stay_text"))
     once = Window.partitionBy("_stay", "_stay_text").orderBy(F.lit(0))
-    return (
-        keyed.join(stay, same)
-        .withColumn("_nth", F.row_number().over(once))
-        .where("_nth = 1")
-        .select(*docs.columns)
-    )
+    once_each = keyed.join(stay, same).withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    return restored(once_each, docs, id_col, text_col)

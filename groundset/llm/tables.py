@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundset.session import scratch_path
 
@@ -36,3 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def carried(docs: DataFrame, *own: str) -> DataFrame:
+    """`own` columns beside one struct `_doc` of all others, so that their names can't clash with ours."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*(others or [F.lit(0).alias("none")])).alias("_doc"))
+
+
+def restored(df: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    """The columns of `docs` again, from what `carried` made."""
+    return df.select(*[F.col(c) if c in own else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
