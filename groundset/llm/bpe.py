@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words kept by a worker, longest word kept, and characters taken at once: they bound memory, not results.
-CACHED_WORDS, CACHED_LENGTH, BLOCK = 300_000, 64, 1_000_000
+CACHED_WORDS, CACHED_LENGTH, BLOCK = 600_000, 64, 1_000_000
 NEVER = np.iinfo(np.int64).max
 
 #: Characters whose case, class and normal form are the same in every Unicode version.
