@@ -97,22 +97,39 @@ def best_fit(sizes: np.ndarray, room: int) -> list[list[int]]:
     return bins
 
 
-def _offers(bins: list[list[int]], sizes: np.ndarray, partners: list[int]) -> tuple[np.ndarray, list]:
-    """What partner bins could give: one item or two. Rows of (bin, total size); beside them the items."""
-    rows, items = [], []
-    for b in partners:
-        first: dict[int, list[int]] = {}
-        for i in bins[b]:
-            first.setdefault(int(sizes[i]), []).append(i)
-        kinds = sorted(first)
-        for k, s in enumerate(kinds):
-            rows.append((b, s))
-            items.append((first[s][0],))
-            for s2 in kinds[k:]:
-                if s2 != s or len(first[s]) > 1:
-                    rows.append((b, s + s2))
-                    items.append((first[s][0], first[s2][-1]))
-    return np.array(rows, np.int64).reshape(-1, 2), items
+def _offers(items: list[int], sizes: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
+    """What a bin could give: one item or two, each combination of sizes once, as (total size, items)."""
+    first: dict[int, list[int]] = {}
+    for i in items:
+        first.setdefault(int(sizes[i]), []).append(i)
+    kinds = sorted(first)
+    out = [(s, (first[s][0],)) for s in kinds]
+    for k, s in enumerate(kinds):
+        out += [(s + s2, (first[s][0], first[s2][-1])) for s2 in kinds[k:] if s2 != s or len(first[s]) > 1]
+    return out
+
+
+class _Book:
+    """All offers of the underfull bins, sorted by size; a bin without any gives place for a move (size 0)."""
+
+    def __init__(self, bins: list[list[int]], sizes: np.ndarray, live: list[int]):
+        self.sizes = sizes
+        self.size, self.bin, self.pair = (np.zeros(0, np.int64) for _ in range(3))
+        self.items = np.zeros(0, object)
+        self.replace(bins, live)
+
+    def replace(self, bins: list[list[int]], changed: list[int]) -> None:
+        rows = [(0, b, ()) for b in changed]
+        rows += [(s, b, items) for b in changed for s, items in _offers(bins[b], self.sizes)]
+        stay = ~np.isin(self.bin, changed)
+        names = np.empty(len(rows), object)
+        names[:] = [r[2] for r in rows]
+        size = np.append(self.size[stay], [r[0] for r in rows])
+        order = np.argsort(size, kind="stable")
+        self.size = size[order]
+        self.bin = np.append(self.bin[stay], [r[1] for r in rows])[order]
+        self.pair = np.append(self.pair[stay], [len(r[2]) for r in rows])[order]
+        self.items = np.append(self.items[stay], names)[order]
 
 
 def exchange(bins: list[list[int]], sizes: np.ndarray, room: int) -> list[list[int]]:
@@ -124,41 +141,42 @@ def exchange(bins: list[list[int]], sizes: np.ndarray, room: int) -> list[list[i
     """
     fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
     least = -(-int(sizes.sum()) // room)
-    live = len(bins)
+    live, book = len(bins), None
     for target in np.argsort(fill, kind="stable").tolist():
         if live <= least:
             break
-        partners = [b for b in np.flatnonzero((fill > 0) & (fill < room)).tolist() if b != target]
-        # Without its own items' size in free room elsewhere a bin can't be emptied.
-        if int((room - fill[partners]).sum()) < fill[target]:
+        open_bins = (fill > 0) & (fill < room)
+        open_bins[target] = False
+        # Without room for its items elsewhere a bin can't be emptied.
+        if int((room - fill[open_bins]).sum()) < fill[target]:
             continue
-        while bins[target] and partners:
-            rows, items = _offers(bins, sizes, partners)
-            given, of = np.append(rows[:, 1], np.zeros(len(partners), np.int64)), np.append(rows[:, 0], partners)
-            own_rows, own_items = _offers(bins, sizes, [target])
-            best = (0, 0, 0)
-            for k, x in enumerate(own_rows[:, 1].tolist()):
-                shift = x - given
-                ok = (shift > 0) & (shift <= room - fill[of]) & (fill[of] + shift > fill[target])
-                if len(own_items[k]) == 2:
-                    ok[: len(items)] &= np.fromiter((len(i) == 1 for i in items), bool, len(items))
+        book = book or _Book(bins, sizes, np.flatnonzero((fill > 0) & (fill < room)).tolist())
+        while bins[target]:
+            widest = int((room - fill[open_bins]).max(initial=0))
+            best = (0, 0, -1, ())
+            for x, own in _offers(bins[target], sizes):
+                low, high = np.searchsorted(book.size, (x - widest, x))
+                of, shift = book.bin[low:high], x - book.size[low:high]
+                ok = (of != target) & (shift <= room - fill[of]) & (fill[of] > 0)
+                if len(own) == 2:
+                    ok &= book.pair[low:high] == 1
                 gain = np.where(ok, 2 * shift * (fill[of] - fill[target] + shift), 0)
-                at = int(gain.argmax())
-                best = max(best, (int(gain[at]), k, at))
-            gain, k, at = best
+                if len(gain) and (g := int(gain.max())) > best[0]:
+                    best = (g, x, low + int(gain.argmax()), own)
+            gain, x, at, own = best
             if gain <= 0:
                 break
-            b, taken = int(of[at]), items[at] if at < len(items) else ()
-            for i in own_items[k]:
+            b, taken, shift = int(book.bin[at]), book.items[at], x - int(book.size[at])
+            for i in own:
                 bins[target].remove(i)
             for i in taken:
                 bins[b].remove(i)
-            bins[b] += own_items[k]
+            bins[b] += own
             bins[target] += taken
-            fill[b] += own_rows[k, 1] - given[at]
-            fill[target] -= own_rows[k, 1] - given[at]
-            if fill[b] == room:
-                partners.remove(b)
+            fill[b] += shift
+            fill[target] -= shift
+            open_bins[b] = fill[b] < room
+            book.replace(bins, [b, target])
         live -= not bins[target]
     return [b for b in bins if b]
 
@@ -201,8 +219,8 @@ def _packed(pieces: DataFrame, room: int, groups: int, first: int) -> DataFrame:
 def pack(pieces: DataFrame, room: int = SEQUENCE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """`pieces` (with a `length` from 1 to `room`) with sequence_id and offset; every row is placed.
 
-    Pieces are packed in groups of about `group_rows`; what the groups leave in underfull bins is packed once
-    more together, in as many groups as that takes. Columns sequence_id and offset of `pieces` are replaced.
+    Pieces are packed in groups of about `group_rows`; what the groups leave in bins with more than a
+    64th free is packed once more together, in as many groups as that takes. Columns sequence_id and offset of `pieces` are replaced.
     """
     base = pieces.drop("sequence_id", "offset", "_fill", "_group", "_row")
     table = written(base.withColumn("_row", F.monotonically_increasing_id()), "pieces")
@@ -210,7 +228,7 @@ def pack(pieces: DataFrame, room: int = SEQUENCE, group_rows: int = GROUP_ROWS)
     if groups == 1:
         return _packed(table, room, 1, 0).drop("_row", "_fill")
     once = written(_packed(table, room, groups, 0), "packed")
-    short = F.col("_fill") < room
+    short = F.col("_fill") < room - room // 64
     rest = once.where(short).drop("sequence_id", "offset", "_fill")
     more = max(1, -(-rest.count() // group_rows))
     again = _packed(rest, room, more, groups)
