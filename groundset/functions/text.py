@@ -50,14 +50,11 @@ LEGAL_WORDS = (
     "corp", "corporation", "co", "company",
 )
 
-# Chunking and text limits.
+# Chunk sizes and least lengths.
 CHUNK_SIZE = 8000
 CHUNK_OVERLAP = 500
-MAX_CHUNKS_PER_PAGE = 4
-MAX_TEXT_CHARS = 32_000
 MIN_MAIN_CHARS = 80
 MIN_TEXT_CHARS = 50
-MAX_RESPONSE_CHARS = 2 * 1024 * 1024
 
 
 @F.pandas_udf(T.StringType())
@@ -181,7 +178,7 @@ def chunks(
     text: Column,
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
-    max_chunks: int | None = MAX_CHUNKS_PER_PAGE,
+    max_chunks: int | None = None,
 ) -> Column:
     """Array of overlapping chunks; a text of at most `size` characters is one chunk."""
     step = size - overlap
@@ -230,7 +227,7 @@ def whole_page_text(markup: Column) -> Column:
     return _visible(F.regexp_replace(markup, _INVISIBLE, ""))
 
 
-def usable_text(markup: Column, max_chars: int | None = MAX_TEXT_CHARS) -> Column:
+def usable_text(markup: Column, max_chars: int | None = None) -> Column:
     """Main text, else whole-page text when under 80 characters; null below 50."""
     def readable(main):
         return F.when(F.length(strip(main)) < MIN_MAIN_CHARS, whole_page_text(markup)).otherwise(main)

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from groundset.functions.urls import canonical_url
 
-# Limits per query and wave.
-LIMIT_PER_QUERY = 10
-WAVE2_LIMIT_PER_QUERY = 8
+# Fixed value: records below which a run gets a second wave.
 WAVE2_YIELD = 10
 
 
-def top_per_query(results: DataFrame, limit: int = LIMIT_PER_QUERY) -> DataFrame:
+def top_per_query(results: DataFrame, limit: int) -> DataFrame:
     """First `limit` results of each query; the limit is applied before the shuffle too."""
     order = Window.partitionBy("run_id", "query_idx").orderBy("rank", "url")
     return results.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
@@ -34,7 +32,7 @@ def merge_waves(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.withColumn("wave", F.lit(1)).unionByName(fresh.withColumn("wave", F.lit(2)))
 
 
-def within_budget(visits: DataFrame, order: list[str], max_pages: int | str = 8) -> DataFrame:
+def within_budget(visits: DataFrame, order: list[str], max_pages: int | str) -> DataFrame:
     """Candidates visited before the page budget is used up.
 
     `processed` marks candidates that cost budget; blocked and failed ones do not. The cut is the

@@ -10,19 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundset.functions import text
+from groundset.operators.skew import with_prefix
+from groundset.session import cut_lineage
 from groundset.spec import TaskSpec
 
 Extractor = Callable[[str, str], list[dict]]
 
 
 def accept_pages(
-    pages: DataFrame, max_response_chars: int | None = text.MAX_RESPONSE_CHARS, max_text_chars: int | None = text.MAX_TEXT_CHARS
+    pages: DataFrame, max_response_chars: int | None = None, max_text_chars: int | None = None
 ) -> DataFrame:
     """Add `text`, `status` and `fail_reason` to `(url, html, http_status, content_type, snippet)`.
 
     A page fails on an error status, a non-HTML type or too little text; its search snippet of at
-    least 50 characters then stands in.
+    least 50 characters then stands in. Whole pages are read unless a limit is given.
     """
+    return with_snippets(page_bodies(pages, max_response_chars, max_text_chars))
+
+
+def page_bodies(
+    pages: DataFrame, max_response_chars: int | None = None, max_text_chars: int | None = None
+) -> DataFrame:
+    """Add `text` and `fail_reason` to `(html, http_status, content_type)`: what each page itself gives."""
     html = F.col("html")
     if max_response_chars is not None:
         html = F.substring(html, 1, max_response_chars)
@@ -32,23 +41,17 @@ def accept_pages(
               F.concat(F.lit("Not HTML: "), F.coalesce("content_type", F.lit(""))))
     )
     body = F.when(http_reason.isNull(), text.usable_text(html, max_text_chars))
-    df = pages.withColumn("_body", body)
-    reason = F.coalesce(
-        http_reason, F.when(F.col("_body").isNull(), "Insufficient text content after extraction")
-    )
+    short = F.when(F.col("text").isNull(), "Insufficient text content after extraction")
+    return pages.withColumn("text", body).withColumn("fail_reason", F.coalesce(http_reason, short))
+
+
+def with_snippets(bodies: DataFrame) -> DataFrame:
+    """Add `status`; where a page failed, a search `snippet` of at least 50 characters becomes its text."""
     snippet = text.strip(F.col("snippet"))
-    stands_in = reason.isNotNull() & (F.length(snippet) >= text.MIN_TEXT_CHARS)
-    return (
-        df.withColumn("fail_reason", reason)
-        .withColumn("text", F.coalesce("_body", F.when(stands_in, snippet)))
-        .withColumn(
-            "status",
-            F.when(F.col("fail_reason").isNull(), "fetched")
-            .when(stands_in, "via_search_provider")
-            .otherwise("failed"),
-        )
-        .drop("_body")
-    )
+    failed = F.col("fail_reason").isNotNull()
+    stands_in = failed & (F.length(snippet) >= text.MIN_TEXT_CHARS)
+    status = F.when(stands_in, "via_search_provider").when(failed, "failed").otherwise("fetched")
+    return bodies.withColumn("status", status).withColumn("text", F.coalesce("text", F.when(stands_in, snippet)))
 
 
 def chunk_pages(pages: DataFrame, text_column: str = "text", **limits) -> DataFrame:
@@ -62,11 +65,6 @@ def chunk_pages(pages: DataFrame, text_column: str = "text", **limits) -> DataFr
     )
 
 
-def arrival_order(page_order: Column, chunk_idx: Column, pos: Column) -> Column:
-    """Position of a record in its run: page, then chunk, then place in the chunk."""
-    return F.shiftleft(page_order.cast("bigint"), 32) + F.shiftleft(chunk_idx.cast("bigint"), 16) + pos
-
-
 def drop_repeated_evidence(records: DataFrame) -> DataFrame:
     """In pages of several chunks, keep the first record of each evidence text.
 
@@ -74,21 +72,25 @@ def drop_repeated_evidence(records: DataFrame) -> DataFrame:
     """
     key = F.coalesce(text.lower_trim(F.col("evidence")), F.lit(""))
     bound = (F.col("n_chunks") > 1) & (key != "")
-    keyed = records.withColumn("_key", F.when(bound, key))
-    once = keyed.filter(F.col("_key").isNotNull()).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("run_id", "page_id", "_key").orderBy("arrival"))
-    )
-    kept = once.filter(F.col("_n") == 1).drop("_n")
-    return kept.unionByName(keyed.filter(F.col("_key").isNull())).drop("_key")
+    # A record that nothing can repeat is a group of its own.
+    keyed = records.withColumns({"_key": F.when(bound, key), "_own": F.when(~bound, F.col("arrival"))})
+    order = Window.partitionBy("run_id", "page_id", "_key", "_own").orderBy("arrival")
+    return keyed.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_key", "_own")
 
 
 def extract_records(
-    pages: DataFrame, spec: TaskSpec, extractor: Extractor, batch_rows: int | None = None, **limits
+    pages: DataFrame, spec: TaskSpec, extractor: Extractor, **limits
 ) -> DataFrame:
-    """Run a user extractor over every chunk: `extractor(chunk, url) -> list of dicts`.
+    """The records of `extract_pages`, typed and in order, without the failed pages."""
+    return records_of(extract_pages(pages, spec, extractor, **limits), spec)
 
-    Pages carry `run_id, page_id, page_order, url, text`. Values are cast to the declared types; a
-    page whose extractor raises yields nothing. Runs as a map over Arrow batches, no shuffle.
+
+def extract_pages(pages: DataFrame, spec: TaskSpec, extractor: Extractor, **limits) -> DataFrame:
+    """Run a user extractor once over every chunk: `extractor(chunk, url) -> list of dicts`.
+
+    Pages carry `run_id, page_id, page_order, url, text`. The result has a row per record, its values as
+    text, and one row with `error` for a page whose extractor raised. It is checkpointed: the extractor is
+    the dearest step and need not be deterministic.
     """
     names = [*spec.names, "evidence"]
     by_type = {f.name: f.type for f in spec.fields}
@@ -101,6 +103,7 @@ def extract_records(
             T.StructField("chunk_idx", T.IntegerType()),
             T.StructField("pos", T.IntegerType()),
             *[T.StructField(n, T.StringType()) for n in names],
+            T.StructField("error", T.StringType()),
         ]
     )
 
@@ -118,9 +121,10 @@ def extract_records(
                     for i, chunk in enumerate(page.chunks):
                         for pos, rec in enumerate(extractor(chunk, page.url)):
                             values = [printed(n, rec.get(n)) for n in names]
-                            found.append((page.run_id, page.page_id, page.page_order, len(page.chunks), i, pos, *values))
-                except Exception:  # noqa: BLE001 - a broken page must not end the job
-                    found = []
+                            found.append((page.run_id, page.page_id, page.page_order, len(page.chunks), i, pos, *values, None))
+                except Exception as exc:  # noqa: BLE001 - a broken page must not end the job
+                    message = f"{type(exc).__name__}: {exc}"
+                    found = [(page.run_id, page.page_id, page.page_order, len(page.chunks), 0, 0, *[None] * len(names), message)]
                 rows.extend(found)
             yield pd.DataFrame(rows, columns=schema.names)
 
@@ -128,35 +132,63 @@ def extract_records(
         "run_id", "page_id", F.col("page_order").cast("bigint").alias("page_order"), "url",
         text.chunks(F.col("text"), **limits).alias("chunks"),
     )
-    raw = whole.mapInPandas(run, schema)
+    return cut_lineage(whole.mapInPandas(run, schema))
+
+
+def records_of(extracted: DataFrame, spec: TaskSpec) -> DataFrame:
+    """Typed records of `extract_pages`; `arrival` numbers them by page, chunk and place in the chunk."""
     typed = [
         (F.col(f.name).try_cast(f.spark_type) if f.spark_type != T.StringType() else F.col(f.name)).alias(f.name)
         for f in spec.fields
     ]
-    records = raw.select(
-        "run_id", "page_id", "page_order", "n_chunks",
-        arrival_order(F.col("page_order"), F.col("chunk_idx"), F.col("pos")).alias("arrival"),
+    sound = with_prefix(
+        extracted.filter("error is null").drop("error"), ["run_id"], ["page_order", "page_id", "chunk_idx", "pos"], "arrival"
+    )
+    records = sound.select(
+        "run_id", "page_id", "page_order", "n_chunks", "arrival",
         *typed, F.coalesce("evidence", F.lit("")).alias("evidence"),
         F.array().cast("array<string>").alias("flags"),
     )
     return drop_repeated_evidence(records)
 
 
+def failures_of(extracted: DataFrame) -> DataFrame:
+    """Pages whose extractor raised: `(run_id, page_id, error)`."""
+    return extracted.filter("error is not null").select("run_id", "page_id", "error")
+
+
 def prompt_text(chunk: Column, url: Column, spec: TaskSpec) -> Column:
     """Extraction request for one chunk, for users who feed a model in batch."""
+    wanted = F.array(*[F.struct(*[F.lit(v) for v in (f.name, f.type, f.required, f.description)]) for f in spec.fields])
+    kept = F.map_entries(F.create_map(*[F.lit(x) for pair in spec.filters.items() for x in pair]).cast("map<string,string>"))
+    return request_text(chunk, url, F.lit(spec.title), F.lit(spec.entity), wanted, kept)
+
+
+def request_text(chunk: Column, url: Column, title: Column, entity: Column, fields: Column, filters: Column) -> Column:
+    """The request from columns, so that rows of runs with different specs go together.
+
+    `fields` is an array of structs (name, type, required, description), `filters` one of (key, value).
+    """
+
+    def field_line(f: Column) -> Column:
+        name, kind, required, description = (f[f"col{i}"] for i in range(1, 5))
+        star = F.when(required, "*").otherwise("")
+        return F.concat(F.lit("- "), name, F.lit(" ("), kind, star, F.lit("): "), description)
+
+    listed = F.array_join(F.transform(filters, lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"])), "\n")
     # The wording and layout of the request.
-    fields = "\n".join(f"- {f.name} ({f.type}{'*' if f.required else ''}): {f.description}" for f in spec.fields)
-    filters = "\n".join(f"- {k}: {v}" for k, v in spec.filters.items()) or "None"
-    title = f"Task: {spec.title}\n" if spec.title else ""
-    head = (
-        f"{title}Entity: {spec.entity}\n\nFields to extract:\n{fields}\n\n"
-        "Filters (skip records that don't match; if an optional detail like stipend or email is not "
-        "mentioned in the text for an otherwise matching entity, extract it with that field as null):\n"
-        f"{filters}\n\nSource URL: "
-    )
     return F.concat(
-        F.lit(head), url, F.lit("\n\n<UNTRUSTED_PAGE_DATA>\n"), chunk, F.lit("\n</UNTRUSTED_PAGE_DATA>")
-    )
+        F.when(title != "", F.concat(F.lit("Task: "), title, F.lit("\n"))).otherwise(""),
+        F.lit("Entity: "), entity,
+        F.lit("\n\nFields to extract:\n"), F.array_join(F.transform(fields, field_line), "\n"),
+        F.lit(
+            "\n\nFilters (skip records that don't match; if an optional detail like stipend or email is not "
+            "mentioned in the text for an otherwise matching entity, extract it with that field as null):\n"
+        ),
+        F.when(F.size(filters) > 0, listed).otherwise("None"),
+        F.lit("\n\nSource URL: "), url,
+        F.lit("\n\n<UNTRUSTED_PAGE_DATA>\n"), chunk, F.lit("\n</UNTRUSTED_PAGE_DATA>"),
+    )
 
 
 def read_responses(responses: DataFrame, spec: TaskSpec, column: str = "response") -> DataFrame:

@@ -173,13 +173,13 @@ def record_id(spark, sf):
 
 @query(
     "chunk_text",
-    """with n as (select doc_id, text, case when length(text) <= 8000 then 1 else least(4, cast(ceil(length(text) / 7500.0) as int)) end as n from documents)
-    select doc_id, cast(i as bigint) as chunk_idx, cast(n as bigint) as n_chunks, md5(substring(text, cast(i as int) * 7500 + 1, 8000)) as digest,
-           cast(length(substring(text, cast(i as int) * 7500 + 1, 8000)) as bigint) as chars
+    """with n as (select doc_id, text, case when length(text) <= 2000 then 1 else cast(ceil(length(text) / 1800.0) as int) end as n from documents)
+    select doc_id, cast(i as bigint) as chunk_idx, cast(n as bigint) as n_chunks, md5(substring(text, cast(i as int) * 1800 + 1, 2000)) as digest,
+           cast(length(substring(text, cast(i as int) * 1800 + 1, 2000)) as bigint) as chars
     from n, unnest(range(n)) as u(i)""",
 )
 def chunk_text(spark, sf):
-    return _chunks(spark, sf, max_chunks=text.MAX_CHUNKS_PER_PAGE)
+    return _chunks(spark, sf, size=2000, overlap=200)
 
 
 @query(
@@ -190,12 +190,12 @@ def chunk_text(spark, sf):
     from n, unnest(range(n)) as u(i)""",
 )
 def chunk_text_whole(spark, sf):
-    return _chunks(spark, sf, max_chunks=None)
+    return _chunks(spark, sf)
 
 
-def _chunks(spark, sf, max_chunks):
+def _chunks(spark, sf, **sizes):
     docs = texts(spark, sf, "documents").select("doc_id", "text")
-    return chunk_pages(docs, max_chunks=max_chunks).select(
+    return chunk_pages(docs, **sizes).select(
         "doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.col("n_chunks").cast("bigint").alias("n_chunks"),
         F.md5("chunk").alias("digest"), F.length("chunk").cast("bigint").alias("chars"),
     )

@@ -12,6 +12,7 @@ from groundset.plans.derived import base, derived, derived_sql
 from groundset.session import scratch_path
 from groundset.sinks import store as sink
 from groundset.sinks.exports import source_sheet
+from groundset.sources.store import read_current
 
 _RUNS, _RECORDS, _SOURCES, _EVIDENCE, _EVENTS, _TASKS = (
     derived_sql(n) for n in ("runs", "records", "sources", "evidence", "run_events", "tasks")
@@ -434,20 +435,17 @@ def cascade_delete(spark, sf):
 @query(
     "replace_runs",
     f"""with {_RECORDS} select run_id, record_id, case when run_id::bigint % 8 = 0 then 0.25::double else confidence end as confidence
-    from records where run_id::bigint % 8 < 2""",
+    from records where run_id::bigint % 8 <> 4""",
 )
 def replace_runs(spark, sf):
-    """Write the records of some runs, replace the even ones, read back."""
+    """Write the records of all runs, replace those of every eighth run, empty others, read back."""
     root = scratch_path(spark, "store")
-    n = F.col("run_id").cast("bigint")
-    rows = _records(spark, sf).withColumn("dedupe_key", F.lit("k")).withColumn("bucket", n % 8).filter("bucket < 2")
-    # Runs are grouped into few folders here; one folder per run is for stores of fewer runs.
-    rows = rows.withColumn("record_run", F.col("run_id")).withColumn("run_id", F.concat(F.lit("b"), F.col("bucket").cast("string")))
-    rows = rows.withColumn("data", F.map_concat("data", F.create_map(F.lit("run"), F.col("record_run"))))
-    sink.replace_runs(rows, root, "records")
-    sink.replace_runs(rows.filter("bucket = 0").withColumn("confidence", F.lit(0.25)), root, "records")
-    back = spark.read.parquet(f"{root}/records")
-    return back.select(F.col("data")["run"].alias("run_id"), "record_id", "confidence")
+    n = F.col("run_id").cast("bigint") % 8
+    rows = _records(spark, sf).withColumn("dedupe_key", F.lit("k"))
+    sink.replace_runs({"records": rows}, root, rows, 0)
+    again = rows.filter(n == 0).withColumn("confidence", F.lit(0.25))
+    sink.replace_runs({"records": again}, root, rows.filter(n.isin(0, 4)), 1)
+    return read_current(spark, root, "records").select("run_id", "record_id", "confidence")
 
 
 # Only task specs are complete; a run's own snapshot here lacks its fields and counts as unusable.

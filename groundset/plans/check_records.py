@@ -432,8 +432,8 @@ def first_line_extractor(chunk: str, url: str) -> list[dict]:
     "extract_records",
     f"""with t as (select page_id % 4 as run_id, page_id, {q.usable_text('html')} as text from pages),
     c as (select run_id, page_id, i, substring(text, cast(i as int) * 7500 + 1, 8000) as chunk,
-      case when length(text) <= 8000 then 1 else least(4, cast(ceil(length(text) / 7500.0) as int)) end as n
-      from t, unnest(range(4)) as u(i) where text is not null and (i = 0 or (length(text) > 8000 and i * 7500 < length(text)))),
+      case when length(text) <= 8000 then 1 else cast(ceil(length(text) / 7500.0) as int) end as n
+      from t, unnest(range(cast(length(text) // 7500 + 1 as int))) as u(i) where text is not null and (i = 0 or (length(text) > 8000 and i * 7500 < length(text)))),
     r as (select run_id, page_id, i, n, string_split(chunk, chr(10))[1] as line from c where string_split(chunk, chr(10))[1] <> ''),
     k as (select *, row_number() over (partition by page_id, lower({q.strip('line')}) order by i) as rn from r)
     select run_id, page_id, substring(line, 1, 60) as title, len(list_filter(string_split_regex(line, '\\s+'), lambda w: w <> '')) as words, line as evidence

@@ -91,12 +91,12 @@ def resolved_addresses(spark, sf):
 @query(
     "redirect_chains",
     """select page_id, case when page_id % 5 = 0 then 'Redirect blocked: Blocked domain: www.facebook.com (https://www.facebook.com/' || page_id || ')'
-      when page_id % 6 > 3 then 'Too many redirects' end as reason from pages where page_id % 6 > 0""",
+      when page_id % 6 > 2 then 'Too many redirects' end as reason from pages""",
 )
 def redirect_chains(spark, sf):
-    """Chains of up to five hops; in every fifth chain the first hop leads to a blocked host."""
-    pages = texts(spark, sf, "pages").filter(F.col("page_id") % 6 > 0)
-    hops = pages.select("page_id", F.explode(F.sequence(F.lit(1), (F.col("page_id") % 6).cast("int"))).alias("hop"))
+    """Chains of one to six hops; in every fifth chain the first hop leads to a blocked host."""
+    pages = texts(spark, sf, "pages")
+    hops = pages.select("page_id", F.explode(F.sequence(F.lit(1), (F.col("page_id") % 6 + 1).cast("int"))).alias("hop"))
     blocked = (F.col("page_id") % 5 == 0) & (F.col("hop") == 1)
     target = F.when(blocked, F.concat(F.lit("https://www.facebook.com/"), F.col("page_id").cast("string")))
     chains = hops.select(
@@ -109,7 +109,7 @@ def redirect_chains(spark, sf):
 @query(
     "accept_pages",
     f"""with t as (select page_id, case when page_id % 9 = 0 then 503 else 200 end as http, case when page_id % 10 = 3 then 'application/pdf' else 'text/html; charset=utf-8' end as ct,
-      case when page_id % 4 = 0 then repeat('word ', 20) else ' short ' end as snippet, {q.usable_text("case when page_id % 7 = 0 then '<p>tiny</p>' else html end", 32000)} as body from pages),
+      case when page_id % 4 = 0 then repeat('word ', 20) else ' short ' end as snippet, {q.usable_text("case when page_id % 7 = 0 then '<p>tiny</p>' else html end")} as body from pages),
     r as (select *, case when http >= 400 then 'HTTP ' || http when ct = 'application/pdf' then 'Not HTML: application/pdf' when body is null then 'Insufficient text content after extraction' end as reason from t)
     select page_id, reason as fail_reason, case when reason is null then 'fetched' when page_id % 4 = 0 then 'via_search_provider' else 'failed' end as status,
       case when reason is null then body when page_id % 4 = 0 then trim(snippet) end as text from r""",
@@ -147,7 +147,7 @@ def canonical_first_seen(spark, sf):
     f"with {_CAND}, n as (select *, row_number() over (partition by run_id, query_idx order by rank, url) as n from candidates) select run_id, query_idx, rank, url from n where n <= 10",
 )
 def top_per_query(spark, sf):
-    return cand.top_per_query(derived(spark, sf, "candidates")).select("run_id", "query_idx", "rank", "url")
+    return cand.top_per_query(derived(spark, sf, "candidates"), 10).select("run_id", "query_idx", "rank", "url")
 
 
 @query(

@@ -10,6 +10,7 @@ from groundset.plans.catalog import query
 from groundset.plans.check_records import _LEADERS, _SCORE, PART_SPEC, _parts
 from groundset.plans.derived import base, derived, derived_sql
 from groundset.session import scratch_path
+from groundset.sources.store import read_current
 from groundset.streaming import events as ev
 from groundset.streaming.live import run_live
 from groundset.streaming.throttle import throttle_stream
@@ -28,9 +29,11 @@ def _streamed(spark, df, order: str):
     for high in [*cuts, None]:
         part = df if low is None else df.filter(place > low)
         part = part if high is None else part.filter(place <= high)
-        part.coalesce(2).write.mode("append").parquet(source)
+        part.write.mode("append").parquet(source)
         low = high
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    # Files are read in the order of writing; a batch takes its share of them, however many there are.
+    share = max(1, len(spark.read.parquet(source).inputFiles()) // BATCHES)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", share).parquet(source)
     return stream, root
 
 
@@ -122,7 +125,7 @@ def stream_live_dataset(spark, sf):
     stream, root = _streamed(spark, _parts(spark, sf), "arrival")
     run_live(stream, root, PART_SPEC, os.path.join(root, "cp")).awaitTermination()
     data = F.col("data")
-    return spark.read.parquet(os.path.join(root, "records")).select(
+    return read_current(spark, root, "records").select(
         F.col("run_id").cast("string").alias("run_id"), "record_id", data["name"].alias("name"),
         data["brand"].alias("brand"), "confidence",
     )

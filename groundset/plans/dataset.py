@@ -11,6 +11,7 @@ from groundset.functions.text import sorted_tokens
 from groundset.functions.urls import host
 from groundset.operators import candidates as cand
 from groundset.operators import clean, fuzzy, pages, policy, report, verify
+from groundset.operators.skew import with_prefix
 from groundset.session import cut_lineage
 from groundset.spec import TaskSpec
 
@@ -62,6 +63,7 @@ class Collected(NamedTuple):
     verified: DataFrame
     stats: DataFrame
     drop_reasons: DataFrame
+    failures: DataFrame
 
 
 def collect(
@@ -69,27 +71,46 @@ def collect(
     fetched: DataFrame,
     spec: TaskSpec,
     extractor: pages.Extractor,
-    max_pages: int = 8,
+    max_pages: int | None = None,
     robots_rules: DataFrame | None = None,
     dns: DataFrame | None = None,
     blocked: tuple[str, ...] = policy.BLOCKED_HOSTS,
-    max_text_chars: int | None = pages.text.MAX_TEXT_CHARS,
+    max_response_chars: int | None = None,
+    max_text_chars: int | None = None,
+    max_chunks: int | None = None,
+    limit_per_query: int | None = None,
+    redirects: DataFrame | None = None,
     **options,
 ) -> Collected:
     """Candidate URLs and fetched pages to a dataset with its sources and statistics.
 
     `candidates(run_id, query_idx, rank, url, title, snippet)`,
-    `fetched(url, html, http_status, content_type)`. A candidate without a fetched page fails.
+    `fetched(url, html, http_status, content_type)`. A candidate without a fetched page fails. All
+    candidates, whole pages and all chunks are used unless a limit is given; `redirects(url, hop, target)`
+    are checked like the URLs themselves. Each page's text is extracted once, however many runs want it.
     """
     spec = spec.with_capped_required()
+    if limit_per_query is not None:
+        candidates = cand.top_per_query(candidates, limit_per_query)
     gated = policy.with_policy(cand.first_seen(candidates), "url", robots_rules, dns, blocked)
     gated = gated.drop("host").withColumn("domain", F.coalesce(host(F.col("url")), F.lit("")))
-    page = fetched.select("url", "html", "http_status", "content_type", F.lit(True).alias("_fetched"))
-    open_urls = gated.filter("allowed").join(page, "url", "left")
-    absent = F.col("_fetched").isNull()
-    accepted = pages.accept_pages(open_urls, max_text_chars=max_text_chars).withColumn(
-        "fail_reason", F.when(absent, "Not fetched").otherwise(F.col("fail_reason"))
-    )
+    if redirects is not None:
+        led = policy.check_redirects(redirects, blocked=blocked).select("url", F.col("reason").alias("_led"))
+        gated = gated.join(led.filter("_led is not null"), "url", "left")
+        gated = gated.withColumns(
+            {
+                "reason": F.when(F.col("allowed") & F.col("_led").isNotNull(), F.col("_led")).otherwise(F.col("reason")),
+                "allowed": F.col("allowed") & F.col("_led").isNull(),
+            }
+        ).drop("_led")
+    # Visits are numbered within their run, so that later orders need one number.
+    gated = cut_lineage(with_prefix(gated, ["run_id"], ["query_idx", "rank", "url"], count="page_order"))
+    page = fetched.join(gated.filter("allowed").select("url").distinct(), "url", "left_semi")
+    bodies = pages.page_bodies(page, max_response_chars, max_text_chars)
+    bodies = cut_lineage(bodies.select("url", "text", "fail_reason", "http_status", F.lit(True).alias("_fetched")))
+    found = gated.filter("allowed").join(bodies, "url", "left")
+    absent = F.when(F.col("_fetched").isNull(), "Not fetched")
+    accepted = pages.with_snippets(found.withColumn("fail_reason", F.coalesce("fail_reason", absent)))
     accepted = accepted.select(*gated.columns, "text", "status", "fail_reason", "http_status")
     shut = gated.filter(~F.col("allowed")).select(
         *gated.columns, F.lit(None).cast("string").alias("text"),
@@ -97,11 +118,13 @@ def collect(
         F.lit(None).cast("string").alias("fail_reason"), F.lit(None).cast("int").alias("http_status"),
     )
     visits = accepted.unionByName(shut).withColumn("processed", F.col("status").isin("fetched", "via_search_provider"))
-    order = F.shiftleft(F.col("query_idx").cast("bigint"), 16) + F.col("rank")
-    visits = visits.withColumn("page_order", order).withColumn("source_id", F.sha1(F.concat_ws(":", "run_id", "url")))
-    visits = cut_lineage(cand.within_budget(visits, ["page_order", "url"], max_pages))
+    visits = visits.withColumn("source_id", F.sha1(F.concat_ws(":", "run_id", "url")))
+    if max_pages is not None:
+        visits = cand.within_budget(visits, ["page_order"], max_pages)
+    visits = cut_lineage(visits)
     texts = visits.filter("processed").withColumn("page_id", F.col("source_id"))
-    raw = cut_lineage(pages.extract_records(texts, spec, extractor))
+    extracted = pages.extract_pages(texts, spec, extractor, max_chunks=max_chunks)
+    raw = cut_lineage(pages.records_of(extracted, spec))
     checked = verify.verify_for_spec(raw, texts, spec).withColumn("source_id", F.col("page_id"))
     verified = cut_lineage(checked)
     dataset = build_dataset(verified.filter("verified").drop("verified", "n_nulled", "page_id"), spec, **options)
@@ -112,4 +135,4 @@ def collect(
     sources = report.with_records_found(audited, verified)
     stats = report.run_stats(verified, dataset.validated, dataset.records, sources)
     reasons = report.drop_reasons(sources, verified, dataset.validated)
-    return Collected(dataset, sources, verified, stats, reasons)
+    return Collected(dataset, sources, verified, stats, reasons, pages.failures_of(extracted))

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundset.sources.store import BY_RUN, TABLES, table_path
+from groundset.sources.store import RUN_VERSIONS, TABLES, table_path
 
 
 def append(df: DataFrame, root: str, name: str) -> None:
-    writer = df.select(*TABLES[name].fieldNames()).write.mode("append")
-    if name in BY_RUN:
-        writer = writer.partitionBy("run_id")
-    writer.parquet(table_path(root, name))
-
-
-def replace_runs(df: DataFrame, root: str, name: str) -> None:
-    """Overwrite the folders of the runs present in `df`, and only those."""
-    (
-        df.select(*TABLES[name].fieldNames())
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(table_path(root, name))
-    )
+    df.select(*TABLES[name].fieldNames()).write.mode("append").parquet(table_path(root, name))
+
+
+def replace_runs(tables: dict[str, DataFrame], root: str, touched: DataFrame, version: int) -> None:
+    """Replace all rows of the `touched` runs (`run_id`) in several tables at once.
+
+    The new rows form a version of their own, one folder for all runs. Once every table is written, the
+    touched runs are pointed to it in a single write, so readers of `read_current` see all tables switch
+    together, and a run without new rows is empty. Versions must grow; writing one again replaces it.
+    """
+    for name, df in tables.items():
+        _write_version(df.select(*TABLES[name].fieldNames()), root, name, version)
+    runs = touched.select(F.col("run_id").cast("string").alias("run_id")).distinct()
+    _write_version(runs, root, RUN_VERSIONS, version)
+
+
+def _write_version(df: DataFrame, root: str, name: str, version: int) -> None:
+    df.write.mode("overwrite").parquet(f"{table_path(root, name)}/version={version}")
 
 
 def event_rows(

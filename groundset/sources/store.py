@@ -34,8 +34,8 @@ TABLES = {
     ),
 }
 
-# Tables replaced run by run are laid out by run, so a rewrite touches only its own folders.
-BY_RUN = ("records", "record_evidence")
+# Tables replaced run by run keep every version of a run; this one names the version that counts.
+RUN_VERSIONS = "run_versions"
 
 
 def table_path(root: str, name: str) -> str:
@@ -46,6 +46,19 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(table_path(root, name))
 
 
+def run_versions(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version of each run: `(run_id, version)`."""
+    written = spark.read.schema("run_id string, version bigint").parquet(table_path(root, RUN_VERSIONS))
+    return written.groupBy("run_id").agg(F.max("version").alias("version"))
+
+
+def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table replaced run by run: the rows of each run's newest version."""
+    shape = T.StructType([*TABLES[name].fields, T.StructField("version", _L)])
+    rows = spark.read.schema(shape).parquet(table_path(root, name))
+    return rows.join(run_versions(spark, root), ["run_id", "version"]).select(*TABLES[name].fieldNames())
+
+
 def stream_table(spark: SparkSession, root: str, name: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(TABLES[name])
     if max_files:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,10 @@ RAW_SPEC = T.StructType(
 )
 
 
+# Letters, digits and underscores, one of them no underscore; Java and Python read it alike.
+FIELD_NAME = r"_*[^\W_]\w*"
+
+
 @dataclass(frozen=True)
 class FieldSpec:
     name: str
@@ -60,12 +65,11 @@ class FieldSpec:
     required: bool = False
 
     def __post_init__(self):
-        cleaned = self.name.lower().replace(" ", "_")
-        if not cleaned.replace("_", "").isalnum():
-            raise ValueError(f"field name must be snake_case alphanumeric: {self.name}")
         if self.type not in _SPARK_TYPES:
             raise ValueError(f"unknown field type: {self.type}")
-        object.__setattr__(self, "name", cleaned)
+        object.__setattr__(self, "name", "_".join(self.name.lower().split(" ")))
+        if not re.fullmatch(FIELD_NAME, self.name):
+            raise ValueError(f"a field name needs a letter or digit, and besides these only underscores: {self.name}")
 
     @property
     def spark_type(self) -> T.DataType:
@@ -147,8 +151,7 @@ def field_name(name: Column) -> Column:
 
 
 def is_field_name(name: Column) -> Column:
-    """Letters and digits once underscores are taken out."""
-    return F.replace(field_name(name), F.lit("_"), F.lit("")).rlike(r"^[\p{L}\p{N}]+$")
+    return field_name(name).rlike(f"(?U)^{FIELD_NAME}$")
 
 
 def region_code(code: Column) -> Column:

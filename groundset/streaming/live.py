@@ -46,18 +46,16 @@ class LiveDataset:
         current = current.drop("batch_id", "bucket")
         dataset = build_dataset(current, self.spec, **self.options)
         records = as_store_records(dataset.records, self.spec)
-        replace_runs(records, self.root, "records")
-        evidence = dataset.evidence.withColumn("run_id", F.col("run_id").cast("string"))
-        replace_runs(_full_position(evidence), self.root, "record_evidence")
+        evidence = _full_position(dataset.evidence.withColumn("run_id", F.col("run_id").cast("string")))
+        replace_runs({"records": records, "record_evidence": evidence}, self.root, touched, batch_id)
         self._announce(spark, touched, batch_id)
 
     def _announce(self, spark: SparkSession, touched: DataFrame, batch_id: int) -> None:
+        written = spark.read.parquet(f"{table_path(self.root, 'records')}/version={batch_id}")
         counts = (
-            spark.read.parquet(table_path(self.root, "records"))
-            .select(F.col("run_id").cast("string").alias("run_id"))
-            .join(touched.select(F.col("run_id").cast("string").alias("run_id")), "run_id", "left_semi")
-            .groupBy("run_id")
-            .agg(F.count(F.lit(1)).alias("count"))
+            touched.select(F.col("run_id").cast("string").alias("run_id"))
+            .join(written.groupBy("run_id").agg(F.count(F.lit(1)).alias("count")), "run_id", "left")
+            .withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
         )
         events = event_rows(
             counts,

@@ -45,7 +45,10 @@ def test_key_text_of_numbers(spark):
 
 
 def test_chunks(column):
-    sizes = column(["short text", "x" * 20_000, "x" * 60_000], lambda c: F.transform(text.chunks(c), F.length))
+    texts = ["short text", "x" * 20_000, "x" * 60_000]
+    sizes = column(texts, lambda c: F.transform(text.chunks(c), F.length))
+    assert sizes == [[10], [8000, 8000, 5000], [8000] * 7 + [7500]]
+    sizes = column(texts, lambda c: F.transform(text.chunks(c, max_chunks=4), F.length))
     assert sizes == [[10], [8000, 8000, 5000], [8000] * 4]
     assert len(column(["x" * 60_000], lambda c: text.chunks(c, max_chunks=None))[0]) == 8
 

@@ -11,7 +11,7 @@ from groundset.session import scratch_path
 from groundset.sinks import exports
 from groundset.sinks import store as sink
 from groundset.sources.robots import robots_rules
-from groundset.sources.store import read_candidates
+from groundset.sources.store import read_candidates, read_current
 from groundset.spec import FieldSpec, TaskSpec
 from groundset.streaming.live import LiveDataset
 from groundset.streaming.throttle import _decide, throttle
@@ -135,9 +135,12 @@ def test_replace_touches_only_its_runs(spark):
     root = scratch_path(spark, "store")
     base = spark.createDataFrame([("r1", "a"), ("r2", "b")], "run_id string, record_id string")
     full = base.select("record_id", "run_id", F.create_map().cast("map<string,string>").alias("data"), F.lit("k").alias("dedupe_key"), F.lit(0.5).alias("confidence"), F.array().cast("array<string>").alias("flags"), F.current_timestamp().alias("created_at"))
-    sink.replace_runs(full, root, "records")
-    sink.replace_runs(full.filter("run_id = 'r1'").withColumn("record_id", F.lit("c")), root, "records")
-    assert sorted(r.record_id for r in spark.read.parquet(f"{root}/records").collect()) == ["b", "c"]
+    sink.replace_runs({"records": full}, root, full, 0)
+    first = full.filter("run_id = 'r1'")
+    sink.replace_runs({"records": first.withColumn("record_id", F.lit("c"))}, root, first, 1)
+    assert sorted(r.record_id for r in read_current(spark, root, "records").collect()) == ["b", "c"]
+    sink.replace_runs({"records": full.limit(0)}, root, first, 2)
+    assert [r.record_id for r in read_current(spark, root, "records").collect()] == ["b"]
 
 
 def test_candidate_shapes(spark, tmp_path):
@@ -180,9 +183,9 @@ def test_live_batches_equal_one_build(spark):
     live(_pool(spark, rows[4:]), 2)
     want = as_store_records(build_dataset(_pool(spark, rows), PART_SPEC).records, PART_SPEC)
     pick = ["record_id", "confidence"]
-    stored = spark.read.parquet(f"{root}/records").select(*pick).collect()
+    stored = read_current(spark, root, "records").select(*pick).collect()
     assert sorted(stored) == sorted(want.select(*pick).collect()) and len(stored) == 4
-    assert spark.read.parquet(f"{root}/record_evidence").count() == 5
+    assert read_current(spark, root, "record_evidence").count() == 5
     assert spark.read.parquet(f"{root}/live_events").count() == 4
 
 
@@ -208,3 +211,39 @@ def test_collect_end_to_end(spark):
     assert (stats.raw_count, stats.verified_count, stats.hallucinated_count, stats.deduped_count, stats.pages_fetched) == (3, 2, 1, 2, 1)
     assert {r.status: r.records_found for r in out.sources.collect()} == {"fetched": 2, "blocked_by_policy": 0}
     assert {(r.reason, r.n) for r in out.drop_reasons.collect()} == {("blocked_by_policy", 1), ("evidence_mismatch", 1)}
+
+
+def test_extractor_runs_once_per_chunk_and_failures_are_told(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def extractor(chunk, url):
+        with open(log, "a") as f:
+            f.write("x")
+        if "broken" in url:
+            raise ValueError("no answer")
+        return [{"name": f"N{url[-1]}", "evidence": chunk[:30]}]
+
+    spec = TaskSpec("startup", (FieldSpec("name", "str", "", True),), ("name",))
+    body = "<article><p>" + "words of a page that goes on and on " * 500 + "</p></article>"
+    urls = [f"https://ok.example.com/{i}" for i in range(4)] + ["https://ok.example.com/broken"]
+    # Ranks beyond 16 bits stay in their query; the page of both runs is fetched and read once.
+    rows = [(run, q, 70_000 * (4 - i), u, "t", "") for run in ("r", "s") for q, (i, u) in enumerate(enumerate(urls))]
+    candidates = spark.createDataFrame(rows, "run_id string, query_idx bigint, rank bigint, url string, title string, snippet string")
+    fetched = spark.createDataFrame([(u, body, 200, "text/html") for u in urls], "url string, html string, http_status int, content_type string")
+    out = collect(candidates, fetched, spec, extractor)
+    assert {r.url: r.records_found for r in out.sources.collect()} == {u: 0 if "broken" in u else 3 for u in urls}
+    chunks = 3  # of 18,000 characters, none cut off
+    assert len(open(log).read()) == 2 * (4 * chunks + 1)
+    assert {(r.run_id, r.error) for r in out.failures.collect()} == {(k, "ValueError: no answer") for k in "rs"}
+    assert [r.name for r in out.verified.filter("run_id = 'r'").orderBy("arrival").collect()][::3] == ["N0", "N1", "N2", "N3"]
+
+
+def test_redirects_and_query_limit_in_collect(spark):
+    spec = TaskSpec("startup", (FieldSpec("name", "str", "", True),), ("name",))
+    urls = [f"https://ok.example.com/{i}" for i in range(3)]
+    rows = [("r", 0, i, u, "t", "a search snippet that is long enough to stand in for a page") for i, u in enumerate(urls)]
+    candidates = spark.createDataFrame(rows, "run_id string, query_idx bigint, rank bigint, url string, title string, snippet string")
+    fetched = spark.createDataFrame([], "url string, html string, http_status int, content_type string")
+    hops = spark.createDataFrame([(urls[1], 1, "https://www.facebook.com/x")], "url string, hop int, target string")
+    out = collect(candidates, fetched, spec, lambda c, u: [], limit_per_query=2, redirects=hops)
+    assert {r.url: r.status for r in out.sources.collect()} == {urls[0]: "via_search_provider", urls[1]: "blocked_by_policy"}
