@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundset.functions.text import safe_cell, title_or_prompt
-from groundset.operators.skew import ROWS_PER_TASK, join_spread, with_prefix
 
 # Page size limits.
 PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
 
-# Snippets and links one export row holds; longer lists go on in further rows of the record.
-ITEMS_PER_ROW = 10_000
-
 
 def effective_spec(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Runs with the spec that applies: the run's snapshot, else the task's."""
@@ -154,69 +150,47 @@ def record_detail(records: DataFrame, evidence: DataFrame, sources: DataFrame, r
     return one.join(own.drop("run_id"), "record_id", "left").join(urls, "source_id", "left").orderBy("position")
 
 
-def provenance(
-    records: DataFrame,
-    evidence: DataFrame,
-    sources: DataFrame,
-    items_per_row: int = ITEMS_PER_ROW,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
+def record_links(evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """Source links of records in long form, `(record_id, position, source_url, snippet)`: a row per snippet."""
+    urls = sources.select("source_id", F.col("url").alias("source_url"))
+    return evidence.join(urls, "source_id", "left").select("record_id", "position", "source_url", "snippet")
+
+
+def provenance(records: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """Records with `source_urls` (in evidence order, repeats kept), `evidence` and `retrieved_at`.
 
-    Needs `evidence(record_id, source_id, snippet, position)`. Links are gathered per record in
-    lists of at most `items_per_row`: a record with more goes on in rows `part` 1, 2, ..., so no
-    task ever holds a whole hot group and nothing is left out. Normal records have part 0 only.
+    Needs `evidence(record_id, source_id, snippet, position)`. Always one row per record, so the links of a
+    record meet in one cell, as the export format asks; `record_links` has them as rows.
     """
-    urls = sources.select("source_id", "url")
-    linked = join_spread(evidence, urls, ["source_id"], ["record_id", "position"], "left", rows_per_task)
-    first = evidence.filter(F.col("snippet") != "").groupBy("record_id").agg(
-        F.min_by("snippet", "position").alias("evidence")
-    )
-    parts = _in_parts(linked.filter(F.col("url").isNotNull()), items_per_row)
-    links = parts.groupBy("record_id", "part").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("position", "url"))), lambda x: x["url"]), " | "
-        ).alias("source_urls")
+    told = F.col("snippet") != ""
+    link = F.when(F.col("source_url").isNotNull(), F.struct("position", "source_url"))
+    gathered = record_links(evidence, sources).groupBy("record_id").agg(
+        F.min_by("snippet", F.when(told, F.col("position"))).alias("evidence"),
+        F.array_join(F.array_sort(F.collect_list(link))["source_url"], " | ").alias("source_urls"),
     )
-    df = records.join(first, "record_id", "left").join(links, "record_id", "left")
-    return df.select(
+    return records.join(gathered, "record_id", "left").select(
         *records.columns,
-        F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
         F.coalesce("source_urls", F.lit("")).alias("source_urls"),
         F.coalesce("evidence", F.lit("")).alias("evidence"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("retrieved_at"),
     )
 
 
-def _in_parts(linked: DataFrame, items_per_row: int) -> DataFrame:
-    """Number the list parts of big records along the evidence order; all others are part 0."""
-    sizes = linked.groupBy("record_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > items_per_row)
-    if sizes.isEmpty():
-        return linked.withColumn("part", F.lit(0).cast("bigint"))
-    big_ids = sizes.select("record_id")
-    small = linked.join(big_ids, "record_id", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
-    big = with_prefix(
-        linked.join(big_ids, "record_id", "left_semi"), ["record_id"], ["position", "source_id"], count="_i"
-    )
-    part = F.floor((F.col("_i") - 1) / items_per_row)
-    return small.unionByName(big.withColumn("part", part).select(*small.columns))
-
-
 def export_rows(provenance_rows: DataFrame, names: list[str]) -> DataFrame:
     """CSV columns: fields, confidence, source_urls, evidence, retrieved_at; cells made safe."""
     rows = project_fields(provenance_rows, names)
     columns = [*names, "confidence", "source_urls", "evidence", "retrieved_at"]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     cells = [safe_cell(F.col(c)).alias(c) if types[c] == "string" else F.col(c) for c in columns]
-    return rows.select("run_id", "record_id", "part", *cells)
+    return rows.select("run_id", "record_id", *cells)
 
 
-def export_json_rows(provenance_rows: DataFrame, names: list[str], all_evidence: DataFrame | None = None) -> DataFrame:
+def export_json_rows(provenance_rows: DataFrame, names: list[str]) -> DataFrame:
     """JSON shape: fields, confidence, retrieved_at and `evidence` as a list of source and snippet.
 
     The list holds the first snippet with the first link; no snippet, empty list.
     """
-    rows = project_fields(provenance_rows.filter(F.col("part") == 0), names)
+    rows = project_fields(provenance_rows, names)
     url = F.nullif(F.trim(F.substring_index("source_urls", "|", 1)), F.lit(""))
     item = F.struct(url.alias("source_url"), F.col("evidence").alias("snippet"))
     none = F.filter(F.array(item), lambda _: F.lit(False))

@@ -113,6 +113,30 @@ def normalize_date(spark, sf):
     return raw.select("o_orderkey", "raw", values.normalize_date(F.col("raw")).alias("iso"))
 
 
+# Each order's date in one of fourteen spellings, as Spark formats.
+_SPELLINGS = (
+    "'Jan. 'd, yyyy", "MMMM d'th', yyyy", "d MMM. yyyy", "'Sept 'd, yyyy", "EEEE, MMMM d, yyyy", "yyyy-MM-dd'T'10:00:00.123'Z'",
+    "yyyy-MM-dd 10:00", "dd.MM.yyyy", "d-MMM-yyyy", "MM/dd/yy", "MMMM yyyy", "MMM yyyy", "EEE, d MMM yyyy", "yyyy-MM-dd'T'10:00",
+)
+
+
+@query(
+    "normalize_date_spellings",
+    """select o_orderkey, strftime(case when o_orderkey % 15 in (10, 11) then date_trunc('month', o_orderdate)
+      when o_orderkey % 15 = 0 then make_date(year(o_orderdate), 1, day(o_orderdate))
+      when o_orderkey % 15 = 3 then make_date(year(o_orderdate), 9, least(day(o_orderdate), 30)) else o_orderdate end, '%Y-%m-%d') as iso
+    from orders""",
+)
+def normalize_date_spellings(spark, sf):
+    day, k = F.col("day"), F.col("o_orderkey") % 15
+    raw = F.when(F.dayofmonth(day) > 12, F.date_format(day, "d/M/yyyy")).otherwise(F.date_format(day, "M/d/yyyy"))
+    for i, form in enumerate(_SPELLINGS):
+        shown = F.make_date(F.year(day), F.lit(9), F.least(F.dayofmonth(day), F.lit(30))) if i == 3 else day
+        raw = F.when(k == i, F.date_format(shown, form)).otherwise(raw)
+    orders = base(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    return orders.select("o_orderkey", values.normalize_date(raw).alias("iso"))
+
+
 @query(
     "normalize_email",
     """select c_custkey, case when c_custkey % 9 <> 0 then lower(trim(case when c_custkey % 2 = 0 then '  ' else '' end

@@ -342,7 +342,7 @@ def provenance(spark, sf):
     f"with {_PROVENANCE} select run_id, record_id, {q.safe_cell('name')} as name, {q.safe_cell('funding')} as funding, confidence, {q.safe_cell('source_urls')} as source_urls, {q.safe_cell('evidence')} as evidence, retrieved_at from prov",
 )
 def export_rows(spark, sf):
-    return views.export_rows(_provenance(spark, sf), ["name", "funding"]).drop("part")
+    return views.export_rows(_provenance(spark, sf), ["name", "funding"])
 
 
 @query(

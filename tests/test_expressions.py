@@ -100,6 +100,16 @@ def test_private_pattern_equals_the_blocks(column):
     assert column([str(ip) for ip in ips], urls.is_private_ipv4) == want
 
 
+def test_date_spellings(column):
+    given = {
+        "Jan. 5, 2024": "2024-01-05", "January 5th, 2024": "2024-01-05", "5 Jan. 2024": "2024-01-05", "Sept 5, 2024": "2024-09-05",
+        "Monday, January 5, 2024": "2024-01-05", "2024-01-05T10:00:00.123Z": "2024-01-05", "2024-01-05 10:00": "2024-01-05",
+        "05.01.2024": "2024-01-05", "13/01/2024": "2024-01-13", "5-Jan-2024": "2024-01-05", "01/05/24": "2024-01-05",
+        "March 2024": "2024-03-01", "may 1st 2024": "2024-05-01", "Mon Jan 40, 2024": None, "31/31/2024": None, None: None,
+    }
+    assert column(list(given), values.normalize_date) == list(given.values())
+
+
 def test_numbers_dates_currency(column):
     assert column(["$120,000.50", "  15,000  ", "abc", None, "10-20", "$1.1B"], values.normalize_number) == [120000.5, 15000.0, None, None, None, 1.1]
     dates = ["2024-01-15", "January 15, 2024", "Jan 5, 2024", "15 March 2024", "01/15/2024", "never", "May 2, 2024", "2024-13-40"]
