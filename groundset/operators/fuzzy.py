@@ -5,6 +5,11 @@ insert/delete distance: the shorter string of a similar pair is cut into one seg
 the edits allowed, so one segment survives verbatim near its place in the longer string. Every
 signature is an equi-join key; no pair without a common segment is ever looked at.
 
+The segment places of a string grow with the cube of its length. Pairs whose shorter string exceeds
+`LONG_KEY` characters meet on 4-grams instead: an edit breaks few of them, so of each string's grams,
+rarest first, only a prefix has to be filed (Chaudhuri, Ganti, Kaushik: SSJoin, 2006), less than
+one and a half rows per character.
+
 Leaders are the lexicographically first maximal independent set of the similarity graph, found in
 parallel rounds (Blelloch, Fineman, Shun 2012) instead of one sequential pass.
 """
@@ -13,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundset.functions.similarity import is_similar, max_distance, may_be_similar
@@ -24,6 +29,9 @@ MERGE_THRESHOLD = 90
 
 # Comparisons one task may take on for one signature before the signature is salted.
 HOT_PAIRS = 4_000_000
+# Length of the shorter string beyond which pairs meet on grams, and the size of a gram. At this length a
+# similar pair shares at least one in four grams.
+LONG_KEY, GRAM = 48, 4
 PEEL_ROUNDS = 8
 
 
@@ -70,7 +78,7 @@ def _with_sketch(strings: DataFrame) -> DataFrame:
 def _index_rows(nodes: DataFrame, threshold: int) -> DataFrame:
     """One row per segment of each string, in the role of the shorter partner."""
     k = _segments(F.col("len"), threshold)
-    rows = nodes.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = nodes.filter(F.col("len") <= LONG_KEY).withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     piece = F.substring(
         F.col("s"),
         _segment_start(F.col("i"), F.col("len"), F.col("k")) + 1,
@@ -89,8 +97,10 @@ def _probe_rows(nodes: DataFrame, threshold: int) -> DataFrame:
     the other side, where another segment then matches: such places are skipped.
     """
     length = F.col("len")
+    shorts = F.sequence(_shortest_partner(length, threshold), F.least(length, F.lit(LONG_KEY)))
     rows = (
-        nodes.withColumn("short", F.explode(F.sequence(_shortest_partner(length, threshold), length)))
+        nodes.filter(_shortest_partner(length, threshold) <= LONG_KEY)
+        .withColumn("short", F.explode(shorts))
         .withColumn("k", _segments(F.col("short"), threshold))
         .withColumn("gap", F.col("len") - F.col("short"))
         .withColumn("edits", max_distance(F.col("len"), F.col("short"), threshold))
@@ -118,9 +128,42 @@ def _probe_rows(nodes: DataFrame, threshold: int) -> DataFrame:
     ).filter(F.col("sig").isNotNull())
 
 
+def _gram_rows(nodes: DataFrame, threshold: int) -> DataFrame:
+    """The rarest grams of each long string, in both roles.
+
+    Taking a character out breaks GRAM grams of a string, putting one in breaks GRAM - 1. With d edits
+    between lengths n and m that is at most ((2 GRAM - 1) d + n - m) / 2 grams of the string of length n, so two
+    similar strings share one among that many and one more, in any order common to both. The bound is
+    largest for the shortest partner or for one of equal length. Grams that occur again are numbered.
+    """
+    long = nodes.filter(F.col("len") > LONG_KEY)
+    grams = F.transform(
+        F.sequence(F.lit(1), F.col("len") - GRAM + 1), lambda i: F.substring(F.col("s"), i, F.lit(GRAM))
+    )
+    rows = long.select("run_id", "idx", "len", "sketch", F.posexplode(F.array_sort(grams)).alias("at", "gram"))
+    # Equal grams stand together once sorted: their number is the distance from the first of them.
+    mine = Window.partitionBy("run_id", "idx", "gram").orderBy("at")
+    numbered = rows.withColumn("nth", F.row_number().over(mine))
+    sizes = numbered.groupBy("run_id", "gram", "nth").agg(F.count(F.lit(1)).alias("n"))
+    ranked = numbered.join(sizes, ["run_id", "gram", "nth"]).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("run_id", "idx").orderBy("n", "gram", "nth"))
+    )
+    length = F.col("len")
+    broken = F.greatest(
+        *[
+            F.floor(((2 * GRAM - 1) * max_distance(length, m, threshold) + length - m) / 2)
+            for m in (length, _shortest_partner(length, threshold))
+        ]
+    )
+    return ranked.filter(F.col("rank") <= broken + 1).select(
+        "run_id", "idx", "len", "sketch", F.xxhash64("run_id", F.lit("gram"), "gram", "nth").alias("sig"),
+        F.explode(F.array(F.lit(True), F.lit(False))).alias("shorter"),
+    )
+
+
 def _postings(nodes: DataFrame, threshold: int, hot_pairs: int) -> DataFrame:
     """Signature rows that can meet a partner, with the number of salts of their signature."""
-    rows = _index_rows(nodes, threshold).unionByName(_probe_rows(nodes, threshold))
+    rows = _union([_index_rows(nodes, threshold), _probe_rows(nodes, threshold), _gram_rows(nodes, threshold)])
     met = (
         rows.groupBy("run_id", "sig")
         .agg(

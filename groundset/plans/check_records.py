@@ -225,6 +225,15 @@ def fuzzy_pairs(spark, sf):
     return fuzzy.similar_pairs(_nodes(spark, sf))
 
 
+@query("fuzzy_long_keys")
+def fuzzy_long_keys(spark, sf):
+    """Similar turns of conversations: whole texts as keys, several hundred characters long."""
+    key = text.sorted_tokens(text.key_text(F.col("text"))).alias("s")
+    turns = base(spark, sf, "conversations")
+    nodes = turns.select((F.col("conv_id") % 3).alias("run_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), key)
+    return fuzzy.similar_pairs(nodes)
+
+
 @query("fuzzy_leaders", f"with recursive {_LEADERS} select run_id, idx, leader from led where leader <> idx")
 def fuzzy_leaders(spark, sf):
     return fuzzy.leaders_of(_nodes(spark, sf))

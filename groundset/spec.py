@@ -69,7 +69,7 @@ class FieldSpec:
             raise ValueError(f"unknown field type: {self.type}")
         object.__setattr__(self, "name", "_".join(self.name.lower().split(" ")))
         if not re.fullmatch(FIELD_NAME, self.name):
-            raise ValueError(f"a field name needs a letter or digit, and besides these only underscores: {self.name}")
+            raise ValueError(f"a field name is snake_case, letters or digits and underscores: {self.name}")
 
     @property
     def spark_type(self) -> T.DataType:

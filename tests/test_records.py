@@ -169,3 +169,53 @@ def test_spec_rules(spark):
     assert got[3].spec.filters == {"k": "v"}
     with pytest.raises(ValueError, match="snake_case"):
         FieldSpec("bad-name")
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_long_keys_lose_no_pair(spark, seed):
+    """Keys around and beyond the length where pairs meet on grams, against all pairs."""
+    rng = random.Random(seed)
+    pool = []
+    for _ in range(70):
+        if pool and rng.random() < 0.7:
+            pool.append(_mutated(rng, rng.choice(pool), rng.randrange(0, 16)))
+        else:
+            pool.append("".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(40, 160))).strip())
+    unique = list(dict.fromkeys(pool))
+    want = {
+        (i, j)
+        for i, s in enumerate(unique)
+        for j, t in enumerate(unique)
+        if i < j and 200 * lcs_length(s, t) >= 90 * (len(s) + len(t))
+    }
+    nodes = spark.createDataFrame([(0, i, s) for i, s in enumerate(unique)], "run_id int, idx bigint, s string")
+    assert {(r.a, r.b) for r in fuzzy.similar_pairs(nodes).collect()} == want and len(want) > 20
+
+
+def test_postings_grow_with_the_length(spark):
+    keys = [(0, n, "".join(chr(97 + (i * i + n) % 26) for i in range(n))) for n in (40, 320, 640)]
+    strings = fuzzy._distinct_strings(spark.createDataFrame(keys, "run_id int, idx bigint, s string"))
+    rows = fuzzy._union([f(strings, 90) for f in (fuzzy._index_rows, fuzzy._probe_rows, fuzzy._gram_rows)])
+    per_key = {r.idx: r["count"] for r in rows.groupBy("idx").count().collect()}
+    assert per_key[320] <= 1.5 * 320 and per_key[640] <= 1.5 * 640
+
+
+def test_long_keys_query_against_all_pairs(spark):
+    from groundset.functions.text import key_text, sorted_tokens
+    from groundset.plans.check_records import fuzzy_long_keys
+
+    sf_dir = "/root/testdata/sf0.001"
+    keys = sorted_tokens(key_text(F.col("text"))).alias("s")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", keys).collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: (r.conv_id, r.turn)):
+        if r.s:
+            first.setdefault((r.conv_id % 3, r.s), r.conv_id * 1000 + r.turn)
+    own = sorted((run, i, s) for (run, s), i in first.items())
+    want = {
+        (run, i, j)
+        for n, (run, i, s) in enumerate(own)
+        for other, j, t in own[n + 1 :]
+        if other == run and abs(len(s) - len(t)) * 10 <= len(s) + len(t) and 200 * lcs_length(s, t) >= 90 * (len(s) + len(t))
+    }
+    assert {(r.run_id, r.a, r.b) for r in fuzzy_long_keys(spark, sf_dir).collect()} == want
