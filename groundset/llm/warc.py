@@ -26,26 +26,28 @@ def digest(data: Column) -> Column:
 
 
 def _base32(hex_digits: Column) -> Column:
-    """Five hex digits make four base-32 digits; the 40 of a SHA-1 come out even."""
+    """Five hex digits make four base-32 digits; the 40 of a SHA-1 come out even.
 
-    def four(i: Column) -> Column:
-        value = F.conv(F.substring(hex_digits, i, F.lit(5)), 16, 10).cast("int")
-        digits = [
-            F.substring(F.lit(BASE32), F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)
-        ]
-        return F.concat(*digits)
+    The digits and each group's number are bound to a lambda's variable, else each place would compute them.
+    """
+
+    def four(value: Column) -> Column:
+        return F.concat(
+            *[F.substring(F.lit(BASE32), F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
+        )
+
+    def groups(digits: Column) -> Column:
+        values = F.array(*[F.conv(F.substring(digits, k, 5), 16, 10).cast("int") for k in range(1, 41, 5)])
+        return F.array_join(F.transform(values, four), "")
 
-    return F.array_join(F.transform(F.array(*[F.lit(k) for k in range(1, 41, 5)]), four), "")
+    return F.transform(F.array(hex_digits), groups)[0]
 
 
 def record_id(*parts: Column) -> Column:
     """A name-based id: the same parts give the same id, in any run."""
-    h = F.sha1(F.concat_ws("\n", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
-    bits = [(1, 8), (9, 4), (14, 3), (18, 3), (21, 12)]
-    a, b, c, d, e = (F.substring(h, at, n) for at, n in bits)
-    return F.concat(
-        F.lit("<urn:uuid:"), a, F.lit("-"), b, F.lit("-5"), c, F.lit("-a"), d, F.lit("-"), e, F.lit(">")
-    )
+    name = F.sha1(F.concat_ws("\n", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    digits = r"^(.{8})(.{4})(.{3})(.{3})(.{12}).*$"
+    return F.regexp_replace(name, digits, "<urn:uuid:$1-$2-5$3-a$4-$5>")
 
 
 def _bytes(text: Column) -> Column:
