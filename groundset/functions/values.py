@@ -95,6 +95,13 @@ def expected_currency(field_name: str) -> str | None:
     return None
 
 
+def currency_mismatch_of(field_name: Column, value: Column) -> Column:
+    """`currency_mismatch` for field names held in a column."""
+    lowered = F.lower(field_name)
+    expected = F.coalesce(*[F.when(lowered.endswith(s), code) for s, code in CURRENCY_SUFFIXES.items()])
+    return F.coalesce(detect_currency(value) != expected, F.lit(False))
+
+
 def currency_mismatch(field_name: str, value: Column) -> Column:
     """True where the field name promises one currency and the text names another."""
     expected = expected_currency(field_name)

@@ -203,9 +203,10 @@ def merge_clusters(exact: Deduped, leaders: DataFrame, spec: TaskSpec) -> Dedupe
     return Deduped(records, evidence)
 
 
-def confidence(filled: Column, total_fields: int, sources: Column, flag_count: Column) -> Column:
+def confidence(filled: Column, total_fields: int | Column, sources: Column, flag_count: Column) -> Column:
     """Half completeness, three tenths corroboration (three sources saturate), the rest cleanliness."""
-    completeness = filled / F.lit(float(max(total_fields, 1)))
+    total = F.lit(total_fields) if isinstance(total_fields, int) else total_fields
+    completeness = filled / F.greatest(total, F.lit(1)).cast("double")
     corroboration = F.least(sources, F.lit(3)) / F.lit(3.0)
     cleanliness = F.greatest(F.lit(1.0) - flag_count * F.lit(0.25), F.lit(0.0))
     return F.bround(completeness * 0.5 + corroboration * 0.3 + cleanliness * 0.2, 3)

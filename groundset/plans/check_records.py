@@ -8,6 +8,7 @@ from groundset.functions import text, urls
 from groundset.operators import clean, fuzzy, policy, report, verify
 from groundset.operators.pages import drop_repeated_evidence, extract_records
 from groundset.plans import sqltext as q
+from groundset.plans.by_spec import build_dataset_by_spec
 from groundset.plans.catalog import query
 from groundset.plans.dataset import build_dataset, collect, leaders_by_key
 from groundset.plans.derived import base, derived, derived_sql, texts
@@ -271,6 +272,42 @@ def built(spark, sf):
     return data.records.select("run_id", "record_id", "name", "brand", "confidence")
 
 
+# Three runs, each with a spec of its own: (name, type), (name, brand) and (name, type, size).
+_SPEC_FIELDS = (
+    (0, 0, "name", "str", True, True), (0, 1, "type", "str", False, True),
+    (1, 0, "name", "str", True, True), (1, 1, "brand", "str", False, False),
+    (2, 0, "name", "str", True, True), (2, 1, "type", "str", False, False), (2, 2, "size", "int", False, True),
+)
+
+
+@query(
+    "build_dataset_by_spec",
+    f"""with {_PARTS}, f as (select run_id, arrival, source_id, name, case when run_id <> 1 then type end as type,
+      case when run_id = 1 then brand end as brand, case when run_id = 2 then size end as size from parts where name is not null and trim(name) <> ''),
+    keyed as (select *, case run_id when 0 then {q.dedupe_key(q.key_text('name'), q.key_text('type'))} when 1 then {q.dedupe_key(q.key_text('name'))}
+        else {q.dedupe_key(q.key_text('name'), q.key_text("case when size <> 0 then cast(size as varchar) end"))} end as dedupe_key,
+      (name is not null)::int + (type is not null)::int + (brand is not null)::int + (size is not null)::int as filled from f),
+    ranked as (select *, (10 - filled)::bigint * 1000000000 + arrival as ord from keyed),
+    exact as (select run_id, dedupe_key, count(*) as n_merged, arg_min(name, ord) as name, arg_min(type, ord) filter (type is not null) as type,
+      arg_min(brand, ord) filter (brand is not null) as brand, arg_min(size, ord) filter (size is not null) as size,
+      count(distinct source_id) as n_sources from ranked group by run_id, dedupe_key)
+    select run_id, substring(sha1(run_id || ':' || dedupe_key), 1, 16) as record_id, name, type, brand, cast(size as varchar) as size, n_merged,
+      round_even(0.5::double * ((name is not null)::int + (type is not null)::int + (brand is not null)::int + (size is not null)::int)
+        / case when run_id = 2 then 3.0::double else 2.0::double end + 0.3::double * (least(n_sources, 3) / 3.0::double) + 0.2::double, 3) as confidence from exact""",
+)
+def built_by_spec(spark, sf):
+    parts = _parts(spark, sf)
+    cells = [x for n in ("name", "type", "brand", "size") for x in (F.lit(n), F.col(n).cast("string"))]
+    pool = parts.select("run_id", "arrival", "source_id", "evidence", "flags", F.create_map(*cells).alias("data"))
+    fields = spark.createDataFrame(
+        list(_SPEC_FIELDS), "run_id long, ordinal int, name string, type string, required boolean, is_key boolean"
+    )
+    data, rows = F.col("data"), build_dataset_by_spec(pool, fields, merge_similar=False).records
+    return rows.select(
+        "run_id", "record_id", *[data[n].alias(n) for n in ("name", "type", "brand", "size")], "n_merged", "confidence"
+    )
+
+
 # Records as an extractor would return them from the pages; every fifth quotes the next page.
 PAGE_SPEC = TaskSpec(
     entity="article",
