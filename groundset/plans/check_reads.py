@@ -453,16 +453,60 @@ _TARGETS = f"""{_STATS}, {_TASKS}, {_SUMMARY}, spec as (select r.run_id, case wh
       from runs r left join tasks t on t.task_id = r.task_id), target as (select run_id, k, case when k is null then 30 else 5 + k % 40 end as target from spec)"""
 
 
+_RULES = _DIAGNOSTICS[_DIAGNOSTICS.index("rules as (") :]
+
+
 @query(
     "diagnosed_runs",
-    f"""with {_TARGETS}, d as (select s.run_id, deduped_count, target, raw_count, coalesce(m.total, 0) as n, coalesce(m.blocked_by_policy + m.blocked_by_robots, 0) as b
-      from stats s join target t on t.run_id = s.run_id left join summary m on m.run_id = s.run_id)
-    select run_id, 'Found ' || deduped_count || ' of ' || target || ' requested records. Sources ran out.' as message from d
-    where deduped_count < target * 0.5 and deduped_count > 0 and not (n > 0 and b = n)""",
+    f"""with {_TARGETS}, d as (select s.*, coalesce(m.total, 0) as n, coalesce(m.blocked_by_policy + m.blocked_by_robots, 0) as b,
+      coalesce(m.failed, 0) as f, coalesce(m.no_text, 0) as nt, t.target from stats s join target t on t.run_id = s.run_id left join summary m on m.run_id = s.run_id),
+    e as (select *, n > 0 and b = n as allb from d where deduped_count < target * 0.5), {_RULES}
+    select run_id, cast(row_number() over (partition by run_id order by o) - 1 as int) as position, rule, severity, message, action from rules""",
 )
 def diagnosed_runs(spark, sf):
-    rows = reports.diagnose_runs(*[derived(spark, sf, n) for n in ("runs", "tasks", "sources")])
-    return rows.filter("rule = 'below_target'").select("run_id", "message")
+    return reports.diagnose_runs(*[derived(spark, sf, n) for n in ("runs", "tasks", "sources")])
+
+
+def _trust_report(spark, sf):
+    frames = [derived(spark, sf, n) for n in ("runs", "tasks")]
+    return reports.trust_report(*frames, _records(spark, sf), derived(spark, sf, "sources"))
+
+
+@query(
+    "trust_report_funnel",
+    f"""with {_STATS} select run_id, 0 as stage, raw_count as count, 0::bigint as dropped from stats
+    union all select run_id, 1, verified_count, raw_count - verified_count from stats
+    union all select run_id, 2, valid_count, verified_count - valid_count from stats
+    union all select run_id, 3, deduped_count, valid_count - deduped_count from stats""",
+)
+def trust_report_funnel(spark, sf):
+    return _trust_report(spark, sf).funnel.select("run_id", "stage", "count", "dropped")
+
+
+@query("trust_report_sources", f"with {_SUMMARY} select run_id, fetched, blocked_by_policy, blocked_by_robots, failed, total from summary")
+def trust_report_sources(spark, sf):
+    return _trust_report(spark, sf).sources_summary.select(
+        "run_id", "fetched", "blocked_by_policy", "blocked_by_robots", "failed", "total"
+    )
+
+
+@query(
+    "trust_report_signals",
+    f"""with {_TARGETS}, {_RECORDS}, dom as (select run_id, domain, sum(records_found) as n from sources where status = 'fetched' group by 1, 2),
+    share as (select run_id, max(n)::double as top, sum(n)::double as total, count(*) filter (n > 0) as domains from dom group by 1),
+    held as (select distinct run_id from records),
+    v as (select s.run_id, case when raw_count > 0 then verified_count / raw_count::double else 0 end as rate,
+      case when deduped_count > 0 then least(1.0::double, coalesce(domains, 0) / 4.0::double) else 0 end as diversity,
+      case when total > 0 then top / total else 0 end as concentration,
+      case when k is not null and h.run_id is not null then 0.0::double else 1.0::double end as complete
+      from stats s left join share on share.run_id = s.run_id left join target g on g.run_id = s.run_id left join held h on h.run_id = s.run_id)
+    select run_id, 'verification_rate' as name, round_even(rate, 3) as value, rate >= 0.6::double as passed from v
+    union all select run_id, 'corroboration', round_even(diversity, 3), diversity >= 0.25::double from v
+    union all select run_id, 'source_concentration', round_even(concentration, 3), concentration <= 0.6::double from v
+    union all select run_id, 'required_completeness', round_even(complete, 3), complete >= 1.0::double from v""",
+)
+def trust_report_signals(spark, sf):
+    return _trust_report(spark, sf).trust_signals.select("run_id", "name", "value", "passed")
 
 
 @query(
@@ -472,9 +516,7 @@ def diagnosed_runs(spark, sf):
     union all select g.run_id, 'price', 0::bigint, coalesce(total, 0) from target g left join t on t.run_id = g.run_id where k is not null""",
 )
 def trust_report_fields(spark, sf):
-    frames = [derived(spark, sf, n) for n in ("runs", "tasks")]
-    made = reports.trust_report(*frames, _records(spark, sf), derived(spark, sf, "sources"))
-    return made.field_completeness.select("run_id", "name", "non_null_count", "total")
+    return _trust_report(spark, sf).field_completeness.select("run_id", "name", "non_null_count", "total")
 
 
 @query(
