@@ -458,8 +458,11 @@ def page_dataset(spark, sf):
     """Flagship: pages to text, policy gate, evidence and grounding, merge and score."""
     gate = policy.with_policy(base(spark, sf, "pages").select("page_id", "url"), blocked=BLOCKED)
     open_pages = gate.filter("allowed").select("page_id")
-    verified = _verified(spark, sf).filter("verified").join(open_pages, "page_id", "left_semi")
-    data = build_dataset(verified.drop("verified", "n_nulled", "page_id"), PAGE_SPEC, merge_similar=False)
+    own = cut_lineage(_page_texts(spark, sf))
+    # Blocked pages leave before anything is checked against their text.
+    records = _page_records(own).join(open_pages, "page_id", "left_semi")
+    verified = verify.verify_for_spec(records, own.join(open_pages, "page_id", "left_semi"), PAGE_SPEC)
+    data = build_dataset(verified.filter("verified").drop("verified", "n_nulled", "page_id"), PAGE_SPEC, merge_similar=False)
     return data.records.select("run_id", "record_id", "title", "lang", "confidence")
 
 
