@@ -122,15 +122,6 @@ def may_be_similar(first: Column, second: Column, threshold: int) -> Column:
     return (F.abs(F.length(first) - F.length(second)) <= limit) & (bounded >= 0)
 
 
-def similarity(first: Column, second: Column) -> Column:
-    """Score 0..100; equal strings are settled without Python."""
-    total = F.length(first) + F.length(second)
-    lcs = F.when(first == second, F.length(first)).otherwise(
-        _lcs_udf(F.when(first != second, first), F.when(first != second, second))
-    )
-    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs / total)
-
-
 def is_similar(first: Column, second: Column, threshold: int) -> Column:
     total = F.length(first) + F.length(second)
     lcs = F.when(first == second, F.length(first)).otherwise(

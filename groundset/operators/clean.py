@@ -116,10 +116,6 @@ def validate_records(df: DataFrame, spec: TaskSpec) -> DataFrame:
     )
 
 
-def valid_records(df: DataFrame, spec: TaskSpec) -> DataFrame:
-    return validate_records(df, spec).filter(F.col("reject_reason").isNull()).drop("reject_reason")
-
-
 def filled_count(names: list[str]) -> Column:
     return sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
 

@@ -12,7 +12,7 @@ from groundset.plans.derived import base, derived, derived_sql
 from groundset.session import scratch_path
 from groundset.sinks import store as sink
 from groundset.sinks.exports import source_sheet
-from groundset.sources.store import read_current
+from groundset.sources.store import read_candidates, read_current, read_pages, read_table
 
 _RUNS, _RECORDS, _SOURCES, _EVIDENCE, _EVENTS, _TASKS = (
     derived_sql(n) for n in ("runs", "records", "sources", "evidence", "run_events", "tasks")
@@ -453,6 +453,34 @@ _TARGETS = f"""{_STATS}, {_TASKS}, {_SUMMARY}, spec as (select r.run_id, case wh
       from runs r left join tasks t on t.task_id = r.task_id), target as (select run_id, k, case when k is null then 30 else 5 + k % 40 end as target from spec)"""
 
 
+@query("append_events", f"with {derived_sql('run_events')} select run_id, id, step from run_events")
+def append_events(spark, sf):
+    """Events appended to the store in two writes, then scanned."""
+    root, rows = scratch_path(spark, "store"), derived(spark, sf, "run_events")
+    for part in (0, 1):
+        sink.append(rows.filter(F.col("id") % 2 == part), root, "run_events")
+    return read_table(spark, root, "run_events").select("run_id", "id", "step")
+
+
+@query("scan_candidates", "select page_id % 4 as run_id, url, substring(html, 1, 5) as title, '' as snippet from pages where url <> ''")
+def scan_candidates(spark, sf):
+    """Search results as their providers spell them, written as JSON lines and read in one shape."""
+    path, page = scratch_path(spark, "results"), F.col("page_id")
+    named = [F.when(page % 3 == i, F.col("url")).alias(n) for i, n in enumerate(("url", "href", "link"))]
+    rows = base(spark, sf, "pages").select((page % 4).alias("run_id"), *named, F.substring("html", 1, 5).alias("title"))
+    rows.write.json(path)
+    found = read_candidates(spark, path)
+    return found.select(F.col("run_id").cast("bigint").alias("run_id"), "url", "title", "snippet")
+
+
+@query("scan_pages", "select url, md5(html) as digest, 200 as http_status, cast(null as varchar) as content_type from pages")
+def scan_pages(spark, sf):
+    """Pages written without one of the contract's columns and with another, scanned under the contract."""
+    path = scratch_path(spark, "pages")
+    base(spark, sf, "pages").withColumns({"http_status": F.lit(200), "more": F.lit(1)}).write.parquet(path)
+    return read_pages(spark, path).select("url", F.md5("html").alias("digest"), "http_status", "content_type")
+
+
 _RULES = _DIAGNOSTICS[_DIAGNOSTICS.index("rules as (") :]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from groundset.functions import text, urls
 from groundset.operators import clean, fuzzy, policy, report, verify
 from groundset.operators.pages import drop_repeated_evidence, extract_records
+from groundset.plans import reports
 from groundset.plans import sqltext as q
 from groundset.plans.by_spec import build_dataset_by_spec
 from groundset.plans.catalog import query
@@ -544,6 +545,27 @@ def _stages(spark, sf):
     return verified, validated, records, sources
 
 
+@query(
+    "stats_write_back",
+    f"""with {_GROUNDED}, s as (select run_id, count(*) as raw, count(*) filter (verified) as ok, count(*) filter (not verified) as wrong from checked group by 1),
+    m as (select run_id, count(*) filter (bad_title) as missing from bad group by 1)
+    select s.run_id::varchar as run_id, raw::bigint as raw_count, ok::bigint as verified_count, nullif(wrong, 0)::bigint as evidence_mismatch, nullif(missing, 0)::bigint as missing_required,
+      (select count(*) from pages p where p.page_id % 4 = s.run_id and p.page_id % 3 = 0)::bigint as fetch_failed from s left join m on m.run_id = s.run_id""",
+)
+def stats_write_back(spark, sf):
+    """Statistics and drop reasons put into the rows of the runs, read back from there."""
+    verified, validated, records, sources = _stages(spark, sf)
+    ids = base(spark, sf, "pages").select((F.col("page_id") % 4).cast("string").alias("run_id")).distinct()
+    runs = ids.withColumns({"status": F.lit("completed"), "stats": F.lit("{}")})
+    stats = report.run_stats(verified, validated, records, sources)
+    stored = reports.write_back(runs, stats, report.drop_reasons(sources, verified, validated))
+    told = lambda path: F.get_json_object("stats", f"$.{path}").cast("bigint").alias(path.split(".")[-1])
+    return stored.select(
+        "run_id", told("raw_count"), told("verified_count"), told("dropped_reasons.evidence_mismatch"),
+        told("dropped_reasons.missing_required"), told("dropped_reasons.fetch_failed"),
+    )
+
+
 @query(
     "drop_reasons",
     f"""with {_GROUNDED} select run_id, 'evidence_mismatch' as reason, count(*) as n from checked where not verified group by 1

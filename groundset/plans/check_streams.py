@@ -10,7 +10,8 @@ from groundset.plans.catalog import query
 from groundset.plans.check_records import _LEADERS, _SCORE, PART_SPEC, _parts
 from groundset.plans.derived import base, derived, derived_sql
 from groundset.session import scratch_path
-from groundset.sources.store import read_current
+from groundset.sinks.store import append
+from groundset.sources.store import read_current, stream_table
 from groundset.streaming import events as ev
 from groundset.streaming.live import run_live
 from groundset.streaming.throttle import throttle_stream
@@ -51,6 +52,19 @@ def stream_event_counts(spark, sf):
     return ev.read_latest(spark, out, ["run_id", "step"])
 
 
+@query(
+    "stream_store_events",
+    f"with {_EVENTS} select run_id, step, count(*) as n, max(id) as last_id from run_events group by 1, 2",
+)
+def stream_store_events(spark, sf):
+    """The event log of the store itself as a stream."""
+    root = scratch_path(spark, "store")
+    append(derived(spark, sf, "run_events"), root, "run_events")
+    counts, out = ev.event_counts(stream_table(spark, root, "run_events", max_files=2)), os.path.join(root, "out")
+    ev.write_latest(counts, out, os.path.join(root, "cp"), ["run_id", "step"]).awaitTermination()
+    return ev.read_latest(spark, out, ["run_id", "step"])
+
+
 @query(
     "stream_run_stats",
     """select run_id, sum(raw)::bigint as raw_count, sum(verified)::bigint as verified_count, sum(raw - verified)::bigint as hallucinated_count,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundset.operators import report
 from groundset.operators.views import effective_spec
+from groundset.sinks.store import update_runs
 from groundset.spec import DEFAULT_TARGET, parse_specs, spec_fields
 
 
@@ -40,6 +41,16 @@ def trust_report(runs: DataFrame, tasks: DataFrame, records: DataFrame, sources:
     )
 
 
+def write_back(runs: DataFrame, stats: DataFrame, reasons: DataFrame) -> DataFrame:
+    """`runs` with the statistics of the given ones, drop reasons included, as the store keeps them."""
+    counts = [c for c in stats.columns if c != "run_id"]
+    told = stats.join(report.drop_reason_map(reasons), "run_id", "left").withColumn(
+        "dropped_reasons", F.coalesce("dropped_reasons", F.create_map().cast("map<string,bigint>"))
+    )
+    made = F.to_json(F.struct(*counts, "dropped_reasons"))
+    return update_runs(runs, told.select(F.col("run_id").cast("string").alias("run_id"), made.alias("stats")))
+
+
 def diagnose_runs(
     runs: DataFrame, tasks: DataFrame, sources: DataFrame, gate: float | None = report.LOW_YIELD_SHARE
 ) -> DataFrame:

@@ -41,10 +41,6 @@ def regions(spark: SparkSession) -> DataFrame:
     )
 
 
-def blocked_hosts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string").orderBy("host")
-
-
 def with_region(df: DataFrame, code: str = "region") -> DataFrame:
     """Look a region code up, upper-cased and trimmed; unknown or empty becomes GLOBAL.
 

@@ -79,4 +79,6 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Fetched pages with their contract's columns, whatever else the files hold."""
+    shape = _struct(url=_S, html=_S, http_status=_I, content_type=_S)
+    return spark.read.schema(shape).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass, field
 
@@ -86,23 +85,6 @@ class TaskSpec:
     target_count: int = DEFAULT_TARGET
     region: str = DEFAULT_REGION
 
-    @classmethod
-    def from_json(cls, text: str) -> TaskSpec:
-        """One spec held by the driver; spec tables use `parse_specs`."""
-        raw = json.loads(text)
-        return cls(
-            entity=raw["entity"],
-            fields=tuple(
-                FieldSpec(f["name"], f.get("type", "str"), f.get("description", ""), bool(f.get("required")))
-                for f in raw["fields"]
-            ),
-            key_fields=tuple(raw.get("key_fields", ())),
-            title=raw.get("title") or "",
-            filters=_plain_filters(raw.get("filters")),
-            target_count=raw.get("target_count", DEFAULT_TARGET),
-            region=_known_region(raw.get("region")),
-        )
-
     @property
     def names(self) -> list[str]:
         return [f.name for f in self.fields]
@@ -121,30 +103,6 @@ class TaskSpec:
             self.entity, fields, self.key_fields, self.title, self.filters, self.target_count, self.region
         )
 
-    def record_schema(self) -> T.StructType:
-        """Extracted record: spec fields plus the mandatory evidence."""
-        fields = [
-            T.StructField(f.name, f.spark_type, not f.required, {"semantic": f.type}) for f in self.fields
-        ]
-        return T.StructType([*fields, T.StructField("evidence", T.StringType(), False)])
-
-
-def _plain_filters(raw) -> dict[str, str]:
-    if not isinstance(raw, dict):
-        return {}
-    plain = {}
-    for key, value in raw.items():
-        if isinstance(value, dict):
-            raise ValueError(f"nested filter: {key}")
-        if value is not None:
-            plain[str(key)] = ", ".join(map(str, value)) if isinstance(value, list) else str(value)
-    return plain
-
-
-def _known_region(code) -> str:
-    code = str(code or DEFAULT_REGION).upper().strip()
-    return code if code in {r[0] for r in REGIONS} else DEFAULT_REGION
-
 
 def field_name(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit(" "), F.lit("_"))
