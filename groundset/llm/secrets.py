@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,15 @@ class Surroundings:
 
     def __init__(self, counts: DataFrame, words: int = DICTIONARY_WORDS):
         table = written(counts, "counts")
-        top = table.where("kind = 'w'").orderBy(F.desc("n"), "key").limit(words).collect()
+        told = table.where("kind = 'w'").withColumn("_log", F.floor(F.log2("n")))
+        # Counts by power of two (64 rows at most) tell which words can be among the most frequent, so that only
+        # those are sorted and sent.
+        least, found = 0, 0
+        for r in sorted(told.groupBy("_log").count().collect(), key=lambda r: -r["_log"]):
+            least, found = r["_log"], found + r["count"]
+            if found >= words:
+                break
+        top = told.where(F.col("_log") >= least).orderBy(F.desc("n"), "key").limit(words).collect()
         pairs = np.ones((_SYMBOLS, _SYMBOLS))
         for r in table.where("kind = 'p'").collect():  # at most _SYMBOLS squared
             pairs[int(r.key) // _SYMBOLS, int(r.key) % _SYMBOLS] += r.n
@@ -210,10 +219,19 @@ def train(findings: DataFrame, rows: int = TRAIN_ROWS) -> RandomForestClassifica
 
     Equal values count once. At most `rows` of each label are used, those of the least hash.
     """
-    known = findings.where("label is not null").dropDuplicates(["value", "label"])
-    order = F.xxhash64("value", "start")
-    parts = [known.where(F.col("label") == k).orderBy(order, "value").limit(rows) for k in (0, 1)]
-    sample = written(parts[0].union(parts[1]).select("features", "label"), "labelled")
+    place = F.pmod(F.xxhash64("value"), F.lit(1 << 40))
+    known = findings.where("label is not null").dropDuplicates(["value", "label"]).withColumn("_place", place)
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    # Hashes are even, so a tenth more than the share wanted holds enough; only those rows are sorted.
+    parts = [
+        known.where((F.col("label") == k) & (F.col("_place") < (1 << 40) * min(1.0, 1.1 * rows / n)))
+        .orderBy("_place", "value")
+        .limit(rows)
+        for k, n in sorted(counts.items())
+    ]
+    if not parts:
+        return None
+    sample = written(reduce(DataFrame.union, parts).select("features", "label"), "labelled")
     if sample.select("label").distinct().count() < 2:
         return None
     data = sample.coalesce(1).select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("y"))
