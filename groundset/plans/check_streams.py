@@ -119,7 +119,7 @@ def stream_first_seen(spark, sf):
     )
     stream, root = _streamed(spark, rows, "rank")
     out = os.path.join(root, "out")
-    ev.write_table(ev.first_seen_stream(stream).select("run_id", "url"), out, os.path.join(root, "cp")).awaitTermination()
+    ev.write_table(ev.first_seen_stream(stream, "1 day").select("run_id", "url"), out, os.path.join(root, "cp")).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -165,5 +165,5 @@ def stream_throttled(spark, sf):
     )
     stream, root = _streamed(spark, requests, "ts")
     out = os.path.join(root, "out")
-    ev.write_table(throttle_stream(stream, limit=2), out, os.path.join(root, "cp")).awaitTermination()
+    ev.write_table(throttle_stream(stream, "10 minutes", limit=2), out, os.path.join(root, "cp")).awaitTermination()
     return spark.read.parquet(out).select("client", "request_id", "accepted")

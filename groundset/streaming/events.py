@@ -48,8 +48,8 @@ def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "step").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
 
 
-def first_seen_stream(candidates: DataFrame, time: str = "seen_at", delay: str = "1 day") -> DataFrame:
-    """First sighting of each (run, URL); state is dropped once the watermark has passed."""
+def first_seen_stream(candidates: DataFrame, delay: str, time: str = "seen_at") -> DataFrame:
+    """First sighting of each (run, URL) within `delay`; later ones pass again, as their state is gone by then."""
     return candidates.withWatermark(time, delay).dropDuplicatesWithinWatermark(["run_id", "url"])
 
 

@@ -87,7 +87,7 @@ def throttle(requests: DataFrame, limit: int = LIMIT, window_seconds: int = WIND
 
 
 def throttle_stream(
-    requests: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS, delay: str = "10 minutes"
+    requests: DataFrame, delay: str, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS
 ) -> DataFrame:
     """Streaming form; state is the accepted times of the last window.
 
