@@ -33,27 +33,32 @@ def _blocks(raw: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of a text as a signed 64-bit number; 0 without words."""
-    raw = (text or "").encode().translate(_LOWER)
-    ones, total, carry, few = np.zeros(64, np.int64), 0, [], []
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text in order, in parts; a text of fewer words is one shingle, none has none."""
+    carry, some = [], False
     digest = xxhash.xxh64_intdigest
-    for words in _blocks(raw):
+    for words in _blocks((text or "").encode().translate(_LOWER)):
         words = carry + words
         if len(words) < shingle:
-            carry = few = words
+            carry = words
             continue
         line = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1)[: len(words) - shingle + 1]
         spans = zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
-        hashes = np.array([digest(line[a:b], seed) for a, b in spans], np.uint64)
+        yield np.array([digest(line[a:b], seed) for a, b in spans], np.uint64)
+        carry, some = words[len(words) - shingle + 1 :], True
+    if carry and not some:
+        yield np.array([digest(b" ".join(carry), seed)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a text as a signed 64-bit number; 0 without words."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle, seed):
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
         total += len(hashes)
-        carry, few = words[len(words) - shingle + 1 :], []
-    if not total and few:
-        return int(np.uint64(digest(b" ".join(few), seed)).astype(np.int64))
     over = np.packbits(ones * 2 > total, bitorder="little")
     return int(over.view("<i8")[0])
 
@@ -144,7 +149,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each component: the one of the least id; columns as they were."""
-    found = near_duplicates(docs, id_col, text_col)
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each _group of `found` (the id, _text, _group, component_id): the one of the least id."""
     first = Window.partitionBy("_group").orderBy(F.col(id_col).asc_nulls_last(), "_text")
     stay = (
         found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
