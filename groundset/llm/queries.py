@@ -1,11 +1,11 @@
-"""Registered queries of the ten operators, each over its whole table."""
+"""Registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundset.llm import bpe, chat, exact, packing, passages, quality, secrets, sharding, simhash, warc
+from groundset.llm import alignment, bpe, chat, exact, lexical, packing, passages, phrases, quality, secrets, sharding, simhash, warc
 from groundset.llm.tables import documents, query
 
 
@@ -137,3 +137,36 @@ def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_warc_derivatives")
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op12_phrase_fingerprint")
+def op12_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare_with_next(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+OP13_SQL = """
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms from documents),
+s as (select count(*) filter (len(terms) > 0) as big_n, sum(len(terms))::bigint as l from d),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark),
+tf as (select doc_id, n, term, count(*) as tf from (select doc_id, len(terms) as n, unnest(terms) as term from d)
+  where term in (select term from q) group by all),
+df as (select term, count(*) as df from tf group by term),
+r as (select item_id, doc_id, sum(floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)))::bigint
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * big_n) // l)))))::bigint as score
+  from q join tf using (term) join df using (term) cross join s group by all),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from r where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 10
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return lexical.search(documents(spark, sf_dir).select("doc_id", "text"), items)
