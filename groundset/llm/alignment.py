@@ -9,6 +9,7 @@ as a tree. A second pass aligns the texts again and looks counts up, the keys be
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundset.llm.bpe import PLAIN, _byte_chars
 from groundset.llm.tables import written
 
 #: Pairs of a bucket, vectors summed at once, and bytes of the table that one look-up pass broadcasts.
 BUCKET_PAIRS, FAN_IN, LOOK_UP_BYTES = 32_768, 8, 32_000_000
 #: Chunks kept by a worker, longest chunk kept, characters taken at once, pairs counted before they are handed on.
-CACHED_CHUNKS, CACHED_LENGTH, BLOCK, HELD_PAIRS = 150_000, 48, 1_000_000, 1_000_000
+CACHED_CHUNKS, CACHED_LENGTH, BLOCK, HELD_PAIRS = 300_000, 48, 2_000_000, 1_000_000
+#: Chunks encoded at once.
+RUN = 256
 #: A space after a character that no tokenizer takes for white space.
 _CUT, _OTHER = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 
@@ -115,16 +119,14 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        from groundset.llm.bpe import _byte_chars
-
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte_of = {c: k for k, c in (_byte_chars() | {10: chr(266)}).items()}
-        vocab = self.a.get_vocab(with_added_tokens=False)
+        vocab = {token: bytes(byte_of[c] for c in token) for token in self.a.get_vocab(with_added_tokens=False)}
         self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for token, i in vocab.items():
-            self.a_bytes[i] = bytes(byte_of[c] for c in token)
+        for token, spelt in vocab.items():
+            self.a_bytes[self.a.token_to_id(token)] = spelt
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
@@ -135,37 +137,87 @@ class Aligner:
             raise ValueError("pieces that go on after a space can't be aligned by chunks")
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.space = self.b.piece_to_id("▁")
         self.width = len(pieces)
+        #: Written ids of A before a comma, of A before a bar, of B before a comma, of B at the end of a group.
+        sizes = (len(self.a_bytes), len(self.a_bytes), self.width, self.width)
+        self.written = [f"{i}{end}" for n, end in zip(sizes, ",|,;", strict=True) for i in range(n)]
+        self.starts = np.cumsum([0, *sizes])
+        self.fast = self._by_rank(a_path)
+        self.beyond = re.compile(f"[^{PLAIN}]")
         self.cache: dict[str, tuple[int, int, int, str, bytes]] = {}
 
+    def _by_rank(self, a_path: str) -> Any:
+        """A faster encoder of the same vocabulary, where ids follow the order of the merges; else None."""
+        import public_tokenizers
+        import tiktoken
+
+        model = json.load(open(a_path, encoding="utf-8"))["model"]  # noqa: SIM115
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if [model["vocab"][x + y] for x, y in merges] != [*range(256, 256 + len(merges))]:
+            return None
+        ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("by_rank", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def chunks(self, text: str) -> list[str]:
         """What stands between the cuts of a text, the space before each left out."""
         return _CUT.split(text) if text[0] == " " or _OTHER.search(text) else text.split(" ")
 
+    def _ids_a(self, text: str) -> list[int]:
+        # Beyond the plain characters the two encoders could know different versions of Unicode.
+        if self.fast and not self.beyond.search(text):
+            return self.fast.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
     def _aligned(self, chunks: list[str]) -> list[tuple[int, int, int, str, bytes]]:
-        """Per chunk: tokens of A and of B, groups, the groups written out, its pairs; n_a is -1 where bytes differ."""
-        out = []
-        of_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
-        of_b = self.b.encode(chunks, num_threads=1)
-        for chunk, a, b in zip(chunks, of_a, of_b, strict=True):
-            b = b if chunk else [self.space]
-            raw = b" " + chunk.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-                out.append((-1, 0, 0, "", b""))
-                continue
-            if len(a) == 1 or len(b) == 1:
-                groups = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-                out.append((len(a), len(b), 1, groups, np.array([a[-1] * self.width + b[-1]], "<i8").tobytes()))
-                continue
-            ends_a, ends_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
-            _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            i, j, groups = 0, 0, []
-            for k, m in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-                groups.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-                i, j = k, m
-            pairs = np.array(a, np.int64)[at_a] * self.width + np.array(b, np.int64)[at_b]
-            out.append((len(a), len(b), len(groups), ";".join(groups), pairs.astype("<i8").tobytes()))
+        """Per chunk: tokens of A and of B, groups, the groups written out, its pairs; n_a is -1 where bytes differ.
+
+        Chunks that don't end in white space are encoded joined, as they would be inside a text.
+        """
+        out: dict[str, tuple[int, int, int, str, bytes]] = {}
+        closed = [c for c in chunks if c and not c[-1].isspace()]
+        runs = [closed[k : k + RUN] for k in range(0, len(closed), RUN)]
+        for run, b in zip(runs, self.b.encode([" ".join(r) for r in runs], num_threads=1), strict=True):
+            joined = " " + " ".join(run)
+            a, raw = self._ids_a(joined), joined.encode()
+            if self._spell(a, self.a_bytes) == raw == self._spell(b, self.b_bytes):
+                ends = np.cumsum([len(c.encode()) + 1 for c in run])
+                out.update(zip(run, self._cut(a, b, ends), strict=True))
+        for c in chunks:
+            if c not in out:
+                # Behind a line feed, which is a token of its own, no space is added.
+                a, b, raw = self._ids_a(" " + c), self.b.encode(f"\n {c}")[2:], f" {c}".encode()
+                same = self._spell(a, self.a_bytes) == raw == self._spell(b, self.b_bytes)
+                out[c] = self._cut(a, b, np.array([len(raw)]))[0] if same else (-1, 0, 0, "", b"")
+        return [out[c] for c in chunks]
+
+    @staticmethod
+    def _spell(ids: list[int], spelt: list[bytes]) -> bytes:
+        return b"".join(map(spelt.__getitem__, ids))
+
+    def _cut(self, a: list[int], b: list[int], ends: np.ndarray) -> list[tuple[int, int, int, str, bytes]]:
+        """What `_aligned` gives, for chunks of one run of tokens that end at the bytes `ends`."""
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        at = np.minimum(np.searchsorted(ends_b, ends_a), len(b) - 1)
+        last_a = np.flatnonzero(ends_b[at] == ends_a)
+        last_b = at[last_a]
+        if not np.isin(ends, ends_a[last_a]).all():
+            raise ValueError("a token goes beyond its chunk")
+        pairs = (a[last_a] * self.width + b[last_b]).astype("<i8").tobytes()
+        # All ids in the order they are written in: each group's of A, then its of B.
+        group_a = np.searchsorted(last_a, np.arange(len(a)))
+        group_b = np.searchsorted(last_b, np.arange(len(b)))
+        order = np.empty(len(a) + len(b), np.int64)
+        closes_a, closes_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        closes_a[last_a] = closes_b[last_b] = 1
+        order[np.arange(len(a)) + np.append(0, last_b + 1)[group_a]] = self.starts[closes_a] + a
+        order[np.arange(len(b)) + last_a[group_b] + 1] = self.starts[2 + closes_b] + b
+        shown = [*map(self.written.__getitem__, order.tolist())]
+        n_a, n_b, n = (np.searchsorted(x, ends) + 1 for x in (ends_a, ends_b, ends_a[last_a]))
+        out, i, j, k = [], 0, 0, 0
+        for i2, j2, k2 in zip(n_a.tolist(), n_b.tolist(), n.tolist(), strict=True):
+            out.append((i2 - i, j2 - j, k2 - k, "".join(shown[i + j : i2 + j2]), pairs[8 * k : 8 * k2]))
+            i, j, k = i2, j2, k2
         return out
 
     def records(self, chunks: list[str]) -> list[tuple[int, int, int, str, bytes]]:
@@ -232,8 +284,8 @@ class Block:
     def digests(self) -> list[str]:
         out, of = [], self.of.tolist()
         for ok, a, b in zip(self.sound.tolist(), self.ends.tolist(), self.ends[1:].tolist(), strict=False):
-            joined = ";".join(map(self.groups.__getitem__, of[a:b])) if ok else ""
-            out.append(hashlib.sha256(joined.encode()).hexdigest() if ok else "")
+            joined = "".join(map(self.groups.__getitem__, of[a:b])) if ok else ""
+            out.append(hashlib.sha256(joined[:-1].encode()).hexdigest() if ok else "")
         return out
 
 
