@@ -8,12 +8,15 @@ as a tree. A second pass aligns the texts again and looks counts up, the keys be
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -28,7 +31,7 @@ from groundset.llm.tables import written
 #: Pairs of a bucket, vectors summed at once, and bytes of the table that one look-up pass broadcasts.
 BUCKET_PAIRS, FAN_IN, LOOK_UP_BYTES = 32_768, 8, 32_000_000
 #: Chunks kept by a worker, longest chunk kept, characters taken at once, pairs counted before they are handed on.
-CACHED_CHUNKS, CACHED_LENGTH, BLOCK, HELD_PAIRS = 300_000, 48, 2_000_000, 1_000_000
+CACHED_CHUNKS, CACHED_LENGTH, BLOCK, HELD_PAIRS = 300_000, 48, 4_000_000, 1_000_000
 #: Chunks encoded at once.
 RUN = 256
 #: A space after a character that no tokenizer takes for white space.
@@ -114,7 +117,9 @@ class Counts:
 class Aligner:
     """Aligns texts as two tokenizers see them; built once per Python worker by `load`."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, writes: bool = True):
+        """`writes` is whether groups are written out, which only the second pass needs."""
+        self.writes = writes
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -144,7 +149,8 @@ class Aligner:
         self.starts = np.cumsum([0, *sizes])
         self.fast = self._by_rank(a_path)
         self.beyond = re.compile(f"[^{PLAIN}]")
-        self.cache: dict[str, tuple[int, int, int, str, bytes]] = {}
+        self.young: dict[str, tuple[int, int, int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, int, int, str, bytes]] = {}
 
     def _by_rank(self, a_path: str) -> Any:
         """A faster encoder of the same vocabulary, where ids follow the order of the merges; else None."""
@@ -204,6 +210,15 @@ class Aligner:
         if not np.isin(ends, ends_a[last_a]).all():
             raise ValueError("a token goes beyond its chunk")
         pairs = (a[last_a] * self.width + b[last_b]).astype("<i8").tobytes()
+        n_a, n_b, n = (np.searchsorted(x, ends) + 1 for x in (ends_a, ends_b, ends_a[last_a]))
+        cuts = zip(n_a.tolist(), n_b.tolist(), n.tolist(), strict=True)
+        i = j = k = 0
+        out = []
+        if not self.writes:
+            for i2, j2, k2 in cuts:
+                out.append((i2 - i, j2 - j, k2 - k, "", pairs[8 * k : 8 * k2]))
+                i, j, k = i2, j2, k2
+            return out
         # All ids in the order they are written in: each group's of A, then its of B.
         group_a = np.searchsorted(last_a, np.arange(len(a)))
         group_b = np.searchsorted(last_b, np.arange(len(b)))
@@ -213,25 +228,25 @@ class Aligner:
         order[np.arange(len(a)) + np.append(0, last_b + 1)[group_a]] = self.starts[closes_a] + a
         order[np.arange(len(b)) + last_a[group_b] + 1] = self.starts[2 + closes_b] + b
         shown = [*map(self.written.__getitem__, order.tolist())]
-        n_a, n_b, n = (np.searchsorted(x, ends) + 1 for x in (ends_a, ends_b, ends_a[last_a]))
-        out, i, j, k = [], 0, 0, 0
-        for i2, j2, k2 in zip(n_a.tolist(), n_b.tolist(), n.tolist(), strict=True):
+        for i2, j2, k2 in cuts:
             out.append((i2 - i, j2 - j, k2 - k, "".join(shown[i + j : i2 + j2]), pairs[8 * k : 8 * k2]))
             i, j, k = i2, j2, k2
         return out
 
     def records(self, chunks: list[str]) -> list[tuple[int, int, int, str, bytes]]:
-        """`_aligned` of distinct chunks through the worker's cache."""
-        known = self.cache
-        missing = [c for c in chunks if c not in known]
-        if len(known) + len(missing) > CACHED_CHUNKS:
-            known.clear()
-            missing = chunks
-        known.update(zip(missing, self._aligned(missing), strict=True))
-        out = [known[c] for c in chunks]
-        for c in missing:
-            if len(c) > CACHED_LENGTH:
-                del known[c]
+        """`_aligned` of distinct chunks through the worker's cache of two generations.
+
+        Once the young one is full it becomes the old one; what is met again moves back, so frequent chunks stay.
+        """
+        young, old = self.young, self.old
+        if len(young) > CACHED_CHUNKS // 2:
+            young, old = self.young, self.old = {}, young
+        missing = [c for c in chunks if c not in young and c not in old]
+        new = dict(zip(missing, self._aligned(missing), strict=True))
+        out = [young.get(c) or new.get(c) or old[c] for c in chunks]
+        for c, record in zip(chunks, out, strict=True):
+            if len(c) <= CACHED_LENGTH:
+                young[c] = record
         return out
 
     def blocks(self, texts: Iterable[str | None]) -> Iterator[Block]:
@@ -252,11 +267,19 @@ class Block:
     """Some texts as numbers of the distinct chunks they consist of, and what is known of each chunk."""
 
     def __init__(self, aligner: Aligner, texts: list[list[str]]):
-        number: dict[str, int] = {}
-        of = [number.setdefault(c, len(number)) for chunks in texts for c in chunks]
-        self.of = np.array(of, np.int64)
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        size = sum(map(len, texts))
+        self.of = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, size)
         self.ends = np.cumsum([0, *map(len, texts)])
-        records = aligner.records(list(number))
+        # A collection would walk over all records for nothing: they hold no references in a circle.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            records = aligner.records(list(number))
+        finally:
+            if collects:
+                gc.enable()
         n_a, n_b, n_groups, self.groups, raw = zip(*records, strict=True) if records else ((),) * 5
         self.n_a, self.n_b, self.n_groups = (np.array(x, np.int64) for x in (n_a, n_b, n_groups))
         self.pairs = np.frombuffer(b"".join(raw), "<i8")
@@ -290,8 +313,8 @@ class Block:
 
 
 @lru_cache(maxsize=2)
-def load(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
+def load(a_path: str, b_path: str, writes: bool = True) -> Aligner:
+    return Aligner(a_path, b_path, writes)
 
 
 def default_paths() -> tuple[str, str]:
@@ -314,7 +337,7 @@ def pair_parts(docs: DataFrame, paths: tuple[str, str], text_col: str = "text")
         return pa.RecordBatch.from_arrays(columns, names=["pair", "_hash", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = load(*paths)
+        aligner = load(*paths, writes=False)
         none = np.zeros(0, np.int64)
         counted, new, size = (none, none), [], 0
         for batch in batches:
