@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundset.llm.tables import carried, restored
+from groundset.llm.tables import carried, restored, written
 
 #: Parts that the rows of one text are spread over; a 64-bit mask names those in use.
 SALTS = 48
+#: Bytes of repeated digests up to which they are sent to every executor.
+SENT_BYTES = 16_000_000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
@@ -61,6 +63,25 @@ def text_groups(
     return checked.select("_digest", F.explode(in_use).alias("_salt"), "keep_id", "group_size")
 
 
+def repeated_digests(keyed: DataFrame) -> DataFrame:
+    """Digests that more than one row of `keyed` has, written. Only digests and counts are moved."""
+    salted = keyed.groupBy("_digest", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    met = salted.groupBy("_digest").agg(F.sum("_n").alias("_n")).where("_n > 1")
+    return written(met.select("_digest"), "repeated")
+
+
+def _flagged(keyed: DataFrame, repeated: DataFrame, salts: int) -> DataFrame:
+    """`keyed` with _again: whether the digest is repeated.
+
+    Few digests are sent to the rows, which then stay where they are; more of them meet the rows by digest and salt.
+    """
+    marked = repeated.withColumn("_again", F.lit(True))
+    if repeated.count() * 64 <= SENT_BYTES:
+        return keyed.join(F.broadcast(marked), "_digest", "left")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return keyed.join(marked.withColumn("_salt", every), ["_digest", "_salt"], "left")
+
+
 def mark_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS
 ) -> DataFrame:
@@ -68,27 +89,25 @@ def mark_copies(
 
     Of equal texts the row with the largest id stays. A null text counts as empty, a null id as smaller than
     any other; a group with only null ids has a null keep_id. Of rows that repeat the staying id and text one
-    stays. Columns of these names (or with a leading underscore: _digest, _salt, _nth) are replaced.
+    stays. Columns of these names (or with a leading underscore: _digest, _salt, _nth, _again) are replaced. An
+    empty table gives no rows. A text of a digest no other row has is equal to none; only the others' texts are moved and
+    compared, so very long and unique ones stay where they are.
     """
-    groups = text_groups(docs, id_col, text_col, salts)
-    rest = docs.drop("keep_id", "group_size", "kept", "text_sha256", "_digest", "_salt", "_nth")
-    joined = _keyed(rest, id_col, text_col, salts).join(groups, ["_digest", "_salt"], "left")
+    rest = docs.drop("keep_id", "group_size", "kept", "text_sha256", "_digest", "_salt", "_nth", "_again")
+    keyed = _keyed(rest, id_col, text_col, salts)
+    flagged = _flagged(keyed, repeated_digests(keyed), salts)
+    copies = flagged.where("_again").drop("_again")
+    groups = text_groups(copies.select(id_col, text_col), id_col, text_col, salts)
     # The rows of an id and text share digest and salt, so this window needs no shuffle of its own.
     others = [c for c in rest.columns if c not in (id_col, text_col)]
     first = Window.partitionBy("_digest", "_salt", id_col).orderBy(F.xxhash64(F.lit(0), *others))
-    alone = F.col("group_size").isNull()
-    return (
-        joined.withColumn("_nth", F.row_number().over(first))
-        .withColumns(
-            {
-                "kept": (alone | F.col(id_col).eqNullSafe(F.col("keep_id"))) & (F.col("_nth") == 1),
-                "keep_id": F.when(alone, F.col(id_col)).otherwise(F.col("keep_id")),
-                "group_size": F.coalesce("group_size", F.lit(1).cast("bigint")),
-                "text_sha256": F.col("_digest"),
-            }
-        )
-        .drop("_digest", "_salt", "_nth")
+    stays = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 1)
+    met = copies.join(groups, ["_digest", "_salt"]).withColumn("_nth", F.row_number().over(first)).withColumn("kept", stays)
+    alone = flagged.where(F.col("_again").isNull()).withColumns(
+        {"keep_id": F.col(id_col), "group_size": F.lit(1).cast("bigint"), "kept": F.lit(True)}
     )
+    names = [*rest.columns, "keep_id", "group_size", "kept", F.col("_digest").alias("text_sha256")]
+    return alone.select(*names).unionByName(met.select(*names))
 
 
 def drop_copies(

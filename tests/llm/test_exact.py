@@ -44,3 +44,18 @@ def test_two_texts_of_one_digest_stop_the_job(docs, monkeypatch):
     monkeypatch.setattr(exact.F, "sha2", lambda c, n: F.lit("same"))
     with pytest.raises(Exception, match="share the digest"):
         exact.mark_copies(docs([(1, "a"), (2, "a"), (3, "b")])).collect()
+
+
+def test_rows_that_meet_digests_by_salt(docs, monkeypatch):
+    rows = [(k, f"t{k % 40}") for k in range(200)] + [(None, "t1"), (None, None), (900, "alone")]
+    sent = _marks(docs(rows))
+    monkeypatch.setattr(exact, "SENT_BYTES", 0)
+    assert _marks(docs(rows)) == sent and (900, 900, 1, True) in sent and (1, 161, 6, False) in sent
+
+
+def test_one_id_or_none_for_thousands_of_rows(docs):
+    rows = [(7, "same")] * 3000 + [(None, "same")] * 1000 + [(7, f"x{k}") for k in range(500)] + [(None, "none")] * 1000
+    got = exact.mark_copies(docs(rows)).collect()
+    assert len(got) == len(rows)
+    assert [r.keep_id for r in got if r.kept and r.group_size == 4000] == [7]
+    assert sum(r.kept for r in got if r.group_size == 1000) == 1 and sum(r.kept for r in got) == 502
