@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words kept by a worker, longest word kept, and characters taken at once: they bound memory, not results.
-CACHED_WORDS, CACHED_LENGTH, BLOCK = 600_000, 64, 1_000_000
+CACHED_WORDS, CACHED_LENGTH, BLOCK = 1_000_000, 64, 1_000_000
 NEVER = np.iinfo(np.int64).max
 
 #: Characters whose case, class and normal form are the same in every Unicode version.
@@ -99,7 +99,9 @@ class WordBpe:
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.unbyte = {ord(c): b for b, c in self.byte_chars.items()}
+        #: Words of two generations: a full young one becomes the old one, words met again move back.
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     # -- compatibility of neighbours ---------------------------------------------------------------
 
@@ -289,11 +291,12 @@ class WordBpe:
             for p in parts:
                 if isinstance(p, list):
                     new.update(p)
-        known = self.cache
+        if len(self.cache) > CACHED_WORDS // 2:
+            self.cache, self.old = {}, self.cache
+        known, old = self.cache, self.old
         missing = [w for w in new if w not in known]
-        if len(known) + len(missing) > CACHED_WORDS:
-            known.clear()
-            missing = list(new)
+        known.update((w, old[w]) for w in missing if w in old)
+        missing = [w for w in missing if w not in known]
         known.update(zip(missing, self.encode_words(missing), strict=True))
         for parts in held:
             for k, p in enumerate(parts):
