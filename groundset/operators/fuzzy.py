@@ -31,7 +31,9 @@ MERGE_THRESHOLD = 90
 HOT_PAIRS = 4_000_000
 # Length of the shorter string beyond which pairs meet on grams, and the size of a gram. At this length a
 # similar pair shares at least one in four grams.
-LONG_KEY, GRAM = 48, 4
+LONG_KEY, GRAM = 48, 2
+#: Longs of the bit sketch that long keys are compared by before their characters are.
+WIDE = 32
 PEEL_ROUNDS = 8
 
 
@@ -85,7 +87,7 @@ def _index_rows(nodes: DataFrame, threshold: int) -> DataFrame:
         _segment_length(F.col("i"), F.col("len"), F.col("k")),
     )
     return rows.select(
-        "run_id", "idx", "len", "sketch", _signature(F.col("len"), F.col("i"), piece).alias("sig"),
+        "run_id", "idx", "len", "sketch", "wide", _signature(F.col("len"), F.col("i"), piece).alias("sig"),
         F.lit(True).alias("shorter"),
     )
 
@@ -124,7 +126,7 @@ def _probe_rows(nodes: DataFrame, threshold: int) -> DataFrame:
     signatures = F.array_distinct(F.transform(shifts, signature))
     # The outer form: plain explode would infer a size filter and hash everything twice.
     return rows.select(
-        "run_id", "idx", "len", "sketch", F.explode_outer(signatures).alias("sig"), F.lit(False).alias("shorter")
+        "run_id", "idx", "len", "sketch", "wide", F.explode_outer(signatures).alias("sig"), F.lit(False).alias("shorter")
     ).filter(F.col("sig").isNotNull())
 
 
@@ -136,14 +138,7 @@ def _gram_rows(nodes: DataFrame, threshold: int) -> DataFrame:
     similar strings share one among that many and one more, in any order common to both. The bound is
     largest for the shortest partner or for one of equal length. Grams that occur again are numbered.
     """
-    long = nodes.filter(F.col("len") > LONG_KEY)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.col("len") - GRAM + 1), lambda i: F.substring(F.col("s"), i, F.lit(GRAM))
-    )
-    rows = long.select("run_id", "idx", "len", "sketch", F.posexplode(F.array_sort(grams)).alias("at", "gram"))
-    # Equal grams stand together once sorted: their number is the distance from the first of them.
-    mine = Window.partitionBy("run_id", "idx", "gram").orderBy("at")
-    numbered = rows.withColumn("nth", F.row_number().over(mine))
+    numbered = _numbered_grams(nodes.filter(F.col("len") > LONG_KEY), "len", "sketch", "wide")
     sizes = numbered.groupBy("run_id", "gram", "nth").agg(F.count(F.lit(1)).alias("n"))
     ranked = numbered.join(sizes, ["run_id", "gram", "nth"]).withColumn(
         "rank", F.row_number().over(Window.partitionBy("run_id", "idx").orderBy("n", "gram", "nth"))
@@ -156,7 +151,7 @@ def _gram_rows(nodes: DataFrame, threshold: int) -> DataFrame:
         ]
     )
     return ranked.filter(F.col("rank") <= broken + 1).select(
-        "run_id", "idx", "len", "sketch", F.xxhash64("run_id", F.lit("gram"), "gram", "nth").alias("sig"),
+        "run_id", "idx", "len", "sketch", "wide", F.xxhash64("run_id", F.lit("gram"), "gram", "nth").alias("sig"),
         F.explode(F.array(F.lit(True), F.lit(False))).alias("shorter"),
     )
 
@@ -184,22 +179,24 @@ def _candidates(earlier: DataFrame, later: DataFrame, threshold: int) -> DataFra
     """Distinct (a, b), a < b, of rows meeting on a signature in opposite roles.
 
     The shorter side of a hot signature is spread over its salts, the longer side repeated for
-    each: every pair meets exactly once. The sketch prunes inside the join.
+    each: every pair meets exactly once. The sketches prune inside the join.
     """
     found = []
     for short, long, flip in ((earlier, later, False), (later, earlier, True)):
         i = short.filter("shorter").select(
             "run_id", "sig", F.pmod(F.xxhash64("idx"), F.col("salts")).cast("int").alias("salt"),
-            F.col("idx").alias("i_idx"), F.col("len").alias("i_len"), F.col("sketch").alias("i_sketch"),
+            F.col("idx").alias("i_idx"), F.col("len").alias("i_len"), F.col("sketch").alias("i_sketch"), F.col("wide").alias("i_wide"),
         )
         p = long.filter(~F.col("shorter")).select(
             "run_id", "sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-            F.col("idx").alias("p_idx"), F.col("len").alias("p_len"), F.col("sketch").alias("p_sketch"),
+            F.col("idx").alias("p_idx"), F.col("len").alias("p_len"), F.col("sketch").alias("p_sketch"), F.col("wide").alias("p_wide"),
         )
         order = F.col("i_idx") > F.col("p_idx") if flip else F.col("i_idx") < F.col("p_idx")
         apart = F.bit_count(F.col("i_sketch").bitwiseXOR(F.col("p_sketch")))
         pairs = i.join(p, ["run_id", "sig", "salt"]).filter(
-            order & (apart <= max_distance(F.col("i_len"), F.col("p_len"), threshold))
+            order
+            & (apart <= max_distance(F.col("i_len"), F.col("p_len"), threshold))
+            & _within("i_wide", "p_wide", "i_len", "p_len", threshold)
         )
         found.append(
             pairs.select("run_id", F.least("i_idx", "p_idx").alias("a"), F.greatest("i_idx", "p_idx").alias("b"))
@@ -207,6 +204,44 @@ def _candidates(earlier: DataFrame, later: DataFrame, threshold: int) -> DataFra
     return found[0].unionByName(found[1]).distinct()
 
 
+def _numbered_grams(long: DataFrame, *carried: str) -> DataFrame:
+    """Every gram of the strings of `long`, with the number of its occurrence in the string."""
+    grams = F.transform(
+        F.sequence(F.lit(1), F.col("len") - GRAM + 1), lambda i: F.substring(F.col("s"), i, F.lit(GRAM))
+    )
+    rows = long.select("run_id", "idx", *carried, F.posexplode(F.array_sort(grams)).alias("at", "gram"))
+    # Equal grams stand together once sorted: their number is the distance from the first of them.
+    mine = Window.partitionBy("run_id", "idx", "gram").orderBy("at")
+    return rows.withColumn("nth", F.row_number().over(mine))
+
+
+def _wide_sketches(nodes: DataFrame) -> DataFrame:
+    """Per long string: run_id, idx and `wide`, where each numbered gram turns one of 64 WIDE bits over."""
+    bit = F.pmod(F.xxhash64("gram", "nth"), F.lit(64 * WIDE))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))
+    words = (
+        _numbered_grams(nodes.filter(F.col("len") > LONG_KEY))
+        .groupBy("run_id", "idx", F.floor(bit / 64).cast("int").alias("word"))
+        .agg(F.bit_xor(one).alias("bits"))
+    )
+    held = words.groupBy("run_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(WIDE - 1))
+    wide = F.transform(every, lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint")))
+    return held.select("run_id", "idx", wide.alias("wide"))
+
+
+def _within(a: str, b: str, len_a: str, len_b: str, threshold: int) -> Column:
+    """Whether wide sketches leave two long strings similar; true where one has none.
+
+    An edit takes at most GRAM grams out of a string's numbered ones and puts at most GRAM - 1 in, or the other
+    way round, and each turns one bit: strings within d edits differ in at most (2 GRAM - 1) d bits. The
+    sketch has room for several hundred grams, so strings that only share a language differ in many more.
+    """
+    words = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WIDE)]
+    most = (2 * GRAM - 1) * max_distance(F.col(len_a), F.col(len_b), threshold)
+    return F.coalesce(reduce(lambda x, y: x + y, words) <= most, F.lit(True))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """Keep pairs whose strings reach the threshold: bounded edit distance first, then the LCS."""
     strings = nodes.select("run_id", "idx", "s")
@@ -220,7 +255,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 def _distinct_strings(nodes: DataFrame) -> DataFrame:
     """Equal strings share their first position: similarity only looks at the string."""
     firsts = nodes.filter(F.length("s") > 0).groupBy("run_id", "s").agg(F.min("idx").alias("idx"))
-    return _with_sketch(firsts.withColumn("len", F.length("s")))
+    nodes = cut_lineage(_with_sketch(firsts.withColumn("len", F.length("s"))))
+    return nodes.join(_wide_sketches(nodes), ["run_id", "idx"], "left")
 
 
 def similar_pairs(nodes: DataFrame, threshold: int = MERGE_THRESHOLD, hot_pairs: int = HOT_PAIRS) -> DataFrame:

@@ -229,11 +229,18 @@ def fuzzy_pairs(spark, sf):
 
 @query("fuzzy_long_keys")
 def fuzzy_long_keys(spark, sf):
-    """Similar turns of conversations: whole texts as keys, several hundred characters long."""
+    """Similar turns of conversations: whole texts as keys, several hundred characters long; first turns are quoted again."""
     key = text.sorted_tokens(text.key_text(F.col("text"))).alias("s")
     turns = base(spark, sf, "conversations")
     nodes = turns.select((F.col("conv_id") % 3).alias("run_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), key)
-    return fuzzy.similar_pairs(nodes)
+    return fuzzy.similar_pairs(nodes.unionByName(_quoted(turns)))
+
+
+def _quoted(turns):
+    """The first turn of every conversation once more, without its last word: similar keys at any size of the table."""
+    first = turns.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min_by("text", "turn").alias("text"))
+    shorter = text.sorted_tokens(text.key_text(F.regexp_replace("text", r"\s+\S+\s*$", ""))).alias("s")
+    return first.select((F.col("conv_id") % 3).alias("run_id"), (F.col("conv_id") * 1000 + 500 + F.col("turn")).alias("idx"), shorter)
 
 
 @query("fuzzy_leaders", f"with recursive {_LEADERS} select run_id, idx, leader from led where leader <> idx")

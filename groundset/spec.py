@@ -66,9 +66,7 @@ class FieldSpec:
     def __post_init__(self):
         if self.type not in _SPARK_TYPES:
             raise ValueError(f"unknown field type: {self.type}")
-        object.__setattr__(self, "name", "_".join(self.name.lower().split(" ")))
-        if not re.fullmatch(FIELD_NAME, self.name):
-            raise ValueError(f"a field name is snake_case, letters or digits and underscores: {self.name}")
+        object.__setattr__(self, "name", clean_name(self.name))
 
     @property
     def spark_type(self) -> T.DataType:
@@ -104,6 +102,14 @@ class TaskSpec:
         )
 
 
+def clean_name(name: str) -> str:
+    """The name of a field as it is stored: `field_name` and `is_field_name` for one name."""
+    stored = name.lower().replace(" ", "_")
+    if re.fullmatch(FIELD_NAME, stored) is None:
+        raise ValueError(f"a field name is snake_case, letters or digits and underscores: {stored}")
+    return stored
+
+
 def field_name(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit(" "), F.lit("_"))
 
