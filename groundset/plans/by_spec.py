@@ -90,9 +90,13 @@ def validate_by_spec(pool: DataFrame, fields: DataFrame) -> DataFrame:
     """Every record `(run_id, arrival, source_id, evidence, flags, data)` normalised and checked by its run's spec.
 
     Adds `reject_reason`, `dedupe_key`, `fuzzy_key`, `unfilled` and `n_fields`. A key names fields of the spec;
-    without any, every field is a key; a run without a spec keeps each record by itself.
+    without any, every field is a key; a run without a spec keeps each record by itself. Rows that repeat a
+    run and arrival stay apart, equal ones included; those of a run without a spec share their key.
     """
-    cells = with_fields(pool, fields).withColumn("_s", F.explode_outer("_spec"))
+    # Rows of one run and arrival are told apart by their content; equal ones are counted and told out again.
+    own = F.struct("source_id", "evidence", "flags", F.sort_array(F.map_entries("data")).alias("data"))
+    whole = F.sha2(F.to_json(own, {"ignoreNullFields": "false"}), 256)
+    cells = with_fields(pool, fields).withColumn("_whole", whole).withColumn("_s", F.explode_outer("_spec"))
     cells = cells.withColumn("_v", _normalized(F.col("_s"), F.try_element_at("data", F.col("_s.name"))))
     cell = F.struct(
         F.col("_s.ordinal").alias("ordinal"), F.col("_s.name").alias("name"), F.col("_v.value").alias("value"),
@@ -101,12 +105,14 @@ def validate_by_spec(pool: DataFrame, fields: DataFrame) -> DataFrame:
         _key_part(F.col("_v")).alias("part"),
     )
     # A record's cells, as many as its spec has fields, come together again.
-    df = cells.groupBy("run_id", "arrival").agg(
+    df = cells.groupBy("run_id", "arrival", "_whole").agg(
         F.first("source_id").alias("source_id"),
         F.first("evidence").alias("evidence"),
         F.first("flags").alias("flags"),
-        F.sort_array(F.collect_list(F.when(F.col("_s").isNotNull(), cell))).alias("_f"),
+        F.sort_array(F.collect_set(F.when(F.col("_s").isNotNull(), cell))).alias("_f"),
+        (F.count(F.lit(1)) / F.greatest(F.max(F.size("_spec")), F.lit(1))).cast("int").alias("_n"),
     )
+    df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n")))
     missing = F.get(F.filter("_f", lambda f: f["lacks"]), 0)["name"]
     own = F.filter("_f", lambda f: f["is_key"])
     keys = F.when(F.size(own) > 0, own).otherwise(F.col("_f"))
@@ -134,11 +140,12 @@ def validate_by_spec(pool: DataFrame, fields: DataFrame) -> DataFrame:
 def _merged(rows: DataFrame, key: str, order: list[str], keep: list[Column]) -> DataFrame:
     """One row per run and key: each field from the first row in order that has it. Combined before the shuffle."""
     rank = F.struct(*order)
+    # Flags and value settle rows of one place.
     heads = rows.groupBy("run_id", key).agg(
-        F.min_by("flags", rank).alias("flags"), F.max("n_fields").alias("n_fields"), *keep
+        F.min_by("flags", F.struct(rank, "flags")).alias("flags"), F.max("n_fields").alias("n_fields"), *keep
     )
     cells = rows.select("run_id", key, *order, F.explode("data").alias("_name", "_value")).filter("_value is not null")
-    firsts = cells.groupBy("run_id", key, "_name").agg(F.min_by("_value", rank).alias("_value"))
+    firsts = cells.groupBy("run_id", key, "_name").agg(F.min_by("_value", F.struct(rank, "_value")).alias("_value"))
     # As many entries as the spec has fields.
     maps = firsts.groupBy("run_id", key).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias("data"))
     empty = F.create_map().cast("map<string,string>")

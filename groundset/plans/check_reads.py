@@ -12,7 +12,7 @@ from groundset.plans.derived import base, derived, derived_sql
 from groundset.session import scratch_path
 from groundset.sinks import store as sink
 from groundset.sinks.exports import source_sheet
-from groundset.sources.store import read_candidates, read_current, read_pages, read_table
+from groundset.sources.store import read_candidates, read_current, read_pages, read_table, rejected_candidates
 
 _RUNS, _RECORDS, _SOURCES, _EVIDENCE, _EVENTS, _TASKS = (
     derived_sql(n) for n in ("runs", "records", "sources", "evidence", "run_events", "tasks")
@@ -448,6 +448,27 @@ def replace_runs(spark, sf):
     return read_current(spark, root, "records").select("run_id", "record_id", "confidence")
 
 
+@query(
+    "compacted_runs",
+    f"""with {_RECORDS}, n as (select *, run_id::bigint % 35 as k from records),
+    v as (select *, case when k % 7 = 6 then 6 when k % 5 = 0 or k % 7 = 5 then 5 else k % 7 end as version from n)
+    select run_id, record_id, 2.0::double * version as confidence from v where l_linenumber > version % 3""",
+)
+def compacted_runs(spark, sf):
+    """Seven replacements of overlapping runs, compacted twice on the way and cleared of old files, then read."""
+    root, k = scratch_path(spark, "store"), F.col("run_id").cast("bigint") % 35
+    line = F.get(F.split("record_id", "-"), 1).cast("int")
+    rows = _records(spark, sf).withColumn("dedupe_key", F.lit("k"))
+    for version in range(7):
+        touched = (k % 7 == version) | ((k % 5 == 0) if version == 5 else F.lit(version == 0))
+        new = rows.filter(touched & (line > version % 3)).withColumn("confidence", F.lit(2.0 * version))
+        sink.replace_runs({"records": new}, root, rows.filter(touched), version)
+        if version in (2, 5):
+            sink.compact(spark, root, version)
+            sink.remove_superseded(spark, root)
+    return read_current(spark, root, "records").select("run_id", "record_id", "confidence")
+
+
 # Only task specs are complete; a run's own snapshot here lacks its fields and counts as unusable.
 _TARGETS = f"""{_STATS}, {_TASKS}, {_SUMMARY}, spec as (select r.run_id, case when r.run_spec not in ('', '{{}}') or t.task_id is null or cast(t.task_id as bigint) % 10 = 9 then null else cast(t.task_id as bigint) end as k
       from runs r left join tasks t on t.task_id = r.task_id), target as (select run_id, k, case when k is null then 30 else 5 + k % 40 end as target from spec)"""
@@ -473,6 +494,21 @@ def scan_candidates(spark, sf):
     return found.select(F.col("run_id").cast("bigint").alias("run_id"), "url", "title", "snippet")
 
 
+@query(
+    "rejected_candidates",
+    """select case when page_id % 3 = 0 then null else page_id % 4 end as run_id, case when page_id % 3 = 0 then 'broken_line' else 'no_url' end as reason,
+      case when page_id % 3 = 0 then '{"url": "' || page_id || '", "rank"' end as line from pages where page_id % 3 < 2""",
+)
+def rejected(spark, sf):
+    """Search results of which a third breaks off in the line and a third names no URL."""
+    path, page = scratch_path(spark, "results"), F.col("page_id")
+    whole = F.to_json(F.struct((page % 4).alias("run_id"), F.when(page % 3 == 2, F.col("url")).alias("url"), F.lit("t").alias("title")))
+    cut = F.concat(F.lit('{"url": "'), page.cast("string"), F.lit('", "rank"'))
+    base(spark, sf, "pages").select(F.when(page % 3 == 0, cut).otherwise(whole).alias("value")).write.text(path)
+    left = rejected_candidates(spark, path)
+    return left.select(F.col("run_id").cast("bigint").alias("run_id"), "reason", "line")
+
+
 @query("scan_pages", "select url, md5(html) as digest, 200 as http_status, cast(null as varchar) as content_type from pages")
 def scan_pages(spark, sf):
     """Pages written without one of the contract's columns and with another, scanned under the contract."""

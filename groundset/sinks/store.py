@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundset.sources.store import RUN_VERSIONS, TABLES, table_path
+from groundset.sources.store import (
+    COMPACTED,
+    RUN_VERSIONS,
+    TABLES,
+    folders,
+    last_compaction,
+    read_current,
+    run_versions,
+    table_path,
+)
 
 
 def append(df: DataFrame, root: str, name: str) -> None:
@@ -17,8 +26,12 @@ def replace_runs(tables: dict[str, DataFrame], root: str, touched: DataFrame, ve
 
     The new rows form a version of their own, one folder for all runs. Once every table is written, the
     touched runs are pointed to it in a single write, so readers of `read_current` see all tables switch
-    together, and a run without new rows is empty. Versions must grow; writing one again replaces it.
+    together, and a run without new rows is empty. Versions must grow; writing one again replaces it, until
+    `compact` has settled it: from then on it is refused.
     """
+    settled = last_compaction(touched.sparkSession, root)
+    if settled is not None and version <= settled:
+        raise ValueError(f"the store is compacted up to version {settled}; {version} can't be written")
     for name, df in tables.items():
         _write_version(df.select(*TABLES[name].fieldNames()), root, name, version)
     runs = touched.select(F.col("run_id").cast("string").alias("run_id")).distinct()
@@ -29,6 +42,49 @@ def _write_version(df: DataFrame, root: str, name: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{table_path(root, name)}/version={version}")
 
 
+def compact(spark: SparkSession, root: str, upto: int) -> None:
+    """Write the rows current at version `upto` as one folder per table and make it the base of all reads.
+
+    Later versions stay as they are. The list of runs is written last and switches readers over; a compaction
+    that broke off before it has no effect and can be run again, as can one that was finished. Rows are ordered
+    by run, so a reader of a few runs skips the other files; a run with many rows is split over several.
+    """
+    settled = last_compaction(spark, root)
+    if settled is not None and upto <= settled:
+        return
+    for name in TABLES:
+        path = table_path(root, name)
+        if not folders(spark, path, "version") and not folders(spark, path, COMPACTED):
+            continue
+        by = ["run_id", TABLES[name].fieldNames()[0]]
+        rows = read_current(spark, root, name, upto).repartitionByRange(*by).sortWithinPartitions(*by)
+        rows.write.mode("overwrite").parquet(f"{path}/{COMPACTED}={upto}")
+    runs = run_versions(spark, root, settled, upto).select("run_id")
+    if settled is not None:
+        before = spark.read.schema("run_id string").parquet(f"{table_path(root, RUN_VERSIONS)}/{COMPACTED}={settled}")
+        runs = runs.unionByName(before).distinct()
+    runs.write.mode("overwrite").parquet(f"{table_path(root, RUN_VERSIONS)}/{COMPACTED}={upto}")
+
+
+def remove_superseded(spark: SparkSession, root: str) -> int:
+    """Delete the folders that no reader of today opens; their number.
+
+    Readers that began before the last compaction may still want them: call it when they are through.
+    """
+    settled = last_compaction(spark, root)
+    if settled is None:
+        return 0
+    gone = []
+    for name in (*TABLES, RUN_VERSIONS):
+        path = table_path(root, name)
+        gone += [f for v, f in folders(spark, path, "version").items() if v <= settled]
+        gone += [f for v, f in folders(spark, path, COMPACTED).items() if v < settled]
+    for folder in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(gone)
+
+
 def event_rows(
     df: DataFrame, event_id: Column, run_id: Column, level: str, step: str, message: Column, data: Column | None = None
 ) -> DataFrame:

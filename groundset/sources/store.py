@@ -36,6 +36,8 @@ TABLES = {
 
 # Tables replaced run by run keep every version of a run; this one names the version that counts.
 RUN_VERSIONS = "run_versions"
+# Folders `compacted=V` hold the rows that were current at version V.
+COMPACTED = "compacted"
 
 
 def table_path(root: str, name: str) -> str:
@@ -46,17 +48,62 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(table_path(root, name))
 
 
-def run_versions(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of each run: `(run_id, version)`."""
-    written = spark.read.schema("run_id string, version bigint").parquet(table_path(root, RUN_VERSIONS))
+def folders(spark: SparkSession, path: str, key: str) -> dict[int, str]:
+    """The folders `key=number` below a path by number. Their count follows the writes, not the rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where) if f.isDirectory()] if files.exists(where) else []
+    return {int(n.removeprefix(f"{key}=")): f"{path}/{n}" for n in names if n.startswith(f"{key}=")}
+
+
+def last_compaction(spark: SparkSession, root: str) -> int | None:
+    """The version up to which the store is compacted. The run list is written last, so it says that all is there."""
+    found = folders(spark, table_path(root, RUN_VERSIONS), COMPACTED)
+    done = [v for v, path in found.items() if _exists(spark, f"{path}/_SUCCESS")]
+    return max(done, default=None)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _versions(spark: SparkSession, root: str, name: str, shape: T.StructType, after: int | None, upto: int | None) -> DataFrame:
+    """Rows written in the versions of a range, with `version`; only their folders are listed and read."""
+    path = table_path(root, name)
+    held = folders(spark, path, "version")
+    wanted = [f for v, f in sorted(held.items()) if (after is None or v > after) and (upto is None or v <= upto)]
+    shape = T.StructType([*shape.fields, T.StructField("version", _L)])
+    if not wanted:
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).option("basePath", path).parquet(*wanted)
+
+
+def run_versions(spark: SparkSession, root: str, after: int | None = None, upto: int | None = None) -> DataFrame:
+    """The newest version of each run that was replaced in the range: `(run_id, version)`."""
+    written = _versions(spark, root, RUN_VERSIONS, _struct(run_id=_S), after, upto)
     return written.groupBy("run_id").agg(F.max("version").alias("version"))
 
 
-def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table replaced run by run: the rows of each run's newest version."""
-    shape = T.StructType([*TABLES[name].fields, T.StructField("version", _L)])
-    rows = spark.read.schema(shape).parquet(table_path(root, name))
-    return rows.join(run_versions(spark, root), ["run_id", "version"]).select(*TABLES[name].fieldNames())
+def read_current(spark: SparkSession, root: str, name: str, upto: int | None = None) -> DataFrame:
+    """A table replaced run by run: the rows of each run's newest version, as of version `upto` if given.
+
+    Runs replaced since the last compaction come from their version, all others from the compacted rows; files
+    from before the compaction are not listed. A store without versions is empty. Versions older than the last
+    compaction can't be asked for.
+    """
+    base = last_compaction(spark, root)
+    if upto is not None and base is not None and upto < base:
+        raise ValueError(f"the store is compacted up to version {base}")
+    newer = run_versions(spark, root, base, upto)
+    rows = _versions(spark, root, name, TABLES[name], base, upto).join(newer, ["run_id", "version"])
+    current = rows.select(*TABLES[name].fieldNames())
+    path = f"{table_path(root, name)}/{COMPACTED}={base}"
+    # A table first written after the compaction has no compacted rows.
+    if base is None or not _exists(spark, path):
+        return current
+    settled = spark.read.schema(TABLES[name]).parquet(path).join(newer, "run_id", "left_anti")
+    return settled.select(*TABLES[name].fieldNames()).unionByName(current)
 
 
 def stream_table(spark: SparkSession, root: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -66,16 +113,36 @@ def stream_table(spark: SparkSession, root: str, name: str, max_files: int | Non
     return reader.parquet(table_path(root, name))
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Search results of any provider shape to `(url, title, snippet)`; rows without URL drop."""
-    shape = _struct(url=_S, href=_S, link=_S, title=_S, content=_S, body=_S, run_id=_S, query_idx=_L, rank=_L)
-    raw = spark.read.schema(shape).json(path)
+def _search_results(spark: SparkSession, path: str) -> DataFrame:
+    """Search results of any provider shape; `_broken` holds a line that is no JSON object, else null."""
+    shape = _struct(
+        url=_S, href=_S, link=_S, title=_S, content=_S, body=_S, run_id=_S, query_idx=_L, rank=_L, _broken=_S
+    )
+    reader = spark.read.schema(shape).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
     url = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("url", "href", "link")])
-    return raw.select(
-        "run_id", "query_idx", "rank", url.alias("url"),
+    return reader.json(path).withColumn("url", url)
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Search results of any provider shape to `(url, title, snippet)`; `rejected_candidates` has the other lines."""
+    return _search_results(spark, path).filter(F.col("url").isNotNull() & F.col("_broken").isNull()).select(
+        "run_id", "query_idx", "rank", "url",
         F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("content", "body", F.lit("")).alias("snippet"),
-    ).filter(F.col("url").isNotNull())
+    )
+
+
+def rejected_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that `read_candidates` leaves out: `(run_id, query_idx, rank, title, reason, line)`.
+
+    `reason` is `broken_line` (no JSON object, or a value of another type; `line` is the text) or `no_url`
+    (`line` is null). Blank lines are no lines.
+    """
+    broken = F.col("_broken").isNotNull()
+    return _search_results(spark, path).filter(broken | F.col("url").isNull()).select(
+        "run_id", "query_idx", "rank", "title",
+        F.when(broken, "broken_line").otherwise("no_url").alias("reason"), F.col("_broken").alias("line"),
+    )
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from groundset.plans.dataset import as_store_records, build_dataset
-from groundset.sinks.store import event_rows, replace_runs
+from groundset.sinks.store import compact, event_rows, remove_superseded, replace_runs
 from groundset.sources.store import table_path
 from groundset.spec import TaskSpec
 
@@ -21,14 +21,21 @@ class LiveDataset:
 
     The pool of verified records is kept by batch, so a batch that runs twice overwrites its own
     rows; record ids depend on run and key only, so the rebuilt runs come out the same.
+
+    With `compact_every` the store is compacted before each so-many-th batch, up to the batch before: that one
+    is committed by then and never repeated. Folders of the last compaction but one then go.
     """
 
-    def __init__(self, root: str, spec: TaskSpec, **options):
-        self.root, self.spec, self.options = root, spec, options
+    def __init__(self, root: str, spec: TaskSpec, compact_every: int | None = None, **options):
+        self.root, self.spec, self.options, self.compact_every = root, spec, options, compact_every
         self.pool_path = table_path(root, "pool")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if self.compact_every and batch_id and batch_id % self.compact_every == 0:
+            # What the compaction before this one left behind; its readers have had that many batches.
+            remove_superseded(spark, self.root)
+            compact(spark, self.root, batch_id - 1)
         bucket = F.pmod(F.xxhash64(F.col("run_id").cast("string")), F.lit(POOL_BUCKETS)).cast("int")
         (
             batch.withColumn("batch_id", F.lit(batch_id))

@@ -11,7 +11,7 @@ from groundset.session import scratch_path
 from groundset.sinks import exports
 from groundset.sinks import store as sink
 from groundset.sources.robots import robots_rules
-from groundset.sources.store import read_candidates, read_current
+from groundset.sources.store import folders, read_candidates, read_current, rejected_candidates
 from groundset.spec import FieldSpec, TaskSpec
 from groundset.streaming.live import LiveDataset
 from groundset.streaming.throttle import _decide, throttle
@@ -144,6 +144,62 @@ def test_replace_touches_only_its_runs(spark):
     assert [r.record_id for r in read_current(spark, root, "records").collect()] == ["b"]
 
 
+def _run_rows(spark, rows):
+    shape = "record_id string, run_id string, data map<string,string>, dedupe_key string, confidence double, flags array<string>, created_at timestamp"
+    return spark.createDataFrame([(record, run, {}, "k", 0.5, [], None) for run, record in rows], shape)
+
+
+def test_a_compacted_store_reads_only_what_counts(spark):
+    root = scratch_path(spark, "store")
+    sink.replace_runs({"records": _run_rows(spark, [("r0", "kept"), ("r1", "old"), ("r2", "gone")])}, root, _run_rows(spark, [("r0", ""), ("r1", ""), ("r2", "")]), 0)
+    for v in range(1, 31):
+        again = _run_rows(spark, [("r1", f"v{v}"), ("r1", f"w{v}")])
+        sink.replace_runs({"records": again}, root, again, v)
+    sink.replace_runs({"records": _run_rows(spark, [])}, root, _run_rows(spark, [("r2", "")]), 31)
+
+    def records(upto=None):
+        return sorted((r.run_id, r.record_id) for r in read_current(spark, root, "records", upto).collect())
+
+    want = [("r0", "kept"), ("r1", "v30"), ("r1", "w30")]
+    assert records() == want and records(0) == [("r0", "kept"), ("r1", "old"), ("r2", "gone")]
+    sink.compact(spark, root, 30)  # the run that version 31 empties is still among its rows
+    sink.compact(spark, root, 30)
+    assert records() == want and records(30) == sorted([*want, ("r2", "gone")])
+    with pytest.raises(ValueError):
+        records(29)
+    with pytest.raises(ValueError):
+        sink.replace_runs({"records": again}, root, again, 30)
+    assert sink.remove_superseded(spark, root) == 62  # 31 versions of two tables
+    assert records() == want and sorted(folders(spark, f"{root}/records", "version")) == [31]
+    sink.replace_runs({"records": _run_rows(spark, [("r0", "new")])}, root, _run_rows(spark, [("r0", "")]), 32)
+    sink.compact(spark, root, 32)
+    assert sink.remove_superseded(spark, root) == 6
+    assert records() == [("r0", "new"), *want[1:]]
+    files = read_current(spark, root, "records").inputFiles()
+    assert files and all("/compacted=32/" in f for f in files)
+
+
+def test_a_broken_compaction_has_no_effect(spark):
+    root = scratch_path(spark, "store")
+    rows = _run_rows(spark, [("r0", "a"), ("r1", "b")])
+    sink.replace_runs({"records": rows}, root, rows, 0)
+    rows.limit(0).write.parquet(f"{root}/records/compacted=0")  # its list of runs was never written
+    assert read_current(spark, root, "records").count() == 2 and sink.remove_superseded(spark, root) == 0
+    sink.compact(spark, root, 0)
+    assert read_current(spark, root, "records").count() == 2
+    assert read_current(spark, scratch_path(spark, "none"), "records").count() == 0
+
+
+def test_broken_lines_are_returned(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"url":"u1"}\n{"url": "u2", "ti\n\n[1]\n{"title":"no url","rank":3}\n{"url":"u3","rank":"x"}\n{"url":""}\n')
+    assert [r.url for r in read_candidates(spark, str(tmp_path)).collect()] == ["u1"]
+    left = sorted((r.reason, r.line or "", r.title or "") for r in rejected_candidates(spark, str(tmp_path)).collect())
+    assert left == [
+        ("broken_line", "[1]", ""), ("broken_line", '{"url": "u2", "ti', ""), ("broken_line", '{"url":"u3","rank":"x"}', ""),
+        ("no_url", "", ""), ("no_url", "", "no url"),
+    ]
+
+
 def test_candidate_shapes(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"url":"u1","title":"t","content":"c"}\n{"href":"u2","body":"b"}\n{"link":"u3"}\n{"title":"no url"}\n')
     got = sorted((r.url, r.snippet) for r in read_candidates(spark, str(tmp_path)).collect())
@@ -190,6 +246,19 @@ def test_live_batches_equal_one_build(spark):
     assert spark.read.parquet(f"{root}/live_events").count() == 4
 
 
+def test_live_with_compaction_ends_the_same(spark):
+    rows = [(f"r{i % 3}", i, "abcdefghijkl"[i] * 6) for i in range(12)]
+    roots = [scratch_path(spark, "live") for _ in range(2)]
+    for root, every in zip(roots, (None, 2), strict=True):
+        live = LiveDataset(root, PART_SPEC, compact_every=every)
+        for batch in range(6):
+            live(_pool(spark, rows[2 * batch : 2 * batch + 2]), batch)
+        live(_pool(spark, rows[10:]), 5)  # the last batch is retried
+    plain, compacted = (sorted(r.record_id for r in read_current(spark, root, "records").collect()) for root in roots)
+    assert plain == compacted and len(plain) == 12
+    assert min(folders(spark, f"{roots[1]}/records", "version")) > 0
+
+
 def test_collect_end_to_end(spark):
     spec = TaskSpec("startup", (FieldSpec("name", "str", "", True), FieldSpec("funding")), ("name",), target_count=5)
     candidates = spark.createDataFrame(
