@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundset.functions.similarity import partial_match_where
+from groundset.functions.similarity import with_partial_matches
 from groundset.functions.text import digits, strip, without_punctuation
 
 # Thresholds, context window and block separators.
@@ -17,16 +17,19 @@ BLOCK_SEPARATORS = ("\n\n", "---", "===", "___", "###", "##")
 MIN_GROUNDED_LENGTH = 3
 
 
-def evidence_found(given: Column, snippet: Column, page: Column, fuzzy: bool = True) -> Column:
-    """Both sides in comparison form: verbatim, else a close window. Only misses reach Python.
+def with_evidence_found(
+    df: DataFrame, name: str, given: Column, snippet: Column, page: Column, fuzzy: bool = True
+) -> DataFrame:
+    """Adds `name`: both sides in comparison form, verbatim, else a close window. Of a miss only the parts
+    of the page that hold enough of the snippet reach Python.
 
     `given` says that neither raw text was empty.
     """
     verbatim = page.contains(snippet)
     if not fuzzy:
-        return F.coalesce(given & verbatim, F.lit(False))
-    close = partial_match_where(given & ~verbatim, snippet, page, EVIDENCE_THRESHOLD)
-    return F.coalesce(given & (verbatim | close), F.lit(False))
+        return df.withColumn(name, F.coalesce(given & verbatim, F.lit(False)))
+    df = with_partial_matches(df, {"_close": (given & ~verbatim, snippet, page)}, EVIDENCE_THRESHOLD)
+    return df.withColumn(name, F.coalesce(given & (verbatim | F.col("_close")), F.lit(False))).drop("_close")
 
 
 def evidence_position(evidence: Column, page: Column) -> Column:
@@ -72,5 +75,7 @@ def text_grounded_natively(
     )
 
 
-def text_close(needed: Column, value: Column, plain_context: Column) -> Column:
-    return partial_match_where(needed, without_punctuation(value), plain_context, FIELD_THRESHOLD)
+def with_text_close(df: DataFrame, checks: dict[str, tuple[Column, Column]], plain_context: Column) -> DataFrame:
+    """Adds a column per `(needed, value)`: is the value close to some stretch of the context?"""
+    sides = {name: (needed, without_punctuation(value), plain_context) for name, (needed, value) in checks.items()}
+    return with_partial_matches(df, sides, FIELD_THRESHOLD)

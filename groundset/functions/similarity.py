@@ -6,13 +6,19 @@ Thresholds are compared in whole numbers, so no rounding decides a borderline pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MIN_BLOCK = 32
+
+WINDOW = ("needle", "part", "starts", "ends")
+Check = tuple[Column, Column, Column]
+
+
 def lcs_length(a: str, b: str) -> int:
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
@@ -55,11 +61,12 @@ def _closest_by_end(needle: str, text: str) -> Iterator[int]:
         yield distance
 
 
-def partial_match(first: str, second: str, threshold: int) -> bool:
+def partial_match(first: str, second: str, threshold: int, starts: bool = True, ends: bool = True) -> bool:
     """Does any window of the longer string, as long as the shorter one, reach the threshold?
 
-    Windows clipped at either end count. One pass over the text finds the places close enough to
-    be worth scoring.
+    Windows clipped at either end count, unless the text is only a part of one that goes on before it
+    (`starts` false) or after it (`ends` false). One pass over the text finds the places close enough
+    to be worth scoring.
     """
     needle, text = (first, second) if len(first) <= len(second) else (second, first)
     m, n = len(needle), len(text)
@@ -76,20 +83,21 @@ def partial_match(first: str, second: str, threshold: int) -> bool:
     most = 2 * m * (100 - threshold) // 100
     distance = m
     for end, distance in enumerate(_closest_by_end(needle, text), 1):
-        if distance <= most and reaches(max(end - m, 0), end, distance):
+        if distance <= most and (starts or end >= m) and reaches(max(end - m, 0), end, distance):
             return True
-    return distance <= most and any(reaches(start, n, distance) for start in range(n - m + 1, n))
+    return ends and distance <= most and any(reaches(start, n, distance) for start in range(n - m + 1, n))
 
 
-@F.pandas_udf(T.BooleanType())
-def _partial_match_udf(first: pd.Series, second: pd.Series, threshold: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            None if a is None or b is None else partial_match(a, b, int(t))
-            for a, b, t in zip(first, second, threshold, strict=True)
-        ],
-        dtype=object,
-    )
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _matched_udf(windows: pd.Series, threshold: pd.Series) -> pd.Series:
+    def matched(row: list, limit: int) -> list[int]:
+        found: set[int] = set()
+        for w in row:
+            if w["check"] not in found and partial_match(w["needle"], w["part"], limit, w["starts"], w["ends"]):
+                found.add(w["check"])
+        return sorted(found)
+
+    return pd.Series([matched(row, int(t)) for row, t in zip(windows, threshold, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.LongType())
@@ -101,13 +109,106 @@ def _lcs_udf(first: pd.Series, second: pd.Series) -> pd.Series:
 
 
 # Marked non-deterministic so that the optimiser neither repeats them nor moves filters below them.
-_partial_match_udf = _partial_match_udf.asNondeterministic()
+_matched_udf = _matched_udf.asNondeterministic()
 _lcs_udf = _lcs_udf.asNondeterministic()
 
 
-def partial_match_where(needed: Column, first: Column, second: Column, threshold: int) -> Column:
-    """`partial_match` on rows where `needed` holds; elsewhere null, and no text goes to Python."""
-    return _partial_match_udf(F.when(needed, first), F.when(needed, second), F.lit(threshold))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def close_windows(first: Column, second: Column, threshold: int) -> Column:
+    """The parts of the longer string that may hold a window reaching the threshold, found in the JVM.
+
+    A window that reaches it differs from the shorter string (the needle, of m characters) by at most
+    k = 2m(100 - threshold)/100 inserted or deleted characters. Each of them breaks one of p equal pieces
+    of the needle at most, so p - k pieces stand in the window unbroken. The text is cut into blocks at
+    least as long as the needle; any window lies in two neighbouring ones, which are given if they hold
+    that many pieces. No window that counts is lost; what is given still has to be scored.
+
+    Rows are `(needle, part, starts, ends)`: `starts` and `ends` say that the part reaches the text's own
+    ends. A verbatim needle, or an empty one, gives one row; a null on either side gives null.
+    """
+    shorter = F.length(first) <= F.length(second)
+    m = F.least(F.length(first), F.length(second))
+    k = F.floor(m * 2 * (100 - threshold) / 100).cast("int")
+    size = F.greatest(F.floor(m / (k + 1)).cast("int"), F.lit(1))
+    sides = F.struct(
+        F.when(shorter, first).otherwise(second).alias("needle"),
+        F.when(shorter, second).otherwise(first).alias("text"),
+        m.alias("m"),
+        size.alias("size"),
+        (F.floor(m / size).cast("int") - k).alias("need"),
+    )
+
+    def whole(s: Column, text: Column) -> Column:
+        return F.array(_window(s.needle, text, F.lit(True), F.lit(True)))
+
+    def seeded(s: Column) -> Column:
+        pieces = F.transform(
+            F.sequence(F.lit(1), s.m - (s.size - 1), s.size), lambda i: F.substring(s.needle, i, s.size)
+        )
+        none = F.filter(whole(s, s.needle), lambda _: F.lit(False))
+        return _let(
+            F.filter(pieces, lambda x: s.text.contains(x)),
+            lambda held: F.when(F.size(held) < s.need, none).otherwise(
+                _let(_blocks(s), lambda blocks: _pairs(s, held, blocks))
+            ),
+        )
+
+    return F.when(
+        first.isNotNull() & second.isNotNull(),
+        _let(
+            sides,
+            lambda s: F.when(s.m == 0, whole(s, s.text))
+            .when(s.text.contains(s.needle), whole(s, s.needle))
+            .otherwise(seeded(s)),
+        ),
+    )
+
+
+def _window(needle: Column, part: Column, starts: Column, ends: Column) -> Column:
+    return F.struct(*[c.alias(name) for c, name in zip((needle, part, starts, ends), WINDOW, strict=True)])
+
+
+def _blocks(s: Column) -> Column:
+    """The text in pieces of the needle's length, or of `MIN_BLOCK` characters for a shorter needle."""
+    size = F.greatest(s.m, F.lit(MIN_BLOCK)).cast("string")
+    return F.regexp_extract_all(s.text, F.concat(F.lit("(?s).{1,"), size, F.lit("}")), F.lit(0))
+
+
+def _pairs(s: Column, held: Column, blocks: Column) -> Column:
+    """Neighbouring blocks, joined, that hold enough pieces of the needle."""
+    last = F.greatest(F.size(blocks) - 1, F.lit(1))
+    pairs = F.transform(
+        F.sequence(F.lit(1), last),
+        lambda i: _window(
+            s.needle, F.concat(F.get(blocks, i - 1), F.coalesce(F.get(blocks, i), F.lit(""))), i == 1, i == last
+        ),
+    )
+    return F.filter(pairs, lambda w: F.size(F.filter(held, lambda x: w.part.contains(x))) >= s.need)
+
+
+def with_partial_matches(df: DataFrame, checks: dict[str, Check], threshold: int) -> DataFrame:
+    """Adds a column per check `(needed, first, second)`: `partial_match` where `needed` holds, else null.
+
+    Only the parts of the longer texts that hold enough of the shorter ones go to Python, those of all
+    checks in one pass. They are a settled column first: Spark can't match a Python function whose
+    argument compares lambda variables, for their canonical order isn't stable.
+    """
+    def numbered(i: int) -> Callable[[Column], Column]:
+        return lambda w: F.struct(F.lit(i).alias("check"), *[w[name].alias(name) for name in WINDOW])
+
+    parts = [
+        F.transform(F.when(needed, close_windows(a, b, threshold)), numbered(i))
+        for i, (needed, a, b) in enumerate(checks.values())
+    ]
+    settled = df.select("*", F.explode(F.array(F.flatten(F.array_compact(F.array(*parts))))).alias("_parts"))
+    told = settled.withColumn("_told", _matched_udf("_parts", F.lit(threshold))).drop("_parts")
+    asked = [needed & a.isNotNull() & b.isNotNull() for needed, a, b in checks.values()]
+    found = {n: F.when(asked[i], F.array_contains("_told", F.lit(i))) for i, n in enumerate(checks)}
+    return told.withColumns(found).drop("_told")
 
 
 def max_distance(first_length: Column, second_length: Column, threshold: int) -> Column:

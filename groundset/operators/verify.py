@@ -55,7 +55,7 @@ def verify_records(
     joined = join_spread(records, texts, keys, list(spread_by), "left", rows_per_task)
     given = (F.col("evidence") != "") & (F.col("_text") != "")
     df = joined.withColumn("_snippet", normalize_for_match(F.col("evidence")))
-    df = df.withColumn("verified", ev.evidence_found(given, F.col("_snippet"), F.col("_page"), fuzzy))
+    df = ev.with_evidence_found(df, "verified", given, F.col("_snippet"), F.col("_page"), fuzzy)
     if not ground:
         return df.drop("_text", "_page", "_snippet").withColumn("n_nulled", F.lit(0))
     position = F.when(F.col("verified"), ev.evidence_position(F.col("evidence"), F.col("_text")))
@@ -66,6 +66,7 @@ def verify_records(
     df = df.withColumn("_plain", without_punctuation(F.col("_ctx"))).withColumn("_digits", digits(F.col("_ctx")))
     data_types = {f.name: f.dataType for f in records.schema.fields}
     bad: dict[str, Column] = {}
+    unsettled: dict[str, tuple[Column, Column]] = {}
     for name in fields:
         value, data_type = F.col(name), data_types[name]
         excused = _skips(name, value, data_type, types)
@@ -80,8 +81,11 @@ def verify_records(
         df = df.withColumn(norm, normalize_for_match(F.when(check, strip(value))))
         native = ev.text_grounded_natively(value, F.col(norm), F.col("_ctx"), F.col("_plain"))
         df = df.withColumn(f"_open_{name}", F.coalesce(check & ~native, F.lit(False)))
-        close = ev.text_close(F.col(f"_open_{name}"), F.col(norm), F.col("_plain")) if fuzzy else F.lit(False)
-        bad[name] = F.col(f"_open_{name}") & ~F.coalesce(close, F.lit(False))
+        unsettled[f"_close_{name}"] = (F.col(f"_open_{name}"), F.col(norm))
+        close = F.coalesce(F.col(f"_close_{name}"), F.lit(False)) if fuzzy else F.lit(False)
+        bad[name] = F.col(f"_open_{name}") & ~close
+    if fuzzy and unsettled:
+        df = ev.with_text_close(df, unsettled, F.col("_plain"))
     for name, expr in bad.items():
         df = df.withColumn(f"_bad_{name}", expr)
     no_flags = F.array().cast("array<string>")

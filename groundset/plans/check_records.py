@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundset.functions import text, urls
+from groundset.functions.similarity import with_partial_matches
 from groundset.operators import clean, fuzzy, policy, report, verify
 from groundset.operators.pages import drop_repeated_evidence, extract_records
 from groundset.plans import reports
@@ -416,6 +417,35 @@ def evidence_fuzzy(spark, sf):
     return verify.verify_records(records, own_texts, [], ground=False).select("page_id", "verified")
 
 
+# Names that lost a letter here and there, against the whole line they come from. The SQL scores every
+# window: bits of the needle's letters, folded over the window, count the longest common subsequence.
+_EDITED_NAMES = """with p as (select p_partkey, p_name || ' made by ' || p_brand as own, p_size from part),
+    e as (select p_partkey, own || ', ' || p_size::varchar || ' in a box, ' || p_partkey::varchar as page,
+      array_to_string([case when (i * 17 + p_partkey) % (3 + p_size % 13) <> 0 then own[i + 1] when p_partkey % 2 = 0 then '' else 'x' end
+        for i in range(length(own))], '') as needle from p),
+    b as (select p_partkey, length(needle) as m, length(page) as n, (1::bigint << length(needle)) - 1 as full_bits,
+      [list_sum([case when needle[j + 1] = page[i + 1] then 1::bigint << j else 0 end for j in range(length(needle))])::bigint for i in range(length(page))] as bits from e),
+    w as (select p_partkey, m, full_bits, bits[greatest(s, 0) + 1 : least(s + m, n)] as part from b, unnest(range(1 - m, n)) as u(s)),
+    l as (select p_partkey, m, len(part) as size,
+      m - bit_count(list_reduce(list_prepend(full_bits, part), lambda r, x: ((r + (r & x)) | (r - (r & x))) & full_bits)) as lcs from w)
+    select p_partkey, bool_or(200 * lcs >= 90 * (m + size)) as close_90, bool_or(200 * lcs >= 85 * (m + size)) as close_85,
+      bool_or(200 * lcs >= 70 * (m + size)) as close_70 from l group by 1"""
+
+
+@query("close_windows", _EDITED_NAMES)
+def close_windows(spark, sf):
+    own = F.concat("p_name", F.lit(" made by "), "p_brand")
+    lost = lambda i: (i * 17 + F.col("p_partkey")) % (3 + F.col("p_size") % 13) == 0
+    stand_in = F.when(F.col("p_partkey") % 2 == 0, "").otherwise("x")
+    letters = F.transform(F.split(own, ""), lambda c, i: F.when(lost(i), stand_in).otherwise(c))
+    page = F.concat(own, F.lit(", "), F.col("p_size"), F.lit(" in a box, "), F.col("p_partkey"))
+    rows = base(spark, sf, "part").select("p_partkey", F.array_join(letters, "").alias("needle"), page.alias("page"))
+    check = {"close": (F.lit(True), F.col("needle"), F.col("page"))}
+    for threshold in (90, 85, 70):
+        rows = with_partial_matches(rows, check, threshold).withColumnRenamed("close", f"close_{threshold}")
+    return rows.drop("needle", "page")
+
+
 @query(
     "snippets_in_documents",
     f"""with b as (select item_id, {q.norm('text')} as s from benchmark), d as (select doc_id, {q.norm('text')} as t from documents)

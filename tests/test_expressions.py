@@ -4,7 +4,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from groundset.functions import text, urls, values
-from groundset.functions.evidence import evidence_found, evidence_position, grounding_context
+from groundset.functions.evidence import evidence_position, grounding_context, with_evidence_found
 
 
 def test_stable_ranges_are_stable():
@@ -142,8 +142,9 @@ def test_evidence_and_context(spark):
     rows = [("Acme raised $5M", "News: Acme  raised $5M today"), ("missing words", "nothing of the sort"), ("", "x")]
     df = spark.createDataFrame(rows, "e string, p string")
     given = (F.col("e") != "") & (F.col("p") != "")
-    found = evidence_found(given, text.normalize_for_match(F.col("e")), text.normalize_for_match(F.col("p")))
-    assert [r[0] for r in df.select(found).collect()] == [True, False, False]
+    sides = text.normalize_for_match(F.col("e")), text.normalize_for_match(F.col("p"))
+    found = with_evidence_found(df.coalesce(1), "found", given, *sides)
+    assert [r["found"] for r in found.collect()] == [True, False, False]
     page = "Header Jane\n---\nbefore Acme Corp after\n\nnext block"
     ctx = spark.createDataFrame([("Acme Corp", page)], "e string, p string").select(
         grounding_context(F.col("e"), F.col("p"), evidence_position(F.col("e"), F.col("p")))
