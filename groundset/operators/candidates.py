@@ -64,8 +64,13 @@ def until_target(pages: DataFrame, first_pages: DataFrame, target: int) -> DataF
     With exact keys the count is an upper bound of the fuzzy one; with leaders only it is the
     merged count itself, because leadership depends on earlier records alone.
     """
+    return until_stop(pages, target_pages(first_pages, target))
+
+
+def target_pages(first_pages: DataFrame, target: int) -> DataFrame:
+    """`(run_id, stop)` of the runs that reach `target` entities: the page on which they do."""
     order = Window.partitionBy("run_id").orderBy("page_order", "entity")
-    reached = (
+    return (
         first_pages.withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= target)
         .groupBy("run_id")
@@ -73,7 +78,11 @@ def until_target(pages: DataFrame, first_pages: DataFrame, target: int) -> DataF
         .filter(F.col("found") >= target)
         .select("run_id", "stop")
     )
-    kept = pages.join(reached, "run_id", "left")
+
+
+def until_stop(pages: DataFrame, stops: DataFrame) -> DataFrame:
+    """Rows up to the page on which their run stops; runs without a stop keep all."""
+    kept = pages.join(stops, "run_id", "left")
     return kept.filter(F.col("stop").isNull() | (F.col("page_order") <= F.col("stop"))).drop("stop")
 
 

@@ -532,7 +532,7 @@ def extracted(spark, sf):
     return rows.select("run_id", "page_id", "title", "words", "evidence")
 
 
-def _collected(spark, sf):
+def _collected(spark, sf, **options):
     candidates = derived(spark, sf, "candidates").select(
         "run_id", "query_idx", "rank", "url", F.lit("t").alias("title"),
         F.rpad(F.col("url"), 60, "x").alias("snippet"),
@@ -542,7 +542,7 @@ def _collected(spark, sf):
         "url", "html", F.when(page % 9 == 0, 503).otherwise(200).alias("http_status"),
         F.when(page % 10 == 3, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"),
     )
-    return collect(candidates, fetched, ARTICLE_SPEC, first_line_extractor, blocked=BLOCKED)
+    return collect(candidates, fetched, ARTICLE_SPEC, first_line_extractor, blocked=BLOCKED, **options)
 
 
 @query("collect_records")
@@ -555,6 +555,43 @@ def collect_stats(spark, sf):
     return _collected(spark, sf).stats
 
 
+_VISITED = f"""{derived_sql('candidates')},
+    seen as (select *, row_number() over (partition by run_id, url order by query_idx, rank) as n from candidates),
+    o as (select run_id, url, {q.policy_reason('url', BLOCKED)} as reason,
+      row_number() over (partition by run_id order by query_idx, rank, url) as page_order from seen where n = 1 and url <> ''),
+    b as (select url, case when page_id % 9 <> 0 and page_id % 10 <> 3 then {q.usable_text('html')} end as body from pages),
+    v as (select run_id, url, page_order, case when reason <> 'OK' then 'blocked_by_policy' when body is null then 'via_search_provider' else 'fetched' end as status,
+      case when reason = 'OK' then coalesce(body, rpad(url, 60, 'x')) end as text from o left join b using (url)),
+    c as (select run_id, url, page_order, i, substring(text, cast(i as int) * 7500 + 1, 8000) as chunk, length(text) <= 8000 as whole
+      from v, unnest(range(cast(length(text) // 7500 + 1 as int))) as u(i) where text is not null and (i = 0 or (length(text) > 8000 and i * 7500 < length(text)))),
+    r as (select *, string_split(chunk, chr(10))[1] as line from c where string_split(chunk, chr(10))[1] <> ''),
+    k as (select *, row_number() over (partition by run_id, url, lower({q.strip('line')}) order by i) as rn from r),
+    x as (select run_id, url, page_order, substring(line, 1, 60) as title from k where whole or rn = 1 or {q.strip('line')} = '')"""
+
+
+@query(
+    "collect_until_target",
+    f"""with {_VISITED}, f as (select run_id, {q.key_text('title')} as entity, min(page_order) as page_order from x where {q.collapse('title')} <> '' group by 1, 2),
+    n as (select *, row_number() over (partition by run_id order by page_order, entity) as n from f), s as (select run_id, page_order as stop from n where n = 12),
+    g as (select run_id, url, count(*) as found from x group by 1, 2)
+    select v.run_id::varchar as run_id, url, status, coalesce(found, 0) as records_found from v left join g using (run_id, url) left join s using (run_id)
+    where stop is null or page_order <= stop""",
+)
+def collect_until_target(spark, sf):
+    """Sources of runs that each end once they have twelve records; exact keys only."""
+    out = _collected(spark, sf, target=12, merge_similar=False)
+    return out.sources.select("run_id", "url", "status", "records_found")
+
+
+@query(
+    "collect_sources",
+    f"""with {_VISITED}, g as (select run_id, url, count(*) as found from x group by 1, 2)
+    select v.run_id::varchar as run_id, url, status, coalesce(found, 0) as records_found from v left join g using (run_id, url)""",
+)
+def collect_sources(spark, sf):
+    return _collected(spark, sf, merge_similar=False).sources.select("run_id", "url", "status", "records_found")
+
+
 @query(
     "run_stats",
     f"""with {_GROUNDED}, s as (select run_id, count(*) as raw_count, count(*) filter (verified) as verified_count, count(*) filter (not verified) as hallucinated_count from checked group by 1),

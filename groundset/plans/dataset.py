@@ -57,6 +57,69 @@ def as_store_records(records: DataFrame, spec: TaskSpec) -> DataFrame:
     )
 
 
+def first_pages(
+    verified: DataFrame, spec: TaskSpec, merge_similar: bool = True, base_url: str | None = None, **options
+) -> DataFrame:
+    """`(run_id, entity, page_order)`: the page on which each entity of the final dataset first appears.
+
+    Leadership depends on earlier records alone, so what later pages bring changes no row.
+    """
+    pool = verified.filter("verified").drop("verified", "n_nulled", "page_id")
+    valid = clean.validate_records(clean.normalize_records(pool, spec, base_url), spec)
+    valid = cut_lineage(valid.filter(F.col("reject_reason").isNull()).drop("reject_reason"))
+    seen = clean.with_keys(valid, spec).groupBy("run_id", "dedupe_key").agg(F.min("page_order").alias("page_order"))
+    if merge_similar:
+        exact = cut_lineage(clean.merge_exact(valid, spec).records)
+        absorbed = leaders_by_key(exact, **options).select("run_id", "dedupe_key")
+        seen = seen.join(absorbed, ["run_id", "dedupe_key"], "left_anti")
+    return seen.withColumnRenamed("dedupe_key", "entity")
+
+
+class Extracted(NamedTuple):
+    rows: DataFrame
+    verified: DataFrame
+    stops: DataFrame
+
+
+def extract_until(
+    texts: DataFrame,
+    spec: TaskSpec,
+    extractor: pages.Extractor,
+    target: int,
+    first_wave: int = 8,
+    max_chunks: int | None = None,
+    corroborate: bool = True,
+    **options,
+) -> Extracted:
+    """Extract and verify pages in their order until each run has `target` entities.
+
+    Pages go in waves of `first_wave`, then twice as many each time, so that few jobs are run and the
+    extractor sees at most about twice the pages it must. A run that has reached its target is out of later
+    waves, and what its last wave read beyond the stop is dropped: the rows are those of a page-by-page run.
+    `stops(run_id, stop)` names the page on which a run reached its target. An empty table gives empty ones.
+    """
+    runs = texts.select("run_id").distinct().count()
+    last = texts.agg(F.max("page_order")).first()[0] or 0
+    stops = texts.select("run_id", F.col("page_order").alias("stop")).limit(0)
+    rows = verified = None
+    taken, size = 0, first_wave
+    while rows is None or (taken < last and stops.count() < runs):
+        wave = texts.filter((F.col("page_order") > taken) & (F.col("page_order") <= taken + size))
+        wave = wave.join(stops.select("run_id"), "run_id", "left_anti")
+        found = pages.extract_pages(wave, spec, extractor, max_chunks=max_chunks)
+        checked = verify.verify_for_spec(cut_lineage(pages.records_of(found, spec)), wave, spec)
+        checked = cut_lineage(checked.withColumn("source_id", F.col("page_id")))
+        rows = found if rows is None else rows.unionByName(found)
+        verified = checked if verified is None else verified.unionByName(checked)
+        # Each wave numbers its own records; pages of later waves come later.
+        numbered = cut_lineage(with_prefix(verified.withColumnRenamed("arrival", "_own"), ["run_id"], ["page_order", "_own"], "arrival"))
+        open_runs = numbered.join(stops, "run_id", "left_anti")
+        reached = cand.target_pages(first_pages(open_runs, spec, **options), target)
+        stops = cut_lineage(stops.unionByName(reached))
+        taken, size = taken + size, size * 2
+    return Extracted(cand.until_stop(rows, stops), cut_lineage(cand.until_stop(numbered, stops).drop("_own")), stops)
+
+
 class Collected(NamedTuple):
     dataset: Dataset
     sources: DataFrame
@@ -80,6 +143,8 @@ def collect(
     max_chunks: int | None = None,
     limit_per_query: int | None = None,
     redirects: DataFrame | None = None,
+    target: int | None = None,
+    first_wave: int = 8,
     **options,
 ) -> Collected:
     """Candidate URLs and fetched pages to a dataset with its sources and statistics.
@@ -88,6 +153,8 @@ def collect(
     `fetched(url, html, http_status, content_type)`. A candidate without a fetched page fails. All
     candidates, whole pages and all chunks are used unless a limit is given; `redirects(url, hop, target)`
     are checked like the URLs themselves. Each page's text is extracted once, however many runs want it.
+    With a `target` a run ends on the page that brings its last wanted record (`extract_until`); later
+    candidates are then no sources.
     """
     spec = spec.with_capped_required()
     if limit_per_query is not None:
@@ -123,10 +190,14 @@ def collect(
         visits = cand.within_budget(visits, ["page_order"], max_pages)
     visits = cut_lineage(visits)
     texts = visits.filter("processed").withColumn("page_id", F.col("source_id"))
-    extracted = pages.extract_pages(texts, spec, extractor, max_chunks=max_chunks)
-    raw = cut_lineage(pages.records_of(extracted, spec))
-    checked = verify.verify_for_spec(raw, texts, spec).withColumn("source_id", F.col("page_id"))
-    verified = cut_lineage(checked)
+    if target is None:
+        extracted = pages.extract_pages(texts, spec, extractor, max_chunks=max_chunks)
+        raw = cut_lineage(pages.records_of(extracted, spec))
+        checked = verify.verify_for_spec(raw, texts, spec).withColumn("source_id", F.col("page_id"))
+        verified = cut_lineage(checked)
+    else:
+        extracted, verified, stops = extract_until(texts, spec, extractor, target, first_wave, max_chunks, **options)
+        visits = cand.until_stop(visits, stops)
     dataset = build_dataset(verified.filter("verified").drop("verified", "n_nulled", "page_id"), spec, **options)
     audited = visits.select(
         "source_id", F.col("run_id").cast("string").alias("run_id"), "url", "domain", "status", "http_status",

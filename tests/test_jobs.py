@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from groundset.operators import candidates as cand
 from groundset.operators import policy, report, skew, views
 from groundset.plans.check_records import PART_SPEC
-from groundset.plans.dataset import as_store_records, build_dataset, collect
+from groundset.plans.dataset import as_store_records, build_dataset, collect, extract_until
 from groundset.session import scratch_path
 from groundset.sinks import exports
 from groundset.sinks import store as sink
@@ -317,3 +317,41 @@ def test_redirects_and_query_limit_in_collect(spark):
     hops = spark.createDataFrame([(urls[1], 1, "https://www.facebook.com/x")], "url string, hop int, target string")
     out = collect(candidates, fetched, spec, lambda c, u: [], limit_per_query=2, redirects=hops)
     assert {r.url: r.status for r in out.sources.collect()} == {urls[0]: "via_search_provider", urls[1]: "blocked_by_policy"}
+
+
+def test_collect_stops_at_the_target(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def names(i):
+        return [f"Quarry {'abcdefgh'[i // 2 % 8] * 3}", f"Orchard {'abcdefgh'[i % 8] * 3}"][: 1 + i % 2]
+
+    def extractor(chunk, url):
+        with open(log, "a") as f:
+            f.write("x")
+        return [{"name": n, "evidence": n} for n in names(int(url.rsplit("/", 1)[1]))]
+
+    spec = TaskSpec("startup", (FieldSpec("name", "str", "", True),), ("name",))
+    urls = [f"https://ok.example.com/{i}" for i in range(30)]
+    rows = [(run, 0, i, u, "t", "") for run, n in (("long", 30), ("short", 3)) for i, u in enumerate(urls[:n])]
+    candidates = spark.createDataFrame(rows, "run_id string, query_idx bigint, rank bigint, url string, title string, snippet string")
+    bodies = [f"<article><p>{' and '.join(names(i))} stand on a page that goes on and on with its words</p></article>" for i in range(30)]
+    fetched = spark.createDataFrame([(u, b, 200, "text/html") for u, b in zip(urls, bodies, strict=True)], "url string, html string, http_status int, content_type string")
+    # Page by page: pages bring 1, 2, 1, 2 names, of which the fifth different one stands on page 4.
+    seen, stop = set(), 0
+    while len(seen) < 5:
+        seen.update(names(stop))
+        stop += 1
+    out = collect(candidates, fetched, spec, extractor, target=5, first_wave=2, merge_similar=False)
+    pages = {run: sum(r.run_id == run for r in out.sources.collect()) for run in ("long", "short")}
+    assert pages == {"long": stop, "short": 3} and stop < 10
+    # Waves of 2, 4, 8 pages: none begins after the stop.
+    assert len(open(log).read()) <= 2 * stop + 2 + 3
+    expected = sorted((run, i + 1, n) for run, end in (("long", stop), ("short", 3)) for i in range(end) for n in names(i))
+    assert sorted((r.run_id, r.page_order, r.name) for r in out.verified.collect()) == expected
+
+
+def test_extract_until_on_nothing(spark):
+    spec = TaskSpec("startup", (FieldSpec("name", "str", "", True),), ("name",))
+    empty = spark.createDataFrame([], "run_id string, page_id string, page_order bigint, url string, text string")
+    out = extract_until(empty, spec, lambda chunk, url: [], 3)
+    assert (out.rows.count(), out.verified.count(), out.stops.count()) == (0, 0, 0)
