@@ -128,13 +128,19 @@ def measure(
     return written(counted.drop("_own", "_all"), "lines")
 
 
+def _host_key() -> Column:
+    """The host as a join key that is never null; a null host differs from every named one, '' included."""
+    return F.coalesce(F.concat(F.lit("="), F.col("_host")), F.lit(""))
+
+
 def template_lines(measured: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """Lines above the limits: _host, _line, n_docs (different texts of the host that hold the line).
+    """Lines above the limits: _host (as `_host_key` spells it), _line, n_docs (different texts of the host
+    that hold the line).
 
     Copies of a text count once, so that a group of copies does not turn its own lines into templates. Counts
     are aggregations over hashes, combined before each shuffle; no line or host is gathered.
     """
-    host = F.coalesce("_host", F.lit("")).alias("_host")
+    host = _host_key().alias("_host")
     counts = (
         measured.select(host, "_digest", F.explode("_lines.h").alias("_line"))
         .distinct()
@@ -155,7 +161,7 @@ def judge(measured: DataFrame, lines: DataFrame, limits: LineLimits = LineLimits
     Empty and null texts have no words and fail the base rule. Rows that repeat one another are judged each.
     """
     hits = (
-        measured.select("_row", F.coalesce("_host", F.lit("")).alias("_host"), F.explode("_lines").alias("_l"))
+        measured.select("_row", _host_key().alias("_host"), F.explode("_lines").alias("_l"))
         .select("_row", "_host", F.col("_l.h").alias("_line"), F.col("_l.n").alias("_n"))
         .join(lines.select("_host", "_line"), ["_host", "_line"])
     )
@@ -177,10 +183,10 @@ def quality_verdicts(
     host_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row of `docs`: the id, the measures, base_failed, n_lost_words, kept. Other columns play no part."""
+    """Per row of `docs`: the id, the measures, base_failed, kept, n_lost_words. Other columns play no part."""
     measured = measure(docs, id_col, host_col, text_col)
     verdicts = judge(measured, template_lines(measured, limits), limits)
-    return verdicts.select(F.col("_id").alias(id_col), *MEASURES, "base_failed", "n_lost_words", "kept")
+    return verdicts.select(F.col("_id").alias(id_col), *MEASURES, "base_failed", "kept", "n_lost_words")
 
 
 def clean_documents(

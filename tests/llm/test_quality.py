@@ -58,3 +58,14 @@ def test_long_text(docs):
     text = "a b c " * 100_000
     row = quality.quality_verdicts(docs([(1, text)])).first()
     assert row.n_repeat_words == row.n_words == 300_000 and row.base_failed
+
+
+def test_a_null_host_is_no_empty_host(docs):
+    line = " ".join(f"m{k}" for k in range(70))
+    texts = [(i, f"{_own(i, 40)}\n{line}", None if i < 12 else "") for i in range(24)]
+    assert quality.quality_verdicts(docs(texts)).where("kept and n_lost_words = 0").count() == 24
+    more = texts + [(100 + i, f"{_own(100 + i, 40)}\n{line}", None) for i in range(8)]
+    rows = quality.quality_verdicts(docs(more)).collect()
+    assert {r.doc_id for r in rows if r.n_lost_words} == {*range(12), *range(100, 108)}
+    cleaned = {r.doc_id: r.text for r in quality.clean_documents(docs(texts)).collect()}
+    assert cleaned == {i: t for i, t, _ in texts}
