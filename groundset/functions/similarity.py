@@ -36,6 +36,39 @@ def _required_lcs(threshold: int, total_length: int) -> int:
     return -(-(threshold * total_length) // 200)
 
 
+#: Characters between two looks at what a pair can still reach.
+LOOK_EVERY = 32
+
+
+def reaches_lcs(first: str, others: list[str], threshold: int) -> list[bool]:
+    """Whether the score of `first` with each of the others reaches the threshold.
+
+    Two strings that reach it are aligned with at most `most` characters of either side left out before any place, so
+    matches further apart than that don't count. A pair ends as soon as what is left can't make up for what is missing.
+    """
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(first):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    n, full = len(first), (1 << len(first)) - 1
+
+    def reaches(other: str) -> bool:
+        needed = _required_lcs(threshold, n + len(other))
+        spare = len(other) - needed
+        wide = max(spare, n - needed)
+        if spare < 0 or n < needed:
+            return False
+        band, rows = (1 << (2 * wide + 1)) - 1, full
+        for j, ch in enumerate(other):
+            near = band << (j - wide) if j > wide else band >> (wide - j)
+            hit = rows & masks.get(ch, 0) & near
+            rows = ((rows + hit) | (rows - hit)) & full
+            if j % LOOK_EVERY == 0 and j + 1 - n + rows.bit_count() > spare:
+                return False
+        return n - rows.bit_count() >= needed
+
+    return [reaches(other) for other in others]
+
+
 def _closest_by_end(needle: str, text: str) -> Iterator[int]:
     """For each end position in the text, the least edit distance of the needle to any substring
     ending there: one bit-vector pass (Myers 1999). It never exceeds the indel distance."""

@@ -5,10 +5,9 @@ insert/delete distance: the shorter string of a similar pair is cut into one seg
 the edits allowed, so one segment survives verbatim near its place in the longer string. Every
 signature is an equi-join key; no pair without a common segment is ever looked at.
 
-The segment places of a string grow with the cube of its length. Pairs whose shorter string exceeds
-`LONG_KEY` characters meet on 4-grams instead: an edit breaks few of them, so of each string's grams,
-rarest first, only a prefix has to be filed (Chaudhuri, Ganti, Kaushik: SSJoin, 2006), less than
-one and a half rows per character.
+The segment places of a string grow with the cube of its length, and no signature of a long one tells texts of
+one language apart. Pairs whose shorter string exceeds `LONG_KEY` characters are compared block by block instead:
+each pair of a run whose lengths allow it once, by bit sketches and counts of grams, so that few reach the LCS.
 
 Leaders are the lexicographically first maximal independent set of the similarity graph, found in
 parallel rounds (Blelloch, Fineman, Shun 2012) instead of one sequential pass.
@@ -16,12 +15,17 @@ parallel rounds (Blelloch, Fineman, Shun 2012) instead of one sequential pass.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from groundset.functions.similarity import is_similar, max_distance, may_be_similar
+from groundset.functions.similarity import is_similar, max_distance, may_be_similar, reaches_lcs
 from groundset.session import cut_lineage
 
 # Fixed value: score at which two keys are the same record.
@@ -29,11 +33,14 @@ MERGE_THRESHOLD = 90
 
 # Comparisons one task may take on for one signature before the signature is salted.
 HOT_PAIRS = 4_000_000
-# Length of the shorter string beyond which pairs meet on grams, and the size of a gram. At this length a
-# similar pair shares at least one in four grams.
-LONG_KEY, GRAM = 48, 2
-#: Longs of the bit sketch that long keys are compared by before their characters are.
-WIDE = 32
+# Length of the shorter string beyond which pairs are compared block by block, and the most rows and characters of a block.
+LONG_KEY, BLOCK, BLOCK_CHARS = 48, 4096, 250_000
+# Size of a gram that is a signature.
+GRAM = 2
+#: Sizes of the grams that long keys are counted by, each with the counters its grams are dealt to.
+GRAM_COUNTERS = ((1, 64), (2, 512), (3, 2048))
+#: Counters compared at a time, so that a task's arrays stay small.
+AT_ONCE = 4_000_000
 PEEL_ROUNDS = 8
 
 
@@ -87,7 +94,7 @@ def _index_rows(nodes: DataFrame, threshold: int) -> DataFrame:
         _segment_length(F.col("i"), F.col("len"), F.col("k")),
     )
     return rows.select(
-        "run_id", "idx", "len", "sketch", "wide", _signature(F.col("len"), F.col("i"), piece).alias("sig"),
+        "run_id", "idx", "len", "sketch", _signature(F.col("len"), F.col("i"), piece).alias("sig"),
         F.lit(True).alias("shorter"),
     )
 
@@ -126,19 +133,21 @@ def _probe_rows(nodes: DataFrame, threshold: int) -> DataFrame:
     signatures = F.array_distinct(F.transform(shifts, signature))
     # The outer form: plain explode would infer a size filter and hash everything twice.
     return rows.select(
-        "run_id", "idx", "len", "sketch", "wide", F.explode_outer(signatures).alias("sig"), F.lit(False).alias("shorter")
+        "run_id", "idx", "len", "sketch", F.explode_outer(signatures).alias("sig"), F.lit(False).alias("shorter")
     ).filter(F.col("sig").isNotNull())
 
 
 def _gram_rows(nodes: DataFrame, threshold: int) -> DataFrame:
-    """The rarest grams of each long string, in both roles.
+    """The rarest grams of each long string, in both roles: signatures for keys whose grams are rare.
+
+    Keys of one language meet in most of them, so `similar_pairs` and `leaders_of` compare blocks instead.
 
     Taking a character out breaks GRAM grams of a string, putting one in breaks GRAM - 1. With d edits
     between lengths n and m that is at most ((2 GRAM - 1) d + n - m) / 2 grams of the string of length n, so two
     similar strings share one among that many and one more, in any order common to both. The bound is
     largest for the shortest partner or for one of equal length. Grams that occur again are numbered.
     """
-    numbered = _numbered_grams(nodes.filter(F.col("len") > LONG_KEY), "len", "sketch", "wide")
+    numbered = _numbered_grams(nodes.filter(F.col("len") > LONG_KEY), "len", "sketch")
     sizes = numbered.groupBy("run_id", "gram", "nth").agg(F.count(F.lit(1)).alias("n"))
     ranked = numbered.join(sizes, ["run_id", "gram", "nth"]).withColumn(
         "rank", F.row_number().over(Window.partitionBy("run_id", "idx").orderBy("n", "gram", "nth"))
@@ -151,14 +160,25 @@ def _gram_rows(nodes: DataFrame, threshold: int) -> DataFrame:
         ]
     )
     return ranked.filter(F.col("rank") <= broken + 1).select(
-        "run_id", "idx", "len", "sketch", "wide", F.xxhash64("run_id", F.lit("gram"), "gram", "nth").alias("sig"),
+        "run_id", "idx", "len", "sketch", F.xxhash64("run_id", F.lit("gram"), "gram", "nth").alias("sig"),
         F.explode(F.array(F.lit(True), F.lit(False))).alias("shorter"),
     )
 
 
+def _numbered_grams(long: DataFrame, *carried: str) -> DataFrame:
+    """Every gram of the strings of `long`, with the number of its occurrence in the string."""
+    grams = F.transform(
+        F.sequence(F.lit(1), F.col("len") - GRAM + 1), lambda i: F.substring(F.col("s"), i, F.lit(GRAM))
+    )
+    rows = long.select("run_id", "idx", *carried, F.posexplode(F.array_sort(grams)).alias("at", "gram"))
+    # Equal grams stand together once sorted: their number is the distance from the first of them.
+    mine = Window.partitionBy("run_id", "idx", "gram").orderBy("at")
+    return rows.withColumn("nth", F.row_number().over(mine))
+
+
 def _postings(nodes: DataFrame, threshold: int, hot_pairs: int) -> DataFrame:
     """Signature rows that can meet a partner, with the number of salts of their signature."""
-    rows = _union([_index_rows(nodes, threshold), _probe_rows(nodes, threshold), _gram_rows(nodes, threshold)])
+    rows = _union([_index_rows(nodes, threshold), _probe_rows(nodes, threshold)])
     met = (
         rows.groupBy("run_id", "sig")
         .agg(
@@ -185,18 +205,16 @@ def _candidates(earlier: DataFrame, later: DataFrame, threshold: int) -> DataFra
     for short, long, flip in ((earlier, later, False), (later, earlier, True)):
         i = short.filter("shorter").select(
             "run_id", "sig", F.pmod(F.xxhash64("idx"), F.col("salts")).cast("int").alias("salt"),
-            F.col("idx").alias("i_idx"), F.col("len").alias("i_len"), F.col("sketch").alias("i_sketch"), F.col("wide").alias("i_wide"),
+            F.col("idx").alias("i_idx"), F.col("len").alias("i_len"), F.col("sketch").alias("i_sketch"),
         )
         p = long.filter(~F.col("shorter")).select(
             "run_id", "sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-            F.col("idx").alias("p_idx"), F.col("len").alias("p_len"), F.col("sketch").alias("p_sketch"), F.col("wide").alias("p_wide"),
+            F.col("idx").alias("p_idx"), F.col("len").alias("p_len"), F.col("sketch").alias("p_sketch"),
         )
         order = F.col("i_idx") > F.col("p_idx") if flip else F.col("i_idx") < F.col("p_idx")
         apart = F.bit_count(F.col("i_sketch").bitwiseXOR(F.col("p_sketch")))
         pairs = i.join(p, ["run_id", "sig", "salt"]).filter(
-            order
-            & (apart <= max_distance(F.col("i_len"), F.col("p_len"), threshold))
-            & _within("i_wide", "p_wide", "i_len", "p_len", threshold)
+            order & (apart <= max_distance(F.col("i_len"), F.col("p_len"), threshold))
         )
         found.append(
             pairs.select("run_id", F.least("i_idx", "p_idx").alias("a"), F.greatest("i_idx", "p_idx").alias("b"))
@@ -204,42 +222,99 @@ def _candidates(earlier: DataFrame, later: DataFrame, threshold: int) -> DataFra
     return found[0].unionByName(found[1]).distinct()
 
 
-def _numbered_grams(long: DataFrame, *carried: str) -> DataFrame:
-    """Every gram of the strings of `long`, with the number of its occurrence in the string."""
-    grams = F.transform(
-        F.sequence(F.lit(1), F.col("len") - GRAM + 1), lambda i: F.substring(F.col("s"), i, F.lit(GRAM))
-    )
-    rows = long.select("run_id", "idx", *carried, F.posexplode(F.array_sort(grams)).alias("at", "gram"))
-    # Equal grams stand together once sorted: their number is the distance from the first of them.
-    mine = Window.partitionBy("run_id", "idx", "gram").orderBy("at")
-    return rows.withColumn("nth", F.row_number().over(mine))
-
-
-def _wide_sketches(nodes: DataFrame) -> DataFrame:
-    """Per long string: run_id, idx and `wide`, where each numbered gram turns one of 64 WIDE bits over."""
-    bit = F.pmod(F.xxhash64("gram", "nth"), F.lit(64 * WIDE))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))
-    words = (
-        _numbered_grams(nodes.filter(F.col("len") > LONG_KEY))
-        .groupBy("run_id", "idx", F.floor(bit / 64).cast("int").alias("word"))
-        .agg(F.bit_xor(one).alias("bits"))
+def _gram_counts(strings: list[str], size: int, counters: int) -> np.ndarray:
+    """Per string, how many of its grams fall on each counter."""
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(len(codes) - size + 1, 0)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    row = np.repeat(np.arange(len(strings)), lengths)
+    # A gram that runs into the next string is none.
+    own = row[:n] == row[size - 1 : size - 1 + n]
+    place = row[:n][own] * counters + (mixed[own] % np.uint64(counters)).astype(np.int64)
+    return np.bincount(place, minlength=len(strings) * counters).reshape(len(strings), counters).astype(np.int32)
+
+
+def _similar_in_blocks(one: pa.Table, other: pa.Table, same: bool, threshold: int) -> list[tuple[int, int]]:
+    """Similar pairs of rows (idx, len, sketch, s) of two blocks, or of one block with itself.
+
+    Strings within d edits differ in at most d bits of the sketch, and an edit takes at most q grams of size q out
+    and puts q - 1 in, or the other way round: the counts differ by (2q - 1) d at most. What no bound
+    excludes is scored.
+    """
+    one, other = (t.sort_by("len") for t in (one, other))
+    names, strings = ([t[c].to_pylist() for t in (one, other)] for c in ("idx", "s"))
+    lengths, prints = ([t[c].to_numpy() for t in (one, other)] for c in ("len", "sketch"))
+    bits = [p.view(np.uint64) for p in prints]
+    low = np.searchsorted(lengths[1], -(-lengths[0] * threshold // (200 - threshold)))
+    high = np.searchsorted(lengths[1], lengths[0] * (200 - threshold) // threshold, "right")
+    counts = [[_gram_counts(s, *c) for c in GRAM_COUNTERS] for s in strings] if (low < high).any() else []
+    found = []
+    for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        first = max(a, i + 1) if same else a
+        if first >= b:
+            continue
+        edits = (lengths[1][first:b] + lengths[0][i]) * (100 - threshold) // 100
+        near = np.flatnonzero(np.bitwise_count(bits[1][first:b] ^ bits[0][i]) <= edits)
+        for k, (size, counters) in enumerate(GRAM_COUNTERS):
+            step, kept = max(AT_ONCE // counters, 1), []
+            for at in range(0, len(near), step):
+                part = near[at : at + step]
+                apart = np.abs(counts[1][k][first + part] - counts[0][k][i]).sum(axis=1)
+                kept.append(part[apart <= (2 * size - 1) * edits[part]])
+            near = np.concatenate(kept) if kept else near
+        if len(near):
+            close = reaches_lcs(strings[0][i], [strings[1][j] for j in (first + near).tolist()], threshold)
+            found += [(names[0][i], names[1][j]) for j, yes in zip((first + near).tolist(), close, strict=True) if yes]
+    return found
+
+
+def _long_pairs(strings: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """All similar pairs `(run_id, a, b)`, a < b, of strings longer than LONG_KEY.
+
+    Rows of a run fall into length classes, so wide that a partner is in the same class or one of the next two, and
+    within a class into blocks of about `block` rows, fewer if they are long. Each pair of blocks is one group: its rows are
+    bounded however large the run is, and no key or gram decides where a row goes. The work still grows with the
+    square of a run.
+    """
+    ratio = (200 - threshold) / threshold
+    width = max(math.log(ratio) / 2, 1e-3)
+    rows = strings.filter(F.col("len") > LONG_KEY).select("run_id", "idx", "len", "sketch", "s")
+    rows = rows.withColumn("class", F.floor(F.log("len") / width).cast("int"))
+    needed = F.greatest(F.count(F.lit(1)) / block, F.sum("len") / BLOCK_CHARS)
+    sizes = cut_lineage(rows.groupBy("run_id", "class").agg(F.ceil(needed).cast("int").alias("blocks")))
+    rows = rows.join(sizes, ["run_id", "class"]).withColumn("block", F.pmod(F.xxhash64("idx"), "blocks").cast("int")).drop("blocks")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ours = sizes.select("run_id", F.col("class"), each.alias("block"))
+    theirs = sizes.select("run_id", F.col("class").alias("class2"), each.alias("block2"))
+    # One class more than the widths ask for, as logarithms are rounded.
+    reach = F.col("class2").between(F.col("class"), F.col("class") + 3)
+    ordered = (F.col("class") < F.col("class2")) | (F.col("block") <= F.col("block2"))
+    met = ours.join(theirs, "run_id").filter(reach & ordered)
+    met = met.withColumn("pair", F.struct("class", "block", "class2", "block2"))
+    left = rows.join(met.select("run_id", "class", "block", "pair"), ["run_id", "class", "block"])
+    right = rows.join(
+        met.filter("class <> class2 or block <> block2").select("run_id", F.col("class2").alias("class"), F.col("block2").alias("block"), "pair"),
+        ["run_id", "class", "block"],
     )
-    held = words.groupBy("run_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    every = F.sequence(F.lit(0), F.lit(WIDE - 1))
-    wide = F.transform(every, lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint")))
-    return held.select("run_id", "idx", wide.alias("wide"))
-
+    dealt = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    schema = T.StructType([strings.schema["run_id"], T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-def _within(a: str, b: str, len_a: str, len_b: str, threshold: int) -> Column:
-    """Whether wide sketches leave two long strings similar; true where one has none.
+    def compare(group: pa.Table) -> pa.Table:
+        pair = group["pair"][0].as_py()
+        same = (pair["class"], pair["block"]) == (pair["class2"], pair["block2"])
+        one, other = (group.filter(pa.compute.equal(group["side"], s)) for s in (0, 0 if same else 1))
+        found = _similar_in_blocks(one, other, same, threshold)
+        run = pa.array([group["run_id"][0].as_py()] * len(found), group.schema.field("run_id").type)
+        ends = [pa.array([end(p) for p in found], pa.int64()) for end in (min, max)]
+        return pa.table([run, *ends], names=["run_id", "a", "b"])
 
-    An edit takes at most GRAM grams out of a string's numbered ones and puts at most GRAM - 1 in, or the other
-    way round, and each turns one bit: strings within d edits differ in at most (2 GRAM - 1) d bits. The
-    sketch has room for several hundred grams, so strings that only share a language differ in many more.
-    """
-    words = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WIDE)]
-    most = (2 * GRAM - 1) * max_distance(F.col(len_a), F.col(len_b), threshold)
-    return F.coalesce(reduce(lambda x, y: x + y, words) <= most, F.lit(True))
+    # Named here, as a few MB of groups can be hours of work and would be put together.
+    tasks = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "run_id", "pair").groupBy("run_id", "pair").applyInArrow(compare, schema)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
@@ -255,31 +330,32 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 def _distinct_strings(nodes: DataFrame) -> DataFrame:
     """Equal strings share their first position: similarity only looks at the string."""
     firsts = nodes.filter(F.length("s") > 0).groupBy("run_id", "s").agg(F.min("idx").alias("idx"))
-    nodes = cut_lineage(_with_sketch(firsts.withColumn("len", F.length("s"))))
-    return nodes.join(_wide_sketches(nodes), ["run_id", "idx"], "left")
+    return cut_lineage(_with_sketch(firsts.withColumn("len", F.length("s"))))
 
 
 def similar_pairs(nodes: DataFrame, threshold: int = MERGE_THRESHOLD, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """All similar pairs `(run_id, a, b)`, a < b, over the distinct strings of `(run_id, idx, s)`."""
-    strings = cut_lineage(_distinct_strings(nodes))
+    strings = _distinct_strings(nodes)
     postings = cut_lineage(_postings(strings, threshold, hot_pairs))
-    return _verified(_candidates(postings, postings, threshold), strings, threshold)
+    short = _verified(_candidates(postings, postings, threshold), strings, threshold)
+    return short.unionByName(_long_pairs(strings, threshold))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _peel(postings: DataFrame, strings: DataFrame, threshold: int, hot_pairs: int, rounds: int):
+def _peel(postings: DataFrame, strings: DataFrame, long: DataFrame, threshold: int, hot_pairs: int, rounds: int):
     """Settle hot signatures without their pairs.
 
-    A node that comes first in every signature it holds has no earlier neighbour, so it leads. It
+    A node that comes first in every signature it holds and in no pair of `long` second has no earlier neighbour, so it leads. It
     is compared with the members of its signatures - one leader each, linear in the postings - and
     absorbs its likes. Groups of near copies vanish this way before any pair is formed. Returns
     undecided postings, absorbed postings and (leader, absorbed) matches.
     """
     live, gone, matches = postings, postings.limit(0), []
     key = ["run_id", "idx"]
+    later = long.select("run_id", F.col("b").alias("idx")).distinct()
     for _ in range(rounds):
         if live.filter("salts > 1").isEmpty():
             break
@@ -290,6 +366,7 @@ def _peel(postings: DataFrame, strings: DataFrame, threshold: int, hot_pairs: in
             .agg(F.bool_and(F.col("first") == F.col("idx")).alias("leads"))
             .filter("leads")
             .select(*key)
+            .join(later, key, "left_anti")
         )
         heads = cut_lineage(heads)
         head_rows = live.join(heads, key, "left_semi")
@@ -341,14 +418,17 @@ def leaders_of(
     Taken in order of `idx`, a node leads unless an earlier leader is similar; an absorbed node
     belongs to its earliest similar leader. Nodes with an empty string stay alone.
     """
-    strings = cut_lineage(_distinct_strings(nodes))
+    strings = _distinct_strings(nodes)
     postings = cut_lineage(_postings(strings, threshold, hot_pairs))
-    live, gone, matches = _peel(postings, strings, threshold, hot_pairs, peel_rounds)
-    edges = cut_lineage(_verified(_candidates(live, live.unionByName(gone), threshold), strings, threshold))
-    open_edges = edges
+    long = cut_lineage(_long_pairs(strings, threshold))
+    live, gone, matches = _peel(postings, strings, long, threshold, hot_pairs, peel_rounds)
+    found = _verified(_candidates(live, live.unionByName(gone), threshold), strings, threshold)
     if matches:
         settled = gone.select("run_id", F.col("idx").alias("b")).distinct()
-        open_edges = edges.join(settled, ["run_id", "b"], "left_anti")
+        # A settled node leads nobody.
+        long = long.join(settled.withColumnRenamed("b", "a"), ["run_id", "a"], "left_anti")
+    edges = cut_lineage(found.unionByName(long))
+    open_edges = edges.join(settled, ["run_id", "b"], "left_anti") if matches else edges
     absorbed = _absorbed_nodes(open_edges)
     links = _union([edges, *matches])
     followers = [*absorbed, *[m.select("run_id", "b") for m in matches]]
