@@ -27,7 +27,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard of 0.8 or more (shingles of five words) the row with the smallest doc_id stays."""
+    """Of near copies the row with the smallest doc_id stays.
+
+    Groups of operator 3 (fingerprints linked around the pigeonring) and texts that share a MinHash band are decided by the
+    exact Jaccard of their shingles of five words: 0.8 or more links.
+    """
     return near.drop_near_copies(docs)
 
 

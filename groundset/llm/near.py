@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: bands name the texts that could have one, prefixes their pairs."""
+"""Near copies: fingerprints linked around the pigeonring name groups, the exact Jaccard of word shingles decides them.
+
+Fingerprints alone lose copies with more than a few edits, so bands name the other texts that could have one, and prefixes their pairs.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundset.llm.components import components
-from groundset.llm.simhash import first_of_each, shingle_hashes
+from groundset.llm.simhash import first_of_each, near_duplicates, shingle_hashes
 from groundset.llm.tables import written
 
 #: Words of a shingle, seed of its hash, and least Jaccard that links two texts, in percent.
@@ -132,11 +135,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(pairs.join(one, "u").join(other, "v").where(enough).select("u", "v"), "verified")
 
 
-def links(sets: DataFrame) -> DataFrame:
+def ringed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (u, v) of a text and the leader of its component of fingerprints (`simhash.near_duplicates`); written.
+
+    The leader is the least text hash, so a component costs a pair a text however many links it has.
+    """
+    held = near_duplicates(docs, id_col, text_col).select("_text", "_group").distinct()
+    heads = held.groupBy("_group").agg(F.min("_text").alias("v"), F.max("_text").alias("_last")).where("v <> _last")
+    pairs = held.join(heads, "_group").where("_text <> v")
+    return written(pairs.select(F.col("_text").alias("u"), "v"), "ringed")
+
+
+def links(sets: DataFrame, named: DataFrame) -> DataFrame:
     """Pairs u, v of different sets of Jaccard LEAST or more, enough of them for the components of all.
 
-    First each text of a key is compared with the key's leader, the text with the smallest share of shingles of its own:
-    the one that copies with edits have in common. So a group of copies costs a pair a member. Then texts of
+    Pairs already `named` (u, v) are decided. Then each text of a key is compared with the key's leader, the text with the smallest share of shingles of its own:
+    the one that copies with edits have in common. So a group of copies costs a pair a member. Last, texts of
     a key that are in different components still are compared, where their prefixes leave LEAST possible.
     """
     places = prefixes(sets)
@@ -145,7 +159,8 @@ def links(sets: DataFrame) -> DataFrame:
     heads = written(heads.select("_key", "_l._node", "_l._n", "_l._at"), "heads")
     a, b = places.alias("a"), heads.alias("b")
     led = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._node") != F.col("b._node")) & _reaches("a", "b"))
-    first = verified(written(led.select(F.col("a._node").alias("u"), F.col("b._node").alias("v")).distinct(), "led"), sets)
+    led = led.select(F.col("a._node").alias("u"), F.col("b._node").alias("v"))
+    first = verified(written(led.unionByName(named).distinct(), "led"), sets)
 
     parts = components(first).withColumnRenamed("node", "_node")
     placed = places.join(parts, "_node", "left").withColumn("_part", F.coalesce("component", "_node")).drop("component")
@@ -170,16 +185,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Equal texts are one node. Null and empty texts count as equal. Null ids count for component_id only where a
     component has no other, which then is null. Repeated rows appear each; ties don't matter, as the links of a
-    component don't depend on an order. Only texts that share a band with another one have their shingles
-    moved; a very long text is one row of as many longs as it has words. An empty table gives no rows.
+    component don't depend on an order. Only texts that share a band or a component of fingerprints with another one
+    have their shingles moved; a very long text is one row of as many longs as it has words. An empty table gives no rows.
     """
     found = signatures(docs, id_col, text_col)
     nodes = found.groupBy(F.col("_text").alias("_node")).agg(F.min(id_col).alias("_least"), F.first("_keys").alias("_keys"))
     nodes = written(nodes, "nodes")
     banded = nodes.select("_node", F.explode("_keys").alias("_key"))
     shared = banded.groupBy("_key").agg(F.min("_node").alias("_p"), F.max("_node").alias("_q")).where("_p <> _q")
-    asked = written(banded.join(shared.select("_key"), "_key", "left_semi").select("_node").distinct(), "asked")
-    parts = components(links(shingle_sets(docs, asked, text_col)))
+    asked = banded.join(shared.select("_key"), "_key", "left_semi").select("_node")
+    named = ringed(docs, id_col, text_col)
+    for end in ("u", "v"):
+        asked = asked.unionByName(named.select(F.col(end).alias("_node")))
+    asked = written(asked.distinct(), "asked")
+    parts = components(links(shingle_sets(docs, asked, text_col), named))
     placed = nodes.join(parts, nodes["_node"] == parts["node"], "left").select(
         F.col("_node").alias("_text"), "_least", F.coalesce("component", "_node").alias("_group")
     )

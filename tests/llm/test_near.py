@@ -95,3 +95,18 @@ def test_long_texts_and_ties(docs):
     rows = [(3, long), (1, long + " end"), (2, "a b c d e f"), (8, "a b c d e f"), (9, "b c d e f a")]
     got = {r.doc_id: r.component_id for r in near.near_copies(docs(rows)).collect()}
     assert got == {3: 1, 1: 1, 2: 2, 8: 2, 9: 9}
+
+
+def test_groups_of_fingerprints_are_decided_without_bands(docs, monkeypatch):
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(f"v{k}" for k in range(3000)))]
+    monkeypatch.setattr(near, "band_keys", lambda own: [int(own[0]) % 2**40 + len(own)] * near.BANDS)
+    got = {r.doc_id: r.component_id for r in near.near_copies(docs(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_alike_fingerprints_below_the_threshold_stay_apart(docs, monkeypatch):
+    monkeypatch.setattr(near, "near_duplicates", lambda *a: docs([]).selectExpr("0L as _text", "0L as _group").limit(0).union(held))
+    df = docs([(1, "a b c d e f g"), (2, "h i j k l m n")])
+    held = df.selectExpr("xxhash64(text) as _text", "7L as _group")
+    assert {r.doc_id: r.component_id for r in near.near_copies(df).collect()} == {1: 1, 2: 2}
