@@ -1,8 +1,10 @@
-"""Repeated passages inside documents: MinHash banding of short paragraphs, exact Jaccard, components.
+"""Repeated passages inside documents: MinHash banding of short paragraphs at every word, exact Jaccard, components.
 
-Passages are set into other text at any word, so lines are no units that two documents share. A paragraph here
-is WORDS words from a start that the content defines: the position of the least shingle hash of each stretch
-of REACH shingles. Any common passage of REACH + WORDS - 1 = 51 words holds such a paragraph whole.
+Passages are set into other text at any word, so lines are no units that two documents share. A paragraph here is
+WORDS words from any word on. Of PER shingles each, two paragraphs reach Jaccard 0.8 if and only if all but one are
+common (15 of 17 are 0.88, 14 of 18 are 0.78), and what they have in common stands together: a half, which is all
+shingles but the last or all but the first, of one is a half of the other. The least shingle hash of each half is its
+band; equal halves always share it, and the halves themselves are compared then. So no position is left out.
 """
 
 from __future__ import annotations
@@ -15,19 +17,19 @@ import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from groundset.llm.components import components
 from groundset.llm.tables import written
 
-#: Words of a shingle, words of a paragraph, shingles of which the least one starts a paragraph.
-SHINGLE, WORDS, REACH = 5, 20, 32
+#: Words of a shingle, words of a paragraph.
+SHINGLE, WORDS = 5, 20
+#: Shingles of a paragraph and of a half, and bands of a paragraph: its two halves.
 PER = WORDS - SHINGLE + 1
-#: Least hashes per band, and bands. The least similar pairs that count have Jaccard 0.88: they meet with
-#: 1 - (1 - 0.88 ** ROWS) ** BANDS = 95 %, equal paragraphs always.
-ROWS, BANDS = 2, 2
+HALF, BANDS = PER - 1, 2
 #: Stands for a null id, after all others.
 NO_ID = 2**63 - 1
+#: Texts taken from a batch at once: they bound memory, not results.
+SLICE = 256
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -42,153 +44,198 @@ def _shingles(words: list[bytes]) -> np.ndarray:
     return np.array([digest(line[a:b]) for a, b in spans], np.uint64)
 
 
-def paragraphs_of(text: str | None) -> tuple[np.ndarray, ...]:
-    """Start and end (characters), head, tail and band keys of each paragraph of a text, in order.
+def _banded(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per half (one from each shingle on): its hash, its band key and the place of the shingle that gives the key."""
+    many = max(0, len(hashes) - HALF + 1)
+    half = np.zeros(many, np.uint64)
+    for j in range(HALF):
+        half += hashes[j : j + many] * _FACTORS[j]
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * _FACTORS[PER]
+    place = sliding_window_view(mixed, HALF).argmin(axis=1) + np.arange(many)
+    return half.view(np.int64), mixed[place].view(np.int64), place
 
-    Head and tail are hashes of all shingles but the last and all but the first.
-    """
+
+def _words(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a text in lower case, and where they begin and end in it (characters)."""
     raw = (text or "").encode()
     data = np.frombuffer(raw, np.uint8)
     inside = ~_BLANK[data]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if len(begins) < WORDS:
-        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, BANDS), np.int64))
-    hashes = _shingles(raw.translate(_LOWER).split())
-    starts = hashes[: len(hashes) - PER + 1]  # those that a whole paragraph follows
-    least = sliding_window_view(starts, min(REACH, len(starts))).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
-    own = hashes[at[:, None] + np.arange(PER)]
-    head, tail = ((part * _FACTORS[: PER - 1]).sum(axis=1, dtype=np.uint64) for part in (own[:, :-1], own[:, 1:]))
-    keys = np.zeros((len(at), BANDS), np.uint64)
-    for band in range(BANDS):
-        for row in range(ROWS):
-            f = _FACTORS[PER + band * ROWS + row]
-            keys[:, band] = keys[:, band] * _FACTORS[-1] + ((own ^ (own >> np.uint64(29))) * f).min(axis=1)
-        keys[:, band] = keys[:, band] * _FACTORS[-2] + np.uint64(band)
     # Bytes that continue a character don't count as characters.
-    shift = np.cumsum((data & 0xC0) == 0x80)
-    start, end = begins[at], ends[at + WORDS - 1]
-    start_chars = start - np.where(start > 0, shift[start - 1], 0)
-    return start_chars, end - shift[end - 1], head.view(np.int64), tail.view(np.int64), keys.view(np.int64)
+    shift = np.append(0, np.cumsum((data & 0xC0) == 0x80))
+    return raw.translate(_LOWER).split(), begins - shift[begins], ends - shift[ends]
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document that has any: _id, and arrays _start, _end, _head, _tail, _keys (BANDS per paragraph).
+def paragraphs_of(text: str | None) -> tuple[np.ndarray, ...]:
+    """Start and end (characters), head, tail and band keys of the paragraph at every word of a text, in order.
 
-    Written, as several steps read it. A null id becomes NO_ID; null, empty and short texts have no paragraph.
+    Head and tail are hashes of all shingles but the last and all but the first: the two halves.
     """
-    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    kinds = {"_id": T.LongType(), "_start": ints, "_end": ints, "_head": longs, "_tail": longs, "_keys": longs}
-    schema = T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+    words, begins, ends = _words(text)
+    if len(words) < WORDS:
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, BANDS), np.int64))
+    half, key, _ = _banded(_shingles(words))
+    keys = np.stack([key[:-1], key[1:]], axis=1)
+    return begins[: len(keys)], ends[WORDS - 1 :], half[:-1], half[1:], keys
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: dict[str, list] = {n: [] for n in kinds}
-            for own_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start, end, head, tail, keys = paragraphs_of(text)
-                if len(start):
-                    for n, v in zip(kinds, (own_id, start, end, head, tail, keys.reshape(-1)), strict=True):
-                        rows[n].append(v)
-            types = (pa.int64(), *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 3)
-            arrays = [pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
+def stretches_of(text: str | None) -> tuple[np.ndarray, ...]:
+    """The halves of a text, in stretches of neighbours whose key comes from one shingle.
+
+    First the number of the first half and the key of each stretch, then hash, start and end (characters) of each half.
+    """
+    words, begins, ends = _words(text)
+    if len(words) < WORDS:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    half, key, place = _banded(_shingles(words))
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    return first, key[first], half, begins[: len(half)], ends[WORDS - 2 :]
+
+
+def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, ...]]]]:
+    """Rows whose text has any stretch, with the stretches, some at a time."""
+    for at in range(0, len(batch), SLICE):
+        part = batch.slice(at, SLICE)
+        own = [stretches_of(t) for t in part.column(text_at).to_pylist()]
+        long = [k for k, o in enumerate(own) if len(o[0])]
+        if long:
+            yield part.take(pa.array(long)), [own[k] for k in long]
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), kind))
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text (hash of the text) and _own (the text)."""
+    own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own_id = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    return written(docs.select(own_id.alias("_id"), text_col).mapInArrow(run, schema), "paragraphs")
+    return docs.select(own_id.alias("_id"), F.xxhash64(own).alias("_text"), own.alias("_own"))
 
 
-def _each(found: DataFrame) -> DataFrame:
-    """One row per paragraph: _id, _start, _end, _head, _tail and its band keys _k0, _k1, ..."""
-    zipped = F.arrays_zip("_start", "_end", "_head", "_tail")
-    many = found.select("_id", F.posexplode(zipped).alias("_at", "_p"), "_keys")
-    keys = [F.get("_keys", F.col("_at") * BANDS + b).alias(f"_k{b}") for b in range(BANDS)]
-    return many.select("_id", "_p._start", "_p._end", "_p._head", "_p._tail", *keys)
+def shared_keys(named: DataFrame) -> DataFrame:
+    """Per distinct text that has any: _text, its least and greatest document and _shared, those of its band keys that
+    stand in two documents or more; written. Copies of a text count once from here on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, found in _slices(batch, 2):
+                keys = _lists([np.unique(o[1]) for o in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), keys], names=["_id", "_text", "_keys"])
 
-def contents(found: DataFrame) -> DataFrame:
-    """One row per different paragraph (its head and tail, 128 bits): its least and greatest document and its
-    band keys; combined before the shuffle, so copies cost nothing."""
-    keys = [f"_k{b}" for b in range(BANDS)]
-    grouped = (
-        _each(found)
-        .groupBy("_head", "_tail")
-        .agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), *[F.first(k).alias(k) for k in keys])
-    )
-    return written(grouped, "contents").withColumn("_node", F.xxhash64("_head", "_tail"))
+    filed = named.mapInArrow(run, "_id long, _text long, _keys array<long>")
+    texts = filed.groupBy("_text").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.first("_keys").alias("_keys"))
+    texts = written(texts, "texts")
+    each = texts.select("_text", "_low", "_high", F.explode("_keys").alias("_key"))
+    several = each.groupBy("_key").agg(F.min("_low").alias("_p"), F.max("_high").alias("_q")).where("_p <> _q")
+    met = each.join(written(several.select("_key"), "several"), "_key", "left_semi")
+    return written(met.groupBy("_text", "_low", "_high").agg(F.collect_list("_key").alias("_shared")), "shared_keys")
 
 
-def similar_contents(classes: DataFrame) -> DataFrame:
-    """Pairs u < v (`_node`; beside them head, tail and least document of each) of different contents of Jaccard 0.8 or more that meet in a band, each verified.
+def shared_stretches(named: DataFrame) -> DataFrame:
+    """Stretches of halves whose key stands in two documents or more, once for each distinct text; written.
 
-    Two paragraphs of PER shingles each reach 0.8 if and only if all but one are common (15 of 17 are 0.88, 14
-    of 18 are 0.78). What they have in common stands together, so head or tail of one then equals head or tail
-    of the other: the join itself decides, and no pair below leaves it. (A paragraph that repeats a
-    shingle is held to the same test, place by place.) Contents of one least document are not compared:
-    neighbouring paragraphs of a text overlap, and what a link between two of them could remove is removed
-    through their copies already.
+    Columns: _text, _low, _high, _at (number of the first half), _key, _same (hash of all halves), and arrays _halves,
+    _start, _end. Null, empty and short texts have none. The texts are taken apart a second time, as they
+    are smaller than their stretches, most of which are of no further use.
     """
-    keys = F.array(*[F.col(f"_k{b}") for b in range(BANDS)])
-    banded = classes.select("_node", "_head", "_tail", "_low", F.explode(keys).alias("_key"))
-    a, b = banded.alias("a"), banded.alias("b")
-    ends = [F.col(f"a.{x}") == F.col(f"b.{y}") for x in ("_head", "_tail") for y in ("_head", "_tail")]
-    alike = ends[0] | ends[1] | ends[2] | ends[3]
-    other = (F.col("a._node") < F.col("b._node")) & (F.col("a._low") != F.col("b._low"))
-    met = a.join(b, (F.col("a._key") == F.col("b._key")) & other & alike)
-    sides = [F.col(f"{side}.{c}").alias(f"{side}{c}") for side in "ab" for c in ("_head", "_tail", "_low")]
-    pairs = met.select(F.col("a._node").alias("u"), F.col("b._node").alias("v"), *sides)
-    return written(pairs.dropDuplicates(["u", "v"]), "pairs")
+    names = ["_text", "_low", "_high", "_at", "_key", "_halves", "_start", "_end"]
 
-
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every paragraph that stands in two documents or more, or is similar to one elsewhere.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, found in _slices(batch, 4):
+                of, columns = [], [[] for _ in range(5)]
+                for k, (shared, own) in enumerate(zip(rows.column(3), found, strict=True)):
+                    first, key, *halves = own
+                    asked = np.flatnonzero(np.isin(key, shared.values.to_numpy()))
+                    ends = np.append(first[1:], len(halves[0]))
+                    of.append(np.full(len(asked), k))
+                    for into, values in zip(columns, (first[asked], key[asked]), strict=False):
+                        into.append(values)
+                    for into, values in zip(columns[2:], halves, strict=True):
+                        into += [values[first[i] : ends[i]] for i in asked.tolist()]
+                of = pa.array(np.concatenate(of))
+                if not len(of):
+                    continue
+                flat = [pa.array(np.concatenate(c), t) for c, t in zip(columns[:2], (pa.int32(), pa.int64()), strict=True)]
+                lists = [_lists(c, t) for c, t in zip(columns[2:], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(k).take(of) for k in range(3)] + flat + lists, names=names)
+
+    schema = "_text long, _low long, _high long, _at int, _key long, _halves array<long>, _start array<int>, _end array<int>"
+    asked = named.select("_text", "_own").join(shared_keys(named), "_text").dropDuplicates(["_text"])
+    found = asked.select("_text", "_low", "_high", "_shared", "_own").mapInArrow(run, schema)
+    return written(found.withColumn("_same", F.xxhash64("_halves")), "stretches")
+
+
+def repeated_pieces(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Neighbouring halves that stand in two documents or more, by kind of stretch; and which pieces share a half.
+
+    First _key, _same, _node (name of the piece), _from, _to (places in the stretch); written. Then pairs u, v of names.
+    Equal stretches are one kind. A key with one kind needs no look at its halves: all of them stand where the kind does.
+    """
+    own = ["_key", "_same"]
+    kinds = found.groupBy(*own).agg(
+        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.max(F.size("_halves") - 1).alias("_to")
+    )
+    kinds = written(kinds, "kinds")
+    mixed = kinds.groupBy("_key").agg(F.count(F.lit(1)).alias("_kinds"), F.max(F.struct("_same", "_to")).alias("_k"))
+    mixed = written(mixed, "mixed")
+    alone = mixed.where("_kinds = 1").select(
+        "_key", "_k._same", F.xxhash64("_key", "_k._same").alias("_node"), F.lit(0).alias("_from"), "_k._to"
+    )
+    several = mixed.where("_kinds > 1").select("_key")
+    lists = found.select(*own, "_halves").join(several, "_key", "left_semi").dropDuplicates(own)
+    each = written(kinds.select(*own, "_low", "_high").join(lists, own), "lists")
+    each = each.select(*own, "_low", "_high", F.posexplode("_halves").alias("_i", "_half"))
+    met = each.groupBy("_key", "_half").agg(F.min("_low").alias("_p"), F.max("_high").alias("_q")).where("_p <> _q")
+    halves = each.select(*own, "_i", "_half").join(met.select("_key", "_half"), ["_key", "_half"], "left_semi")
+    gap = F.col("_i") - F.row_number().over(Window.partitionBy(*own).orderBy("_i"))
+    least = F.min(F.xxhash64("_key", "_half")).over(Window.partitionBy(*own, "_gap"))
+    placed = written(halves.withColumn("_gap", gap).withColumn("_node", least), "in_pieces")
+    pieces = placed.groupBy(*own, "_gap", "_node").agg(F.min("_i").alias("_from"), F.max("_i").alias("_to"))
+    shared = placed.groupBy("_key", "_half").agg(F.min("_node").alias("v"), F.max("_node").alias("_q")).where("v <> _q")
+    links = placed.join(shared.select("_key", "_half", "v"), ["_key", "_half"]).select(F.col("_node").alias("u"), "v")
+    return written(alone.unionByName(pieces.drop("_gap")), "pieces"), links
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every longest run of words of which each half stands in another document too.
 
     Columns: the id, start, end (characters), keep_id (least id of its component), removed (not in that
-    document), component. An empty table, or one of null and short texts, gives no rows. A null id is one
-    document of its own, after all others. Rows that repeat an id and text give their paragraphs each.
+    document), component. Halves that overlap in a run are similar paragraphs, so a run is in one component, and runs
+    that share a half are linked. An empty table, or one of null and short texts, gives no rows. A null id is one
+    document of its own, after all others; its rows, and rows that repeat an id, give their runs each.
     """
-    found = paragraphs(docs, id_col, text_col)
-    classes = contents(found)
-    pairs = similar_contents(classes)
-    parts = components(pairs.select("u", "v"))
-    # Only contents in two documents, or linked to another content, are looked at further.
-    several = classes.where("_low <> _high").select("_node", "_head", "_tail", "_low")
-    for node, side in (("u", "a"), ("v", "b")):
-        ends = [F.col(f"{side}{c}").alias(c) for c in ("_head", "_tail", "_low")]
-        several = several.unionByName(pairs.select(F.col(node).alias("_node"), *ends))
-    linked = parts.select(F.col("node").alias("_node"), F.col("component").alias("_part"))
-    joined = several.distinct().join(linked, "_node", "left")
-    kept = written(joined.select("_head", "_tail", "_low", F.coalesce("_part", "_node").alias("_part")), "repeated")
-    keepers = kept.groupBy("_part").agg(F.min("_low").alias("_keep"))
-    wanted = written(kept.join(keepers, "_part").select("_head", "_tail", "_part", "_keep"), "wanted")
+    named = _named(docs, id_col, text_col)
+    found = shared_stretches(named)
+    pieces, met = repeated_pieces(found)
+    at = F.col("_at")
+    rows = found.drop("_halves", "_high").join(pieces, ["_key", "_same"]).select(
+        "_text", "_low", "_node", (at + F.col("_from")).alias("_from"), (at + F.col("_to")).alias("_to"),
+        F.get("_start", F.col("_from")).alias("start"), F.get("_end", F.col("_to")).alias("end"),
+    )
+    # Pieces that follow each other are one run. A window holds the pieces of one text.
+    own = Window.partitionBy("_text").orderBy("_from")
+    starts = F.coalesce(F.col("_from") > F.lag("_to").over(own) + 1, F.lit(True))
+    rows = rows.withColumn("_run", F.sum(starts.cast("int")).over(own))
+    rows = written(rows.withColumn("_top", F.min("_node").over(Window.partitionBy("_text", "_run"))), "in_runs")
+    chained = rows.select(F.col("_node").alias("u"), F.col("_top").alias("v"))
+    parts = components(met.unionByName(chained).where("u <> v").distinct())
+
+    runs = rows.groupBy("_text", "_run", "_low", "_top").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    linked = parts.select(F.col("node").alias("_top"), F.col("component").alias("_part"))
+    runs = runs.join(linked, "_top", "left").withColumn("_part", F.coalesce("_part", "_top"))
+    runs = written(runs.select("_text", "_low", "start", "end", "_part"), "runs")
+    keepers = runs.groupBy("_part").agg(F.min("_low").alias("_keep"))
     back = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return (
-        _each(found)
-        .select("_id", "_start", "_end", "_head", "_tail")
-        .join(wanted, ["_head", "_tail"])
-        .select(
-            back("_id").alias(id_col),
-            F.col("_start").alias("start"),
-            F.col("_end").alias("end"),
-            back("_keep").alias("keep_id"),
-            (F.col("_id") != F.col("_keep")).alias("removed"),
-            F.col("_part").alias("component"),
-        )
-    )
+    return runs.join(keepers, "_part").join(named.select("_id", "_text"), "_text").select(
+        back("_id").alias(id_col), "start", "end", back("_keep").alias("keep_id"),
+        (F.col("_id") != F.col("_keep")).alias("removed"), F.col("_part").alias("component"),
+    )
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Overlapping repeated paragraphs of a document as one span: the id, start, end, keep_id, removed.
-
-    A span is removed if all of its paragraphs are; of several keepers the least is named.
-    """
-    rows = repeated_paragraphs(docs, id_col, text_col)
-    own = Window.partitionBy(id_col, "removed").orderBy("start", "end")
-    reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    spans = marked.withColumn("_span", F.sum("_new").over(own))
-    return (
-        spans.groupBy(id_col, "removed", "_span")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("keep_id").alias("keep_id"))
-        .drop("_span")
-    )
+    """Repeated passages: the id, removed, start, end, keep_id; rows that repeat an id and text give each once."""
+    return repeated_passages(docs, id_col, text_col).select(id_col, "removed", "start", "end", "keep_id").distinct()

@@ -28,35 +28,72 @@ def test_spans_are_characters_of_the_text():
     assert len(passages.paragraphs_of(" ".join(_words(1, 20)))[0]) == 1
 
 
-def _pairs_alike(texts):
-    """Paragraph contents of Jaccard 0.8 or more of different first documents, all pairs compared."""
-    sets, first = {}, {}
-    for k, t in enumerate(texts):
-        start, end, head, tail, _ = passages.paragraphs_of(t)
-        for a, b, *c in zip(start, end, head.tolist(), tail.tolist(), strict=True):
-            c = tuple(c)
-            first.setdefault(c, k)
-            w = t[a:b].lower().split()
-            sets[c] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    return {
-        frozenset((u, v)) for u in sets for v in sets if u < v and first[u] != first[v] and len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v])
-    }
-
-
-def test_pairs_against_all_pairs(docs):
+def _runs(rows):
+    """Longest runs of words whose windows of 19 words all stand in another document, by comparing all windows."""
+    held = {}
+    for k, t in rows:
+        w = (t or "").lower().split()
+        for i in range(len(w) - 18 if len(w) >= 20 else 0):
+            held.setdefault(tuple(w[i : i + 19]), set()).add(k)
+    out = []
+    for k, t in rows:
+        w = (t or "").lower().split()
+        at = [i for i in range(len(w) - 18 if len(w) >= 20 else 0) if len(held[tuple(w[i : i + 19])]) > 1]
+        firsts = [i for i in at if i - 1 not in at]
+        for i in firsts:
+            j = next(j for j in range(i, len(w)) if j + 1 not in at)
+            out.append((k, i, tuple(w[i : j + 19])))
+    return out
+
+
+def _placed(rows, got):
+    """Spans as document, number of the first word, words."""
+    texts = dict(rows)
+    return sorted((r.doc_id, len(texts[r.doc_id][: r.start].split()), tuple(texts[r.doc_id][r.start : r.end].lower().split())) for r in got)
+
+
+def test_runs_of_all_lengths_at_all_places(docs):
+    rows = []
+    for n in range(17, 80):
+        shared = _words(n, n)
+        for k in (0, 1):
+            rows.append((2 * n + k, " ".join([*_words(1000 + 2 * n + k, (7 * n + 31 * k) % 45), *shared, *_words(5000 + 2 * n + k, (5 * n) % 37)])))
+    got = repeated = passages.repeated_spans(docs(rows)).collect()
+    assert _placed(rows, got) == sorted(_runs(rows))
+    assert {r.doc_id // 2 for r in repeated} == set(range(19, 80))
+    assert all(r.keep_id == r.doc_id // 2 * 2 and r.removed == bool(r.doc_id % 2) for r in repeated)
+
+
+def test_runs_between_edits_against_all_windows(docs):
     base = _words(8, 400)
-    texts = []
-    for k in range(90):
+    rows = []
+    for k in range(60):
         w = list(base)
-        for at in random.Random(k).sample(range(400), 25):
+        for at in random.Random(k).sample(range(400), 14):
             w[at] = f"edit{k}x{at}"
-        texts.append(" ".join(w))
-    df = docs(list(enumerate(texts)))
-    classes = passages.contents(passages.paragraphs(df))
-    node = {r._node: (r._head, r._tail) for r in classes.collect()}
-    got = {frozenset((node[r.u], node[r.v])) for r in passages.similar_contents(classes).collect()}
-    want = _pairs_alike(texts)
-    assert got <= want and len(got) >= 0.9 * len(want) > 9
+        rows.append((k, "  ".join(w)))
+    rows += [(70, " ".join("abc" * 30)), (71, " ".join("abc" * 25)), (72, "same " * 50), (73, "x " + "SAME " * 40), (74, "y " * 19)]
+    got = passages.repeated_spans(docs(rows)).collect()
+    assert _placed(rows, got) == sorted(_runs(rows)) and len(got) > 200
+
+
+def test_an_edit_inside_leaves_both_sides(docs):
+    rows = []
+    for n in range(30):
+        shared = _words(n, 60)
+        changed = [*shared[:30], f"changed{n}", *shared[31:]]
+        rows += [(2 * n + k, " ".join([*_words(900 + 2 * n + k, 20 + n + k), *w, *_words(3000 + 2 * n + k, 33)])) for k, w in enumerate((shared, changed))]
+    got = passages.repeated_spans(docs(rows)).collect()
+    assert [len(w) for _, _, w in _placed(rows, got)] == [30, 29] * 60
+
+
+def test_rows_of_one_id_are_texts_of_their_own(docs):
+    one, two = _words(1, 40), _words(2, 40)
+    rows = [(None, " ".join(one)), (None, " ".join(["x"] * 5 + two)), (4, " ".join(one)), (5, " ".join(two)), (5, " ".join([*_words(3, 50), *two]))]
+    got = passages.repeated_spans(docs(rows)).collect()
+    sizes = sorted((r.doc_id or 99, r.end - r.start, r.keep_id) for r in got)
+    n, m = len(rows[2][1]), len(rows[3][1])
+    assert sizes == sorted([(4, n, 4), (99, n, 4), (5, m, 5), (5, m, 5), (99, m, 5)])
 
 
 def test_passages_are_found_and_clean_documents_left(docs):
