@@ -172,7 +172,8 @@ def merge_exact(df: DataFrame, spec: TaskSpec) -> Deduped:
 def merge_clusters(exact: Deduped, leaders: DataFrame, spec: TaskSpec) -> Deduped:
     """Fold every absorbed record into its leader, in order of first appearance.
 
-    `leaders` maps absorbed `(run_id, dedupe_key)` to `leader_key`; all others lead themselves.
+    `leaders` maps absorbed `(run_id, dedupe_key)` to `leader_key`; all others lead themselves. Evidence is as long as
+    the pool, and the size Spark guesses for it comes from packed files, far too small: it is merged, never broadcast.
     """
     own = F.coalesce("leader_key", "dedupe_key")
     joined = exact.records.join(leaders, ["run_id", "dedupe_key"], "left").withColumn("leader", own)
@@ -190,7 +191,7 @@ def merge_clusters(exact: Deduped, leaders: DataFrame, spec: TaskSpec) -> Dedupe
     ).withColumnRenamed("leader", "dedupe_key")
     order = ranked.select("run_id", "dedupe_key", "leader", "absorbed", "first_arrival")
     evidence = (
-        exact.evidence.join(order, ["run_id", "dedupe_key"])
+        exact.evidence.hint("merge").join(order, ["run_id", "dedupe_key"])
         .select(
             "run_id", F.col("leader").alias("dedupe_key"), "absorbed", "first_arrival",
             "unfilled", "arrival", "source_id", "snippet",

@@ -180,7 +180,7 @@ def build_dataset_by_spec(
         ]
         place = led.select("run_id", "dedupe_key", "leader", *order)
         records = _merged(led, "leader", order, sums).withColumnsRenamed({"leader": "dedupe_key", "_first": "first_arrival"})
-        evidence = evidence.join(place, ["run_id", "dedupe_key"]).drop("dedupe_key").withColumnRenamed("leader", "dedupe_key")
+        evidence = evidence.hint("merge").join(place, ["run_id", "dedupe_key"]).drop("dedupe_key").withColumnRenamed("leader", "dedupe_key")
     scored = records.join(clean.source_counts(evidence), ["run_id", "dedupe_key"], "left")
     n_sources = F.coalesce("n_sources", F.lit(0))
     score = clean.confidence(
