@@ -9,13 +9,16 @@ from groundset.sources.store import (
     COMPACTED,
     RUN_VERSIONS,
     TABLES,
+    current_by_run,
     folders,
     last_compaction,
-    read_current,
     run_versions,
     table_path,
 )
 
+#: Rows are written once and stay: codec of the versions and of compacted rows.
+PACKED = "zstd"
+
 
 def append(df: DataFrame, root: str, name: str) -> None:
     df.select(*TABLES[name].fieldNames()).write.mode("append").parquet(table_path(root, name))
@@ -39,7 +42,7 @@ def replace_runs(tables: dict[str, DataFrame], root: str, touched: DataFrame, ve
 
 
 def _write_version(df: DataFrame, root: str, name: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(f"{table_path(root, name)}/version={version}")
+    df.write.mode("overwrite").option("compression", PACKED).parquet(f"{table_path(root, name)}/version={version}")
 
 
 def compact(spark: SparkSession, root: str, upto: int) -> None:
@@ -57,8 +60,8 @@ def compact(spark: SparkSession, root: str, upto: int) -> None:
         if not folders(spark, path, "version") and not folders(spark, path, COMPACTED):
             continue
         by = ["run_id", TABLES[name].fieldNames()[0]]
-        rows = read_current(spark, root, name, upto).repartitionByRange(*by).sortWithinPartitions(*by)
-        rows.write.mode("overwrite").parquet(f"{path}/{COMPACTED}={upto}")
+        rows = current_by_run(spark, root, name, upto).sortWithinPartitions(*by)
+        rows.write.mode("overwrite").option("compression", PACKED).parquet(f"{path}/{COMPACTED}={upto}")
     runs = run_versions(spark, root, settled, upto).select("run_id")
     if settled is not None:
         before = spark.read.schema("run_id string").parquet(f"{table_path(root, RUN_VERSIONS)}/{COMPACTED}={settled}")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundset.operators.skew import BROADCAST_KEYS, ROWS_PER_TASK
+from groundset.session import cut_lineage
+
 _S, _L, _I, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.TimestampType()
 
 
@@ -38,6 +41,8 @@ TABLES = {
 RUN_VERSIONS = "run_versions"
 # Folders `compacted=V` hold the rows that were current at version V.
 COMPACTED = "compacted"
+# Numbers that runs are dealt to by hash when their rows are counted.
+RUN_BUCKETS = 4096
 
 
 def table_path(root: str, name: str) -> str:
@@ -106,6 +111,39 @@ def read_current(spark: SparkSession, root: str, name: str, upto: int | None = N
     return settled.select(*TABLES[name].fieldNames()).unionByName(current)
 
 
+def current_by_run(spark: SparkSession, root: str, name: str, upto: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows of `read_current` in ranges of run ids: a run is in one partition, or in several if it has many rows.
+
+    The lists of runs travel with the rows, so each row is moved once: into its range, and not before that to meet them.
+    """
+    base, keys = last_compaction(spark, root), ["run_id"]
+    rows = _versions(spark, root, name, TABLES[name], base, upto).filter("run_id is not null")
+    path = f"{table_path(root, name)}/{COMPACTED}={base}"
+    if base is not None and _exists(spark, path):
+        settled = spark.read.schema(TABLES[name]).parquet(path)
+        rows = rows.unionByName(settled.withColumn("version", F.lit(None).cast("bigint")))
+    lists = _versions(spark, root, RUN_VERSIONS, _struct(run_id=_S), base, upto).filter("run_id is not null")
+    lists = lists.withColumnRenamed("version", "_newest").withColumn("_listed", F.lit(True))
+    # Few numbers are counted first, so that runs are only where one of them may have many rows.
+    bucket = F.pmod(F.xxhash64("run_id"), F.lit(RUN_BUCKETS)).cast("int")
+    counted = rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    full = [r["_bucket"] for r in counted.filter(F.col("_n") > rows_per_task).collect()]
+    sizes = rows.filter(bucket.isin(full)).groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
+    hot = cut_lineage(sizes.select("run_id", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
+    n_hot = hot.count()
+    if n_hot:
+        hot, salts = (F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot), F.coalesce("_salts", F.lit(1))
+        salt = F.pmod(F.xxhash64(TABLES[name].fieldNames()[0]), salts).cast("int")
+        rows = rows.join(hot, "run_id", "left").withColumn("_salt", salt).drop("_salts")
+        each = F.explode(F.sequence(F.lit(0), salts - 1))
+        lists = lists.join(hot, "run_id", "left").withColumn("_salt", each).drop("_salts")
+        keys.append("_salt")
+    ranged = rows.unionByName(lists, allowMissingColumns=True).repartitionByRange(*keys)
+    newest = F.max("_newest").over(Window.partitionBy(*keys))
+    found = ranged.withColumn("_newest", newest).filter(F.col("_listed").isNull() & F.col("version").eqNullSafe(F.col("_newest")))
+    return found.select(*TABLES[name].fieldNames())
+
+
 def stream_table(spark: SparkSession, root: str, name: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(TABLES[name])
     if max_files:
