@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 #: Words kept by a worker, longest word kept, and characters taken at once: they bound memory, not results.
 CACHED_WORDS, CACHED_LENGTH, BLOCK = 600_000, 64, 1_000_000
 NEVER = np.iinfo(np.int64).max
+#: Merges are looked up by a hash of both tokens: the slots of the table, and an odd number that spreads them.
+SLOT_BITS, SLOT_FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
 
 #: Characters whose case, class and normal form are the same in every Unicode version.
 PLAIN = "\x00-ɏ -⁯₠-₿"
@@ -83,6 +86,11 @@ class WordBpe:
         order = np.argsort(codes)
         self.codes = codes[order]
         self.code_rank = np.array([k for k, _ in self.merges.values()], np.int64)[order]
+        # Where the only merge of a slot stands in `codes`; -1 for a slot of several, which are searched for.
+        slots = self._slot(self.codes)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)
+        self.slots[slots] = np.arange(len(slots))
+        self.slots[np.flatnonzero(np.bincount(slots, minlength=1 << SLOT_BITS) > 1)] = -1
         marked = lambda t: t.removesuffix(self.end) + "\n" if t.endswith(self.end) else t
         self.length = np.array([len(marked(t)) for t in self.tokens], np.int64)
         self.finder = ahocorasick.Automaton()
@@ -105,9 +113,15 @@ class WordBpe:
 
     # -- compatibility of neighbours ---------------------------------------------------------------
 
+    @staticmethod
+    def _slot(code: np.ndarray) -> np.ndarray:
+        return (code.view(np.uint64) * SLOT_FACTOR >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
     def _merge_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         code = x * self.size + y
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        at = self.slots[self._slot(code)]
+        several = np.flatnonzero(at < 0)
+        at[several] = np.minimum(np.searchsorted(self.codes, code[several]), len(self.codes) - 1)
         return np.where(self.codes[at] == code, self.code_rank[at], NEVER)
 
     def _apart(self, x: np.ndarray, y: np.ndarray, until: np.ndarray) -> np.ndarray:
@@ -218,7 +232,7 @@ class WordBpe:
         # Line feeds never occur in words, so they can mark ends; no token goes beyond one.
         shown = ("\n".join(words) + "\n").encode().decode("latin-1").translate(self.byte_chars)
         ends = np.flatnonzero(np.frombuffer(shown.encode("utf-32-le"), "<u4") == 10)
-        found = np.array([*self.finder.iter_long(shown)], np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.finder.iter_long(shown)), np.int64).reshape(-1, 2)
         at, ids = found[:, 0], found[:, 1]
         word = np.searchsorted(ends, at)
         covered = np.bincount(word, self.length[ids], len(words)).astype(np.int64)

@@ -72,3 +72,13 @@ def test_query_against_the_library(spark, both):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         text = both[1].decode(ids, skip_special_tokens=False)
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_merges_are_looked_up_in_slots():
+    encoder = bpe.load(bpe.default_path())
+    assert (encoder.slots < 0).sum() < len(encoder.codes) // 20
+    known = np.array([*encoder.merges], np.int64)
+    other = np.random.default_rng(3).integers(0, encoder.size, (50_000, 2))
+    for x, y in (known.T, other.T):
+        want = [encoder.merges.get(p, (bpe.NEVER,))[0] for p in zip(x.tolist(), y.tolist(), strict=True)]
+        assert encoder._merge_rank(x.copy(), y.copy()).tolist() == want
