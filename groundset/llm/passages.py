@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundset.llm.components import components
-from groundset.llm.tables import written
+from groundset.llm.tables import dropped, written
 
 #: Words of a shingle, words of a paragraph.
 SHINGLE, WORDS = 5, 20
@@ -130,8 +130,11 @@ def shared_keys(named: DataFrame) -> DataFrame:
     texts = written(texts, "texts")
     each = texts.select("_text", "_low", "_high", F.explode("_keys").alias("_key"))
     several = each.groupBy("_key").agg(F.min("_low").alias("_p"), F.max("_high").alias("_q")).where("_p <> _q")
-    met = each.join(written(several.select("_key"), "several"), "_key", "left_semi")
-    return written(met.groupBy("_text", "_low", "_high").agg(F.collect_list("_key").alias("_shared")), "shared_keys")
+    several = written(several.select("_key"), "several")
+    met = each.select("_text", "_key").join(several, "_key", "left_semi").groupBy("_text").agg(F.collect_list("_key").alias("_shared"))
+    shared = written(met.join(texts.select("_text", "_low", "_high"), "_text"), "shared_keys")
+    dropped(texts, several)
+    return shared
 
 
 def shared_stretches(named: DataFrame) -> DataFrame:
@@ -164,9 +167,12 @@ def shared_stretches(named: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(k).take(of) for k in range(3)] + flat + lists, names=names)
 
     schema = "_text long, _low long, _high long, _at int, _key long, _halves array<long>, _start array<int>, _end array<int>"
-    asked = named.select("_text", "_own").join(shared_keys(named), "_text").dropDuplicates(["_text"])
+    shared = shared_keys(named)
+    asked = named.select("_text", "_own").join(shared, "_text").dropDuplicates(["_text"])
     found = asked.select("_text", "_low", "_high", "_shared", "_own").mapInArrow(run, schema)
-    return written(found.withColumn("_same", F.xxhash64("_halves")), "stretches")
+    stretches = written(found.withColumn("_same", F.xxhash64("_halves")), "stretches")
+    dropped(shared)
+    return stretches
 
 
 def repeated_pieces(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,8 +193,8 @@ def repeated_pieces(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     several = mixed.where("_kinds > 1").select("_key")
     lists = found.select(*own, "_halves").join(several, "_key", "left_semi").dropDuplicates(own)
-    each = written(kinds.select(*own, "_low", "_high").join(lists, own), "lists")
-    each = each.select(*own, "_low", "_high", F.posexplode("_halves").alias("_i", "_half"))
+    lists = written(kinds.select(*own, "_low", "_high").join(lists, own), "lists")
+    each = lists.select(*own, "_low", "_high", F.posexplode("_halves").alias("_i", "_half"))
     met = each.groupBy("_key", "_half").agg(F.min("_low").alias("_p"), F.max("_high").alias("_q")).where("_p <> _q")
     halves = each.select(*own, "_i", "_half").join(met.select("_key", "_half"), ["_key", "_half"], "left_semi")
     gap = F.col("_i") - F.row_number().over(Window.partitionBy(*own).orderBy("_i"))
@@ -197,7 +203,9 @@ def repeated_pieces(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     pieces = placed.groupBy(*own, "_gap", "_node").agg(F.min("_i").alias("_from"), F.max("_i").alias("_to"))
     shared = placed.groupBy("_key", "_half").agg(F.min("_node").alias("v"), F.max("_node").alias("_q")).where("v <> _q")
     links = placed.join(shared.select("_key", "_half", "v"), ["_key", "_half"]).select(F.col("_node").alias("u"), "v")
-    return written(alone.unionByName(pieces.drop("_gap")), "pieces"), links
+    pieces = written(alone.unionByName(pieces.drop("_gap")), "pieces")
+    dropped(kinds, mixed, lists)
+    return pieces, links
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,13 +229,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     starts = F.coalesce(F.col("_from") > F.lag("_to").over(own) + 1, F.lit(True))
     rows = rows.withColumn("_run", F.sum(starts.cast("int")).over(own))
     rows = written(rows.withColumn("_top", F.min("_node").over(Window.partitionBy("_text", "_run"))), "in_runs")
+    dropped(found, pieces)
     chained = rows.select(F.col("_node").alias("u"), F.col("_top").alias("v"))
     parts = components(met.unionByName(chained).where("u <> v").distinct())
+    dropped(met)
 
     runs = rows.groupBy("_text", "_run", "_low", "_top").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     linked = parts.select(F.col("node").alias("_top"), F.col("component").alias("_part"))
     runs = runs.join(linked, "_top", "left").withColumn("_part", F.coalesce("_part", "_top"))
     runs = written(runs.select("_text", "_low", "start", "end", "_part"), "runs")
+    dropped(rows)
     keepers = runs.groupBy("_part").agg(F.min("_low").alias("_keep"))
     back = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return runs.join(keepers, "_part").join(named.select("_id", "_text"), "_text").select(

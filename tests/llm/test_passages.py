@@ -1,8 +1,10 @@
+import os
 import random
 
 import numpy as np
 
 from groundset.llm import passages
+from groundset.session import shared_dir
 
 
 def _words(seed, n):
@@ -118,3 +120,15 @@ def test_keys_depend_on_content_alone():
     a = passages.paragraphs_of(" ".join(_words(9, 100)))
     b = passages.paragraphs_of("\n".join(_words(9, 100)).upper())
     assert all(np.array_equal(a[i], b[i]) for i in (2, 3, 4))
+
+
+def test_intermediate_tables_are_dropped(spark):
+    """Only the runs, which the result reads, are left of what was written on the way."""
+    shared_dir(spark)
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    rows = [(i, " ".join(_words(1, 40) + _words(10 + i, 30))) for i in range(4)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before if not n.startswith(".")}
+    names = {"texts", "several", "shared_keys", "stretches", "kinds", "mixed", "lists", "in_pieces", "pieces", "in_runs"}
+    assert len(found) == 4 and "runs" in left and not left & names, left
