@@ -13,8 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ PER = WORDS - SHINGLE + 1
 HALF, BANDS = PER - 1, 2
 #: Stands for a null id, after all others.
 NO_ID = 2**63 - 1
-#: Texts taken from a batch at once: they bound memory, not results.
-SLICE = 256
+#: Texts taken from a batch at once, and their bytes unless it is one text: they bound memory, not results.
+SLICE, SLICE_BYTES = 256, 2_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -37,11 +37,26 @@ _FACTORS = np.random.default_rng(5).integers(0, 2**63, 64, np.uint64) * np.uint6
 
 
 def _shingles(words: list[bytes]) -> np.ndarray:
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    spans = zip((ends - sizes)[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)
-    return np.array([digest(line[a:b]) for a, b in spans], np.uint64)
+    """A hash of each shingle, made of the hashes of its words, as each word is part of several."""
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    many = len(words) - SHINGLE + 1
+    hashes = np.zeros(many, np.uint64)
+    for j in range(SHINGLE):
+        hashes += own[j : j + many] * _FACTORS[j]
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * _FACTORS[PER + 1]
+    return hashes ^ (hashes >> np.uint64(29))
+
+
+def _least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least value, the first of equal ones, in each window of `width` values; windows double."""
+    place, least, wide = np.arange(len(values)), values, 1
+    while wide < width:
+        step = min(wide, width - wide)
+        later = least[step:] < least[:-step]
+        place = np.where(later, place[step:], place[:-step])
+        least = np.where(later, least[step:], least[:-step])
+        wide += step
+    return place
 
 
 def _banded(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,20 +66,25 @@ def _banded(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for j in range(HALF):
         half += hashes[j : j + many] * _FACTORS[j]
     mixed = (hashes ^ (hashes >> np.uint64(29))) * _FACTORS[PER]
-    place = sliding_window_view(mixed, HALF).argmin(axis=1) + np.arange(many)
+    place = _least_places(mixed, HALF)
     return half.view(np.int64), mixed[place].view(np.int64), place
 
 
-def _words(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words of a text in lower case, and where they begin and end in it (characters)."""
-    raw = (text or "").encode()
+def _words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts in lower case, the number of their text, and where they begin and end in it (characters)."""
+    own = [(t or "").encode() for t in texts]
+    raw = b"\n".join(own)
     data = np.frombuffer(raw, np.uint8)
-    inside = ~_BLANK[data]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # Bytes that continue a character don't count as characters.
-    shift = np.append(0, np.cumsum((data & 0xC0) == 0x80))
-    return raw.translate(_LOWER).split(), begins - shift[begins], ends - shift[ends]
+    inside = np.concatenate([[False], ~_BLANK[data], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    begins, ends = edge[::2], edge[1::2]
+    starts = np.cumsum([0, *(len(r) + 1 for r in own[:-1])])
+    text = np.searchsorted(starts, begins, "right") - 1
+    if not raw.isascii():
+        # Bytes that continue a character don't count as characters.
+        shift = np.append(0, np.cumsum((data & 0xC0) == 0x80))
+        begins, ends, starts = (at - shift[at] for at in (begins, ends, starts))
+    return raw.translate(_LOWER).split(), text, begins - starts[text], ends - starts[text]
 
 
 def paragraphs_of(text: str | None) -> tuple[np.ndarray, ...]:
@@ -72,7 +92,7 @@ def paragraphs_of(text: str | None) -> tuple[np.ndarray, ...]:
 
     Head and tail are hashes of all shingles but the last and all but the first: the two halves.
     """
-    words, begins, ends = _words(text)
+    words, _, begins, ends = _words([text])
     if len(words) < WORDS:
         return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, BANDS), np.int64))
     half, key, _ = _banded(_shingles(words))
@@ -80,32 +100,54 @@ def paragraphs_of(text: str | None) -> tuple[np.ndarray, ...]:
     return begins[: len(keys)], ends[WORDS - 1 :], half[:-1], half[1:], keys
 
 
-def stretches_of(text: str | None) -> tuple[np.ndarray, ...]:
-    """The halves of a text, in stretches of neighbours whose key comes from one shingle.
+def stretches_of(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """The halves of texts, in stretches of neighbours whose key comes from one shingle.
 
-    First the number of the first half and the key of each stretch, then hash, start and end (characters) of each half.
+    First the number of the text, the number of the first half in it, the key and the size of each stretch, then hash,
+    start and end (characters) of each half, stretch by stretch. The texts are hashed as one line of words; halves that
+    reach into the next text are none.
     """
-    words, begins, ends = _words(text)
+    words, text, begins, ends = _words(texts)
     if len(words) < WORDS:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     half, key, place = _banded(_shingles(words))
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    return first, key[first], half, begins[: len(half)], ends[WORDS - 2 :]
-
-
-def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, ...]]]]:
-    """Rows whose text has any stretch, with the stretches, some at a time."""
-    for at in range(0, len(batch), SLICE):
-        part = batch.slice(at, SLICE)
-        own = [stretches_of(t) for t in part.column(text_at).to_pylist()]
-        long = [k for k, o in enumerate(own) if len(o[0])]
-        if long:
-            yield part.take(pa.array(long)), [own[k] for k in long]
-
-
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), kind))
+    many = np.bincount(text, minlength=len(texts))
+    ahead = HALF + SHINGLE - 2
+    at = np.flatnonzero((text[: len(half)] == text[ahead:]) & (many >= WORDS)[text[: len(half)]])
+    first = np.flatnonzero(np.diff(place[at], prepend=-1))
+    of = text[at[first]]
+    number = at[first] - (np.cumsum(many) - many)[of]
+    sizes = np.diff(first, append=len(at))
+    return of, number, key[at[first]], sizes, half[at], begins[at], ends[at + ahead]
+
+
+def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
+    """Rows with the stretches of their texts, some rows at a time."""
+    sizes = pa.compute.binary_length(batch.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(batch):
+        fit = np.searchsorted(ends, ends[at] - sizes[at] + SLICE_BYTES, "right") - at
+        part = batch.slice(at, min(max(int(fit), 1), SLICE))
+        found = stretches_of(part.column(text_at).to_pylist())
+        if len(found[0]):
+            yield part, found
+        at += len(part)
+
+
+def _asked(shared: pa.ListArray, of: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which stretches have a key that is among the shared ones of their own text."""
+    wanted = shared.flatten().to_numpy()
+    if not len(wanted):
+        return np.zeros(len(key), bool)
+    row = np.repeat(np.arange(len(shared)), pa.compute.list_value_length(shared).to_numpy(zero_copy_only=False))
+    known, place = np.unique(wanted, return_inverse=True)
+    mine = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return (known[mine] == key) & np.isin(mine * len(shared) + of, place * len(shared) + row)
+
+
+def _lists(values: np.ndarray, kind: pa.DataType, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,9 +163,15 @@ def shared_keys(named: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, found in _slices(batch, 2):
-                keys = _lists([np.unique(o[1]) for o in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), keys], names=["_id", "_text", "_keys"])
+            for rows, (of, _, key, *_) in _slices(batch, 2):
+                order = np.lexsort((key, of))
+                of, key = of[order], key[order]
+                new = (np.diff(of, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0)
+                sizes = np.bincount(of[new])
+                own = np.flatnonzero(sizes)
+                keys = _lists(key[new], pa.int64(), sizes[own])
+                told = [rows.column(k).take(pa.array(own)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*told, keys], names=["_id", "_text", "_keys"])
 
     filed = named.mapInArrow(run, "_id long, _text long, _keys array<long>")
     texts = filed.groupBy("_text").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.first("_keys").alias("_keys"))
@@ -148,22 +196,15 @@ def shared_stretches(named: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, found in _slices(batch, 4):
-                of, columns = [], [[] for _ in range(5)]
-                for k, (shared, own) in enumerate(zip(rows.column(3), found, strict=True)):
-                    first, key, *halves = own
-                    asked = np.flatnonzero(np.isin(key, shared.values.to_numpy()))
-                    ends = np.append(first[1:], len(halves[0]))
-                    of.append(np.full(len(asked), k))
-                    for into, values in zip(columns, (first[asked], key[asked]), strict=False):
-                        into.append(values)
-                    for into, values in zip(columns[2:], halves, strict=True):
-                        into += [values[first[i] : ends[i]] for i in asked.tolist()]
-                of = pa.array(np.concatenate(of))
-                if not len(of):
+            for rows, (of, number, key, sizes, *halves) in _slices(batch, 4):
+                asked = _asked(rows.column(3), of, key)
+                if not asked.any():
                     continue
-                flat = [pa.array(np.concatenate(c), t) for c, t in zip(columns[:2], (pa.int32(), pa.int64()), strict=True)]
-                lists = [_lists(c, t) for c, t in zip(columns[2:], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                within = np.repeat(asked, sizes)
+                of, sizes = pa.array(of[asked]), sizes[asked]
+                flat = [pa.array(number[asked], pa.int32()), pa.array(key[asked], pa.int64())]
+                kinds = (pa.int64(), pa.int32(), pa.int32())
+                lists = [_lists(h[within], t, sizes) for h, t in zip(halves, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(k).take(of) for k in range(3)] + flat + lists, names=names)
 
     schema = "_text long, _low long, _high long, _at int, _key long, _halves array<long>, _start array<int>, _end array<int>"

@@ -132,3 +132,29 @@ def test_intermediate_tables_are_dropped(spark):
     left = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before if not n.startswith(".")}
     names = {"texts", "several", "shared_keys", "stretches", "kinds", "mixed", "lists", "in_pieces", "pieces", "in_runs"}
     assert len(found) == 4 and "runs" in left and not left & names, left
+
+
+def test_texts_of_a_slice_are_taken_apart_together(monkeypatch):
+    """Each word is hashed once, not once for each shingle it is in, and no half reaches into the next text."""
+    texts = [" ".join(_words(k, n)) for k, n in enumerate((19, 20, 300, 0, 3, 45))] + [None, "Ä é " * 30, "a b " * 25]
+    whole, hashed = passages.xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(passages.xxhash, "xxh64_intdigest", lambda w: hashed.append(w) or whole(w))
+    of, number, key, sizes, half, start, end = passages.stretches_of(texts)
+    assert hashed == [w for t in texts for w in (t or "").encode().lower().split()]
+    rows, at = np.repeat(of, sizes), np.concatenate([n + np.arange(m) for n, m in zip(number, sizes, strict=True)])
+    words = [(t or "").split() for t in texts]
+    assert list(zip(rows, at, strict=True)) == [(k, i) for k, w in enumerate(words) if len(w) > 19 for i in range(len(w) - 18)]
+    for k, i, a, b in zip(rows, at, start, end, strict=True):
+        assert texts[k][a:b].split() == words[k][i : i + 19]
+    same = {}
+    for k, i, h in zip(rows, at, half, strict=True):
+        assert same.setdefault(tuple(words[k][i : i + 19]), h) == h
+    assert len(set(same.values())) == len(same)
+    assert all(len(p) == 0 for p in passages.stretches_of([None, "short"]))
+
+
+def test_least_places_against_windows():
+    draw = np.random.default_rng(3)
+    for width in (1, 2, 3, 15):
+        values = draw.integers(0, 6, 200)
+        assert passages._least_places(values, width).tolist() == [i + values[i : i + width].argmin() for i in range(201 - width)]
