@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundset.functions.similarity import is_similar, max_distance, may_be_similar, reaches_lcs
+from groundset.operators.skew import with_prefix
 from groundset.session import cut_lineage
 
 # Fixed value: score at which two keys are the same record.
@@ -39,9 +40,11 @@ LONG_KEY, BLOCK, BLOCK_CHARS = 48, 4096, 250_000
 GRAM = 2
 #: Sizes of the grams that long keys are counted by, each with the counters its grams are dealt to.
 GRAM_COUNTERS = ((1, 64), (2, 512), (3, 2048))
-#: Counters compared at a time, so that a task's arrays stay small.
-AT_ONCE = 4_000_000
+#: Counters compared at a time, and rows whose sketches are compared with a block, so that a task's arrays stay small.
+AT_ONCE, ROWS_AT_ONCE = 4_000_000, 64
 PEEL_ROUNDS = 8
+#: Strings of a run whose leaders are found first; each later wave has as many as all before it.
+WAVE = 16_384
 
 
 def _longest_partner(length: Column, threshold: int) -> Column:
@@ -195,6 +198,19 @@ def _postings(nodes: DataFrame, threshold: int, hot_pairs: int) -> DataFrame:
     return rows.join(met, ["run_id", "sig"])
 
 
+def _postings_between(heads: DataFrame, later: DataFrame, threshold: int, hot_pairs: int) -> DataFrame:
+    """Signature rows of `heads` (`early`) and `later` that can meet a partner on the other side, with their salts."""
+    rows = _union(
+        [make(df, threshold).withColumn("early", F.lit(early)) for df, early in ((heads, True), (later, False)) for make in (_index_rows, _probe_rows)]
+    )
+    early, shorter = F.col("early"), F.col("shorter")
+    sides = {"es": early & shorter, "el": early & ~shorter, "ls": ~early & shorter, "ll": ~early & ~shorter}
+    met = rows.groupBy("run_id", "sig").agg(*[F.count_if(c).alias(n) for n, c in sides.items()])
+    work = F.col("es") * F.col("ll") + F.col("ls") * F.col("el")
+    salts = F.greatest(F.lit(1), F.least(F.ceil(work / hot_pairs), F.greatest("es", "ls"))).cast("int")
+    return rows.join(met.filter(work > 0).select("run_id", "sig", salts.alias("salts")), ["run_id", "sig"])
+
+
 def _candidates(earlier: DataFrame, later: DataFrame, threshold: int) -> DataFrame:
     """Distinct (a, b), a < b, of rows meeting on a signature in opposite roles.
 
@@ -238,74 +254,103 @@ def _gram_counts(strings: list[str], size: int, counters: int) -> np.ndarray:
     return np.bincount(place, minlength=len(strings) * counters).reshape(len(strings), counters).astype(np.int32)
 
 
+def _gram_bits(strings: list[str]) -> np.ndarray:
+    """Per string, which of the counters of its grams are odd, in words of 64 bits."""
+    return np.packbits(_gram_counts(strings, GRAM, 256) % 2 == 1, axis=1).view(np.uint64)
+
+
 def _similar_in_blocks(one: pa.Table, other: pa.Table, same: bool, threshold: int) -> list[tuple[int, int]]:
     """Similar pairs of rows (idx, len, sketch, s) of two blocks, or of one block with itself.
 
     Strings within d edits differ in at most d bits of the sketch, and an edit takes at most q grams of size q out
-    and puts q - 1 in, or the other way round: the counts differ by (2q - 1) d at most. What no bound
-    excludes is scored.
+    and puts q - 1 in, or the other way round: the counts differ by (2q - 1) d at most, and so do their odd ones.
+    What no bound excludes is scored.
     """
     one, other = (t.sort_by("len") for t in (one, other))
     names, strings = ([t[c].to_pylist() for t in (one, other)] for c in ("idx", "s"))
-    lengths, prints = ([t[c].to_numpy() for t in (one, other)] for c in ("len", "sketch"))
+    lengths, prints = ([t[c].to_numpy().astype(np.int64, copy=False) for t in (one, other)] for c in ("len", "sketch"))
     bits = [p.view(np.uint64) for p in prints]
     low = np.searchsorted(lengths[1], -(-lengths[0] * threshold // (200 - threshold)))
     high = np.searchsorted(lengths[1], lengths[0] * (200 - threshold) // threshold, "right")
-    counts = [[_gram_counts(s, *c) for c in GRAM_COUNTERS] for s in strings] if (low < high).any() else []
-    found = []
-    for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
-        first = max(a, i + 1) if same else a
-        if first >= b:
+    if not (low < high).any():
+        return []
+    odd = [_gram_bits(s) for s in strings]
+    left, right = [], []
+    for at in range(0, len(low), ROWS_AT_ONCE):
+        mine = slice(at, at + ROWS_AT_ONCE)
+        a, b = int(low[mine].min()), int(high[mine].max())
+        a = max(a, at + 1) if same else a
+        if a >= b:
             continue
-        edits = (lengths[1][first:b] + lengths[0][i]) * (100 - threshold) // 100
-        near = np.flatnonzero(np.bitwise_count(bits[1][first:b] ^ bits[0][i]) <= edits)
-        for k, (size, counters) in enumerate(GRAM_COUNTERS):
-            step, kept = max(AT_ONCE // counters, 1), []
-            for at in range(0, len(near), step):
-                part = near[at : at + step]
-                apart = np.abs(counts[1][k][first + part] - counts[0][k][i]).sum(axis=1)
-                kept.append(part[apart <= (2 * size - 1) * edits[part]])
-            near = np.concatenate(kept) if kept else near
-        if len(near):
-            close = reaches_lcs(strings[0][i], [strings[1][j] for j in (first + near).tolist()], threshold)
-            found += [(names[0][i], names[1][j]) for j, yes in zip((first + near).tolist(), close, strict=True) if yes]
+        most = int((lengths[0][mine].max() + lengths[1][b - 1]) * (100 - threshold) // 100)
+        i, j = np.nonzero(np.bitwise_count(bits[1][a:b] ^ bits[0][mine, None]) <= most)
+        i, j = i + at, j + a
+        edits = (lengths[0][i] + lengths[1][j]) * (100 - threshold) // 100
+        kept = (np.bitwise_count(bits[1][j] ^ bits[0][i]) <= edits) & (low[i] <= j) & (j < high[i])
+        kept &= (np.bitwise_count(odd[1][j] ^ odd[0][i]).sum(axis=1) <= (2 * GRAM - 1) * edits) & ((i < j) | (not same))
+        left.append(i[kept])
+        right.append(j[kept])
+    i, j = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (left, right))
+    for size, counters in GRAM_COUNTERS if len(i) else ():
+        counts = [_gram_counts(s, size, counters) for s in strings]
+        step, kept = max(AT_ONCE // counters, 1), []
+        for at in range(0, len(i), step):
+            x, y = i[at : at + step], j[at : at + step]
+            edits = (lengths[0][x] + lengths[1][y]) * (100 - threshold) // 100
+            kept.append(np.abs(counts[1][y] - counts[0][x]).sum(axis=1) <= (2 * size - 1) * edits)
+        kept = np.concatenate(kept) if kept else np.zeros(0, bool)
+        i, j = i[kept], j[kept]
+    found, ends = [], np.flatnonzero(np.diff(i, append=-1)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+        k, others = int(i[a]), j[a:b].tolist()
+        close = reaches_lcs(strings[0][k], [strings[1][n] for n in others], threshold)
+        found += [(names[0][k], names[1][n]) for n, yes in zip(others, close, strict=True) if yes]
     return found
 
 
-def _long_pairs(strings: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
-    """All similar pairs `(run_id, a, b)`, a < b, of strings longer than LONG_KEY.
+def _in_blocks(strings: DataFrame, threshold: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Strings longer than LONG_KEY with their class of lengths and block, and the number of blocks of each class."""
+    width = max(math.log((200 - threshold) / threshold) / 2, 1e-3)
+    rows = strings.filter(F.col("len") > LONG_KEY).select("run_id", "idx", "len", "sketch", "s")
+    rows = rows.withColumn("class", F.floor(F.log("len") / width).cast("int"))
+    needed = F.greatest(F.count(F.lit(1)) / block, F.sum("len") / BLOCK_CHARS)
+    sizes = cut_lineage(rows.groupBy("run_id", "class").agg(F.ceil(needed).cast("int").alias("blocks")))
+    rows = rows.join(sizes, ["run_id", "class"]).withColumn("block", F.pmod(F.xxhash64("idx"), "blocks").cast("int"))
+    return rows.drop("blocks"), sizes
+
+
+def _long_pairs(strings: DataFrame, threshold: int, block: int = BLOCK, others: DataFrame | None = None) -> DataFrame:
+    """All similar pairs `(run_id, a, b)`, a < b, of strings longer than LONG_KEY: of each other, or of `others`.
 
     Rows of a run fall into length classes, so wide that a partner is in the same class or one of the next two, and
     within a class into blocks of about `block` rows, fewer if they are long. Each pair of blocks is one group: its rows are
     bounded however large the run is, and no key or gram decides where a row goes. The work still grows with the
     square of a run.
     """
-    ratio = (200 - threshold) / threshold
-    width = max(math.log(ratio) / 2, 1e-3)
-    rows = strings.filter(F.col("len") > LONG_KEY).select("run_id", "idx", "len", "sketch", "s")
-    rows = rows.withColumn("class", F.floor(F.log("len") / width).cast("int"))
-    needed = F.greatest(F.count(F.lit(1)) / block, F.sum("len") / BLOCK_CHARS)
-    sizes = cut_lineage(rows.groupBy("run_id", "class").agg(F.ceil(needed).cast("int").alias("blocks")))
-    rows = rows.join(sizes, ["run_id", "class"]).withColumn("block", F.pmod(F.xxhash64("idx"), "blocks").cast("int")).drop("blocks")
+    rows, sizes = _in_blocks(strings, threshold, block)
+    other_rows, other_sizes = (rows, sizes) if others is None else _in_blocks(others, threshold, block)
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ours = sizes.select("run_id", F.col("class"), each.alias("block"))
-    theirs = sizes.select("run_id", F.col("class").alias("class2"), each.alias("block2"))
+    theirs = other_sizes.select("run_id", F.col("class").alias("class2"), each.alias("block2"))
     # One class more than the widths ask for, as logarithms are rounded.
-    reach = F.col("class2").between(F.col("class"), F.col("class") + 3)
-    ordered = (F.col("class") < F.col("class2")) | (F.col("block") <= F.col("block2"))
-    met = ours.join(theirs, "run_id").filter(reach & ordered)
+    met = F.col("class2").between(F.col("class") - 3, F.col("class") + 3)
+    if others is None:
+        met &= (F.col("class") < F.col("class2")) | ((F.col("class") == F.col("class2")) & (F.col("block") <= F.col("block2")))
+    met = ours.join(theirs, "run_id").filter(met)
     met = met.withColumn("pair", F.struct("class", "block", "class2", "block2"))
     left = rows.join(met.select("run_id", "class", "block", "pair"), ["run_id", "class", "block"])
-    right = rows.join(
-        met.filter("class <> class2 or block <> block2").select("run_id", F.col("class2").alias("class"), F.col("block2").alias("block"), "pair"),
+    apart = met if others is not None else met.filter("class <> class2 or block <> block2")
+    right = other_rows.join(
+        apart.select("run_id", F.col("class2").alias("class"), F.col("block2").alias("block"), "pair"),
         ["run_id", "class", "block"],
     )
     dealt = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
     schema = T.StructType([strings.schema["run_id"], T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    alone = others is None
 
     def compare(group: pa.Table) -> pa.Table:
         pair = group["pair"][0].as_py()
-        same = (pair["class"], pair["block"]) == (pair["class2"], pair["block2"])
+        same = alone and (pair["class"], pair["block"]) == (pair["class2"], pair["block2"])
         one, other = (group.filter(pa.compute.equal(group["side"], s)) for s in (0, 0 if same else 1))
         found = _similar_in_blocks(one, other, same, threshold)
         run = pa.array([group["run_id"][0].as_py()] * len(found), group.schema.field("run_id").type)
@@ -407,18 +452,8 @@ def _absorbed_nodes(edges: DataFrame) -> list[DataFrame]:
     return absorbed
 
 
-def leaders_of(
-    nodes: DataFrame,
-    threshold: int = MERGE_THRESHOLD,
-    hot_pairs: int = HOT_PAIRS,
-    peel_rounds: int = PEEL_ROUNDS,
-) -> DataFrame:
-    """`(run_id, idx, leader)` for every node that is not its own leader.
-
-    Taken in order of `idx`, a node leads unless an earlier leader is similar; an absorbed node
-    belongs to its earliest similar leader. Nodes with an empty string stay alone.
-    """
-    strings = _distinct_strings(nodes)
+def _settled(strings: DataFrame, threshold: int, hot_pairs: int, peel_rounds: int) -> DataFrame:
+    """`(run_id, idx, top)`: the earliest similar leader of every string that does not lead, among `strings` alone."""
     postings = cut_lineage(_postings(strings, threshold, hot_pairs))
     long = cut_lineage(_long_pairs(strings, threshold))
     live, gone, matches = _peel(postings, strings, long, threshold, hot_pairs, peel_rounds)
@@ -433,12 +468,61 @@ def leaders_of(
     links = _union([edges, *matches])
     followers = [*absorbed, *[m.select("run_id", "b") for m in matches]]
     if not followers:
-        by_string = strings.select("run_id", "s", F.lit(None).cast("bigint").alias("top")).limit(0)
-    else:
-        not_leading = _union(followers).distinct()
-        from_leader = links.join(not_leading.withColumnRenamed("b", "a"), ["run_id", "a"], "left_anti")
-        best = from_leader.groupBy("run_id", "b").agg(F.min("a").alias("top"))
-        by_string = strings.join(best.withColumnRenamed("b", "idx"), ["run_id", "idx"]).select("run_id", "s", "top")
+        return strings.select("run_id", "idx", F.lit(None).cast("bigint").alias("top")).limit(0)
+    not_leading = _union(followers).distinct()
+    from_leader = links.join(not_leading.withColumnRenamed("b", "a"), ["run_id", "a"], "left_anti")
+    return from_leader.groupBy("run_id", F.col("b").alias("idx")).agg(F.min("a").alias("top"))
+
+
+def _followers(heads: DataFrame, later: DataFrame, threshold: int, hot_pairs: int) -> DataFrame:
+    """`(run_id, idx, top)`: the earliest of `heads` that is similar, for every string of `later` that has one."""
+    postings = cut_lineage(_postings_between(heads, later, threshold, hot_pairs))
+    met = _candidates(postings.filter("early"), postings.filter("not early"), threshold)
+    links = _verified(met, heads.unionByName(later), threshold).unionByName(_long_pairs(heads, threshold, others=later))
+    return links.groupBy("run_id", F.col("b").alias("idx")).agg(F.min("a").alias("top"))
+
+
+def _tops(strings: DataFrame, threshold: int, hot_pairs: int, peel_rounds: int, wave: int) -> list[DataFrame]:
+    """`(run_id, idx, top)` of the strings that do not lead, wave by wave.
+
+    A wave holds the next strings of each run in their order, as many as all before it. Its leaders absorb all later
+    strings like them before these are compared with each other, so that near copies cost a comparison with
+    their leader instead of all their pairs. About log2 of the largest run's strings over `wave` rounds.
+    """
+    most = strings.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
+    if most <= wave:
+        return [_settled(strings, threshold, hot_pairs, peel_rounds)]
+    placed = with_prefix(strings, ["run_id"], ["idx"], count="place")
+    number = F.when(F.col("place") <= wave, 0).otherwise(F.ceil(F.log2(F.col("place") / wave)).cast("int"))
+    alive = cut_lineage(placed.withColumn("wave", number).drop("place"))
+    last = alive.agg(F.max("wave")).first()[0]
+    tops = []
+    for k in range(last + 1):
+        now, later = alive.filter(F.col("wave") == k), alive.filter(F.col("wave") > k)
+        own = cut_lineage(_settled(now.drop("wave"), threshold, hot_pairs, peel_rounds))
+        tops.append(own)
+        if k < last:
+            heads = now.join(own, ["run_id", "idx"], "left_anti")
+            tops.append(cut_lineage(_followers(heads.drop("wave"), later.drop("wave"), threshold, hot_pairs)))
+            alive = cut_lineage(later.join(tops[-1], ["run_id", "idx"], "left_anti"))
+    return tops
+
+
+def leaders_of(
+    nodes: DataFrame,
+    threshold: int = MERGE_THRESHOLD,
+    hot_pairs: int = HOT_PAIRS,
+    peel_rounds: int = PEEL_ROUNDS,
+    wave: int = WAVE,
+) -> DataFrame:
+    """`(run_id, idx, leader)` for every node that is not its own leader.
+
+    Taken in order of `idx`, a node leads unless an earlier leader is similar; an absorbed node
+    belongs to its earliest similar leader. Nodes with an empty string stay alone.
+    """
+    strings = _distinct_strings(nodes)
+    tops = _union(_tops(strings, threshold, hot_pairs, peel_rounds, wave))
+    by_string = strings.join(tops, ["run_id", "idx"]).select("run_id", "s", "top")
     first = strings.select("run_id", "s", F.col("idx").alias("first"))
     placed = nodes.filter(F.length("s") > 0).join(first, ["run_id", "s"]).join(by_string, ["run_id", "s"], "left")
     return placed.select("run_id", "idx", F.coalesce("top", "first").alias("leader")).filter("leader != idx")

@@ -57,3 +57,32 @@ def test_leaders_of_short_and_long_keys_equal_the_sequential_pass(spark, hot_pai
     nodes = spark.createDataFrame([(7, i, s) for i, s in enumerate(keys)], "run_id int, idx long, s string")
     assert {r.idx: r.leader for r in fuzzy.leaders_of(nodes, hot_pairs=hot_pairs).collect()} == want
     assert any(len(keys[i]) > 48 >= len(keys[j]) or len(keys[j]) > 48 >= len(keys[i]) for j, i in want.items())
+
+
+@pytest.mark.parametrize("wave", [5, 40])
+def test_waves_give_the_leaders_of_the_sequential_pass(spark, wave):
+    keys = list(dict.fromkeys(_keys(8, 120, (34, 35, 36, 37, 38, 90))))
+    want = {}
+    for i, s in enumerate(keys):
+        if i not in want:
+            want |= {j: i for j in range(i + 1, len(keys)) if j not in want and _similar(s, keys[j])}
+    rows = [(7, i, s) for i, s in enumerate(keys)] + [(8, i, s) for i, s in enumerate(keys[:3])]
+    nodes = spark.createDataFrame(rows, "run_id int, idx long, s string")
+    got = {(r.run_id, r.idx): r.leader for r in fuzzy.leaders_of(nodes, wave=wave).collect()}
+    assert {i: top for (run, i), top in got.items() if run == 7} == want and wave < len(keys)
+    assert any(len(keys[i]) > 48 >= len(keys[j]) or len(keys[j]) > 48 >= len(keys[i]) for j, i in want.items())
+
+
+def test_long_near_copies_meet_their_leader_alone(spark, monkeypatch):
+    """All pairs of near copies were formed, scored and written: their number grew with the square of a run."""
+    pairs, whole = [], fuzzy._long_pairs
+
+    def counted(*args, **named):
+        pairs.append(whole(*args, **named).localCheckpoint())
+        return pairs[-1]
+
+    monkeypatch.setattr(fuzzy, "_long_pairs", counted)
+    rows = [(1, i, f"{i:04d} " + "the page of one shop and all of its other pages " * 2) for i in range(300)]
+    found = fuzzy.leaders_of(spark.createDataFrame(rows, "run_id int, idx long, s string"), wave=16)
+    assert {(r.idx, r.leader) for r in found.collect()} == {(i, 0) for i in range(1, 300)}
+    assert sum(p.count() for p in pairs) < 16 * 16 // 2 + 300
