@@ -12,6 +12,9 @@ from groundset.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Removes the shuffle files of a statement at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,11 +32,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, safe from lost executors, its size known.
 
-    Its size lets Spark choose between broadcasting and shuffling it.
+    Its size lets Spark choose between broadcasting and shuffling it. The shuffle files it was made from go at once, as
+    later steps read the table: else they stand until the driver's JVM happens to collect what refers to them.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(*tables: DataFrame) -> None:

@@ -1,9 +1,11 @@
 import os
 import random
+import time
 
 import numpy as np
 
 from groundset.llm import passages
+from groundset.llm.tables import CLEANUP, written
 from groundset.session import shared_dir
 
 
@@ -158,3 +160,15 @@ def test_least_places_against_windows():
     for width in (1, 2, 3, 15):
         values = draw.integers(0, 6, 200)
         assert passages._least_places(values, width).tolist() == [i + values[i : i + width].argmin() for i in range(201 - width)]
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString(" ").split() if f.endswith(".data") and "/shuffle_" in f}
+    setting, before = spark.conf.get(CLEANUP, None), held()
+    table = written(spark.range(1000).repartition(7), "shuffled")
+    until = time.monotonic() + 10
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not held() - before and table.count() == 1000
+    assert spark.conf.get(CLEANUP, None) == setting
