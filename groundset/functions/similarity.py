@@ -7,7 +7,9 @@ Thresholds are compared in whole numbers, so no rounding decides a borderline pa
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +71,103 @@ def reaches_lcs(first: str, others: list[str], threshold: int) -> list[bool]:
     return [reaches(other) for other in others]
 
 
+#: Rows of a string in one word; the highest bit takes the carry.
+WORD = 63
+FULL_WORD = np.uint64((1 << WORD) - 1)
+#: Pairs scored at a time, and the words their rows may take.
+PAIRS_AT_ONCE, WORDS_AT_ONCE = 32_768, 4_000_000
+
+
+class Side:
+    """Strings of one side, as numbers of their characters (below `size`), for `reach_lcs`."""
+
+    def __init__(self, numbers: np.ndarray, lengths: np.ndarray, size: int):
+        self.lengths, self.size, self._numbers = lengths, size, numbers
+        self._row = np.repeat(np.arange(len(lengths)), lengths)
+        self._place = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+    @cached_property
+    def masks(self) -> np.ndarray:
+        """Word by word, where each string has each character. The character after the last is nowhere."""
+        width = self.size + 1
+        words = int(self.lengths.max()) // WORD + 1
+        masks = np.zeros((words, len(self.lengths) * width), np.uint64)
+        bits = np.uint64(1) << (self._place % WORD).astype(np.uint64)
+        np.bitwise_or.at(masks, (self._place // WORD, self._row * width + self._numbers), bits)
+        return masks
+
+    @cached_property
+    def columns(self) -> np.ndarray:
+        """Character by character, those of all strings; an ended string has the character after the last."""
+        columns = np.full((int(self.lengths.max()), len(self.lengths)), self.size, np.int64)
+        columns[self._place, self._row] = self._numbers
+        return columns
+
+
+def reach_lcs(one: Side, other: Side, i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+    """`reaches_lcs` of the pairs (i[k] of `one`, j[k] of `other`), many in one step: a lane is a pair.
+
+    The strings of `other` are read along those of `one`. A lane ends once its text has left out more than it can spare.
+    What it has left out so far can't be taken back, so matches further ahead than the rest allows don't count.
+    """
+    reached = np.zeros(len(i), bool)
+    n, m = one.lengths[i], other.lengths[j]
+    needed = _required_lcs(threshold, n + m)
+    able = np.flatnonzero((n >= needed) & (m >= needed))
+    able = able[np.lexsort((n[able], m[able]))]
+    lanes = min(PAIRS_AT_ONCE, max(WORDS_AT_ONCE // (int(n.max(initial=0)) // WORD + 1), 1))
+    for at in range(0, len(able), lanes):
+        own = able[at : at + lanes]
+        reached[own] = _reach_in_lanes(one, other, i[own], j[own], needed[own])
+    return reached
+
+
+def _reach_in_lanes(one: Side, other: Side, i: np.ndarray, j: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """A look finds, word by word, how many matches an alignment that has come so far in both strings can end with.
+
+    Words that none can be in any more are left behind, with their matches kept in `behind`.
+    """
+    lane, reached = np.arange(len(i)), np.zeros(len(i), bool)
+    n, m, base = one.lengths[i], other.lengths[j], i * (one.size + 1)
+    words, last, low = int(n.max()) // WORD + 1, int(m.max()), 0
+    rows = np.full((words, len(lane)), FULL_WORD, np.uint64)
+    behind, left = (np.zeros(len(lane), np.int64) for _ in range(2))
+    for start in range(0, last, LOOK_EVERY):
+        end = min(start + LOOK_EVERY, last)
+        high = min((end - 1 + max(int((n - needed - left).max()), 0)) // WORD, words - 1)
+        place, hit, total, carry = (np.empty(len(lane), t) for t in (np.int64, np.uint64, np.uint64, np.uint64))
+        for column in other.columns[start:end]:
+            np.add(base, column[j], out=place)
+            carry.fill(0)
+            for w in range(low, high + 1):
+                row = rows[w]
+                # With the default mode numpy takes into a buffer first.
+                np.take(one.masks[w], place, out=hit, mode="clip")
+                np.bitwise_and(hit, row, out=hit)
+                np.add(row, hit, out=total)
+                np.add(total, carry, out=total)
+                np.right_shift(total, WORD, out=carry)
+                np.bitwise_and(total, FULL_WORD, out=total)
+                np.bitwise_xor(row, hit, out=row)
+                np.bitwise_or(row, total, out=row)
+        matched = behind + np.cumsum(WORD - np.bitwise_count(rows[low : high + 1]).astype(np.int64), axis=0)
+        left = np.minimum(m, end) - matched[-1]
+        begins = WORD * np.arange(low, high + 1)[:, None]
+        may = matched + np.minimum(n - begins, np.maximum(m - end, 0)) >= needed
+        alive = may.any(axis=0)
+        if not alive.any():
+            return reached
+        passed = int(may[:, alive].argmax(axis=0).min())
+        if passed:
+            low, behind = low + passed, matched[passed - 1]
+        if end == last:
+            reached[lane[matched[-1] >= needed]] = True
+        elif alive.mean() < 0.9:
+            lane, j, n, m, base, needed, left, behind = (v[alive] for v in (lane, j, n, m, base, needed, left, behind))
+            rows = np.ascontiguousarray(rows[:, alive])
+    return reached
+
+
 def _closest_by_end(needle: str, text: str) -> Iterator[int]:
     """For each end position in the text, the least edit distance of the needle to any substring
     ending there: one bit-vector pass (Myers 1999). It never exceeds the indel distance."""

@@ -7,7 +7,8 @@ signature is an equi-join key; no pair without a common segment is ever looked a
 
 The segment places of a string grow with the cube of its length, and no signature of a long one tells texts of
 one language apart. Pairs whose shorter string exceeds `LONG_KEY` characters are compared block by block instead:
-each pair of a run whose lengths allow it once, by bit sketches and counts of grams, so that few reach the LCS.
+each pair of a run whose lengths allow it once, by counts of characters and then by an LCS of many pairs at a time
+that drops a pair as soon as it can't succeed.
 
 Leaders are the lexicographically first maximal independent set of the similarity graph, found in
 parallel rounds (Blelloch, Fineman, Shun 2012) instead of one sequential pass.
@@ -16,6 +17,7 @@ parallel rounds (Blelloch, Fineman, Shun 2012) instead of one sequential pass.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundset.functions.similarity import is_similar, max_distance, may_be_similar, reaches_lcs
+from groundset.functions.similarity import PAIRS_AT_ONCE, Side, is_similar, max_distance, may_be_similar, reach_lcs, reaches_lcs
 from groundset.operators.skew import with_prefix
 from groundset.session import cut_lineage
 
@@ -35,13 +37,15 @@ MERGE_THRESHOLD = 90
 # Comparisons one task may take on for one signature before the signature is salted.
 HOT_PAIRS = 4_000_000
 # Length of the shorter string beyond which pairs are compared block by block, and the most rows and characters of a block.
-LONG_KEY, BLOCK, BLOCK_CHARS = 48, 4096, 250_000
+LONG_KEY, BLOCK, BLOCK_CHARS = 48, 4096, 1_000_000
 # Size of a gram that is a signature.
 GRAM = 2
-#: Sizes of the grams that long keys are counted by, each with the counters its grams are dealt to.
-GRAM_COUNTERS = ((1, 64), (2, 512), (3, 2048))
-#: Counters compared at a time, and rows whose sketches are compared with a block, so that a task's arrays stay small.
-AT_ONCE, ROWS_AT_ONCE = 4_000_000, 64
+#: Characters told apart in a block; further ones share their counters, which only makes bounds weaker.
+ALPHABET = 128
+#: Levels of character counts and rows of a block that are compared at a time, so that a task's arrays stay small.
+LEVELS, ROWS_AT_ONCE = 4096, 512
+#: Tasks of block pairs for each shuffle partition: pairs of blocks differ in work.
+TASKS_EACH = 4
 PEEL_ROUNDS = 8
 #: Strings of a run whose leaders are found first; each later wave has as many as all before it.
 WAVE = 16_384
@@ -72,10 +76,10 @@ def _signature(length: Column, i: Column, piece: Column) -> Column:
     return F.xxhash64("run_id", length, i, piece)
 
 
-def _with_sketch(strings: DataFrame) -> DataFrame:
+def _with_sketch(strings: DataFrame, wanted: Column) -> DataFrame:
     """Add a 64-bit parity sketch of (character, occurrence): each edit flips one bit, so the bit
-    difference of two strings never exceeds their distance."""
-    df = strings.withColumn("_chars", F.array_sort(F.filter(F.split("s", ""), lambda c: c != "")))
+    difference of two strings never exceeds their distance. Null where it is not `wanted`."""
+    df = strings.withColumn("_chars", F.array_sort(F.filter(F.split(F.when(wanted, F.col("s")), ""), lambda c: c != "")))
     bits = F.transform(
         "_chars",
         lambda c, i: F.call_function(
@@ -238,102 +242,113 @@ def _candidates(earlier: DataFrame, later: DataFrame, threshold: int) -> DataFra
     return found[0].unionByName(found[1]).distinct()
 
 
-def _gram_counts(strings: list[str], size: int, counters: int) -> np.ndarray:
-    """Per string, how many of its grams fall on each counter."""
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(len(codes) - size + 1, 0)
-    mixed = np.zeros(n, np.uint64)
-    for k in range(size):
-        mixed = (mixed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    row = np.repeat(np.arange(len(strings)), lengths)
-    # A gram that runs into the next string is none.
-    own = row[:n] == row[size - 1 : size - 1 + n]
-    place = row[:n][own] * counters + (mixed[own] % np.uint64(counters)).astype(np.int64)
-    return np.bincount(place, minlength=len(strings) * counters).reshape(len(strings), counters).astype(np.int32)
+def _alphabet(one: list[str], other: list[str]) -> tuple[list[np.ndarray], int, bool]:
+    """Both sides' characters as numbers below the size given next, and whether each number is one character."""
+    flat = [np.frombuffer("".join(s).encode("utf-32-le", "surrogatepass"), np.uint32) for s in (one, other)]
+    known = np.unique(np.concatenate(flat))
+    numbers = [(np.searchsorted(known, f) % ALPHABET).astype(np.int64) for f in flat]
+    return numbers, min(len(known), ALPHABET), len(known) <= ALPHABET
 
 
-def _gram_bits(strings: list[str]) -> np.ndarray:
-    """Per string, which of the counters of its grams are odd, in words of 64 bits."""
-    return np.packbits(_gram_counts(strings, GRAM, 256) % 2 == 1, axis=1).view(np.uint64)
+def _levels(counts: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """Per row of counts a 1 for every level reached, up to the top of each column: the product of two rows is the sum of their lesser counts."""
+    column = np.repeat(np.arange(len(tops)), tops)
+    level = np.arange(len(column)) - np.repeat(np.cumsum(tops) - tops, tops) + 1
+    return (counts[:, column] >= level).astype(np.float32)
 
 
-def _similar_in_blocks(one: pa.Table, other: pa.Table, same: bool, threshold: int) -> list[tuple[int, int]]:
-    """Similar pairs of rows (idx, len, sketch, s) of two blocks, or of one block with itself.
+def _by_counts(counts: list[np.ndarray], lengths: list[np.ndarray], same: bool, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, both sides sorted by length, whose lengths and counts of characters allow the threshold.
 
-    Strings within d edits differ in at most d bits of the sketch, and an edit takes at most q grams of size q out
-    and puts q - 1 in, or the other way round: the counts differ by (2q - 1) d at most, and so do their odd ones.
-    What no bound excludes is scored.
+    An LCS takes a character as often as the string that has fewer of it. Counts beyond the top level are added whole.
     """
-    one, other = (t.sort_by("len") for t in (one, other))
-    names, strings = ([t[c].to_pylist() for t in (one, other)] for c in ("idx", "s"))
-    lengths, prints = ([t[c].to_numpy().astype(np.int64, copy=False) for t in (one, other)] for c in ("len", "sketch"))
-    bits = [p.view(np.uint64) for p in prints]
     low = np.searchsorted(lengths[1], -(-lengths[0] * threshold // (200 - threshold)))
     high = np.searchsorted(lengths[1], lengths[0] * (200 - threshold) // threshold, "right")
     if not (low < high).any():
-        return []
-    odd = [_gram_bits(s) for s in strings]
-    left, right = [], []
+        return
+    most = np.minimum(*[c.max(axis=0) for c in counts])
+    top = next((t for t in (1 << k for k in range(31, 5, -1)) if np.minimum(most, t).sum() <= LEVELS), LEVELS // ALPHABET)
+    levels = [_levels(c, np.minimum(most, top)) for c in counts]
+    beyond = [np.maximum(c - top, 0).sum(axis=1).astype(np.float32) for c in counts]
+    # Rounded sums are off by far less than what is taken off here.
+    needed = [threshold * n / 200 - 0.001 for n in lengths]
     for at in range(0, len(low), ROWS_AT_ONCE):
         mine = slice(at, at + ROWS_AT_ONCE)
-        a, b = int(low[mine].min()), int(high[mine].max())
-        a = max(a, at + 1) if same else a
-        if a >= b:
-            continue
-        most = int((lengths[0][mine].max() + lengths[1][b - 1]) * (100 - threshold) // 100)
-        i, j = np.nonzero(np.bitwise_count(bits[1][a:b] ^ bits[0][mine, None]) <= most)
-        i, j = i + at, j + a
-        edits = (lengths[0][i] + lengths[1][j]) * (100 - threshold) // 100
-        kept = (np.bitwise_count(bits[1][j] ^ bits[0][i]) <= edits) & (low[i] <= j) & (j < high[i])
-        kept &= (np.bitwise_count(odd[1][j] ^ odd[0][i]).sum(axis=1) <= (2 * GRAM - 1) * edits) & ((i < j) | (not same))
-        left.append(i[kept])
-        right.append(j[kept])
-    i, j = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (left, right))
-    for size, counters in GRAM_COUNTERS if len(i) else ():
-        counts = [_gram_counts(s, size, counters) for s in strings]
-        step, kept = max(AT_ONCE // counters, 1), []
-        for at in range(0, len(i), step):
-            x, y = i[at : at + step], j[at : at + step]
-            edits = (lengths[0][x] + lengths[1][y]) * (100 - threshold) // 100
-            kept.append(np.abs(counts[1][y] - counts[0][x]).sum(axis=1) <= (2 * size - 1) * edits)
-        kept = np.concatenate(kept) if kept else np.zeros(0, bool)
-        i, j = i[kept], j[kept]
-    found, ends = [], np.flatnonzero(np.diff(i, append=-1)) + 1
-    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
-        k, others = int(i[a]), j[a:b].tolist()
-        close = reaches_lcs(strings[0][k], [strings[1][n] for n in others], threshold)
-        found += [(names[0][k], names[1][n]) for n, yes in zip(others, close, strict=True) if yes]
+        end = int(high[mine].max())
+        for start in range(max(int(low[mine].min()), at + 1 if same else 0), end, ROWS_AT_ONCE):
+            theirs = slice(start, min(start + ROWS_AT_ONCE, end))
+            shared = levels[0][mine] @ levels[1][theirs].T
+            if (most > top).any():
+                shared += np.minimum.outer(beyond[0][mine], beyond[1][theirs])
+            j = np.arange(theirs.start, theirs.stop)
+            met = (shared >= np.add.outer(needed[0][mine], needed[1][theirs])) & (low[mine, None] <= j) & (j < high[mine, None])
+            if same:
+                met &= np.arange(at, at + len(met))[:, None] < j
+            one, other = np.nonzero(met)
+            yield one + at, other + start
+
+
+def _similar_in_blocks(one: pa.Table, other: pa.Table, same: bool, threshold: int) -> list[tuple[int, int]]:
+    """Similar pairs of rows (idx, len, s) of two blocks, or of one block with itself."""
+    one, other = (t.sort_by("len") for t in (one, other))
+    lengths = [t["len"].to_numpy().astype(np.int64) for t in (one, other)]
+    if not len(lengths[0]) or not len(lengths[1]):
+        return []
+    names, strings = ([t[c].to_pylist() for t in (one, other)] for c in ("idx", "s"))
+    numbers, size, exact = _alphabet(*strings)
+    rows = [np.repeat(np.arange(len(n)), n) for n in lengths]
+    counts = [np.bincount(r * size + c, minlength=len(n) * size).reshape(len(n), size) for r, c, n in zip(rows, numbers, lengths, strict=True)]
+    sides = [Side(c, n, size) for c, n in zip(numbers, lengths, strict=True)]
+    found, waiting, held = [], [], 0
+
+    def score() -> None:
+        i, j = (np.concatenate(p) for p in zip(*waiting, strict=True))
+        # The shorter string is read along the longer one: it has fewer characters to spare.
+        turned = lengths[0][i] <= lengths[1][j]
+        close = np.zeros(len(i), bool)
+        for way, (x, y, p, q) in ((~turned, (0, 1, i, j)), (turned, (1, 0, j, i))):
+            close[way] = reach_lcs(sides[x], sides[y], p[way], q[way], threshold)
+        for a, b in zip(i[close].tolist(), j[close].tolist(), strict=True):
+            if exact or reaches_lcs(strings[0][a], [strings[1][b]], threshold)[0]:
+                found.append((names[0][a], names[1][b]))
+
+    for pair in _by_counts(counts, lengths, same, threshold):
+        waiting.append(pair)
+        held += len(pair[0])
+        if held >= PAIRS_AT_ONCE:
+            score()
+            waiting, held = [], 0
+    if held:
+        score()
     return found
 
 
 def _in_blocks(strings: DataFrame, threshold: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Strings longer than LONG_KEY with their class of lengths and block, and the number of blocks of each class."""
     width = max(math.log((200 - threshold) / threshold) / 2, 1e-3)
-    rows = strings.filter(F.col("len") > LONG_KEY).select("run_id", "idx", "len", "sketch", "s")
+    rows = strings.filter(F.col("len") > LONG_KEY).select("run_id", "idx", "len", "s")
     rows = rows.withColumn("class", F.floor(F.log("len") / width).cast("int"))
     needed = F.greatest(F.count(F.lit(1)) / block, F.sum("len") / BLOCK_CHARS)
-    sizes = cut_lineage(rows.groupBy("run_id", "class").agg(F.ceil(needed).cast("int").alias("blocks")))
-    rows = rows.join(sizes, ["run_id", "class"]).withColumn("block", F.pmod(F.xxhash64("idx"), "blocks").cast("int"))
+    sizes = cut_lineage(
+        rows.groupBy("run_id", "class").agg(F.ceil(needed).cast("int").alias("blocks"), F.min("len").alias("least"), F.max("len").alias("most"))
+    )
+    rows = rows.join(sizes.drop("least", "most"), ["run_id", "class"]).withColumn("block", F.pmod(F.xxhash64("idx"), "blocks").cast("int"))
     return rows.drop("blocks"), sizes
 
 
 def _long_pairs(strings: DataFrame, threshold: int, block: int = BLOCK, others: DataFrame | None = None) -> DataFrame:
     """All similar pairs `(run_id, a, b)`, a < b, of strings longer than LONG_KEY: of each other, or of `others`.
 
-    Rows of a run fall into length classes, so wide that a partner is in the same class or one of the next two, and
-    within a class into blocks of about `block` rows, fewer if they are long. Each pair of blocks is one group: its rows are
-    bounded however large the run is, and no key or gram decides where a row goes. The work still grows with the
-    square of a run.
+    Rows of a run fall into length classes, and within a class into blocks of about `block` rows, fewer if they are long.
+    Each pair of blocks whose lengths allow a partner is one group: its rows are bounded however large the run is, and
+    no key or gram decides where a row goes. The work still grows with the square of a run.
     """
     rows, sizes = _in_blocks(strings, threshold, block)
     other_rows, other_sizes = (rows, sizes) if others is None else _in_blocks(others, threshold, block)
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ours = sizes.select("run_id", F.col("class"), each.alias("block"))
-    theirs = other_sizes.select("run_id", F.col("class").alias("class2"), each.alias("block2"))
-    # One class more than the widths ask for, as logarithms are rounded.
-    met = F.col("class2").between(F.col("class") - 3, F.col("class") + 3)
+    ours = sizes.select("run_id", "class", "least", "most", each.alias("block"))
+    theirs = other_sizes.select("run_id", *[F.col(c).alias(f"{c}2") for c in ("class", "least", "most")], each.alias("block2"))
+    met = (F.col("least2") <= _longest_partner(F.col("most"), threshold)) & (F.col("least") <= _longest_partner(F.col("most2"), threshold))
     if others is None:
         met &= (F.col("class") < F.col("class2")) | ((F.col("class") == F.col("class2")) & (F.col("block") <= F.col("block2")))
     met = ours.join(theirs, "run_id").filter(met)
@@ -358,7 +373,7 @@ def _long_pairs(strings: DataFrame, threshold: int, block: int = BLOCK, others:
         return pa.table([run, *ends], names=["run_id", "a", "b"])
 
     # Named here, as a few MB of groups can be hours of work and would be put together.
-    tasks = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = TASKS_EACH * int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(tasks, "run_id", "pair").groupBy("run_id", "pair").applyInArrow(compare, schema)
 
 
@@ -372,15 +387,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     return close.filter(is_similar(F.col("sa"), F.col("sb"), threshold)).select("run_id", "a", "b")
 
 
-def _distinct_strings(nodes: DataFrame) -> DataFrame:
-    """Equal strings share their first position: similarity only looks at the string."""
+def _distinct_strings(nodes: DataFrame, threshold: int = MERGE_THRESHOLD) -> DataFrame:
+    """Equal strings share their first position: similarity only looks at the string.
+
+    Only partners of short keys have postings and need a sketch; its cost grows with the square of a length.
+    """
     firsts = nodes.filter(F.length("s") > 0).groupBy("run_id", "s").agg(F.min("idx").alias("idx"))
-    return cut_lineage(_with_sketch(firsts.withColumn("len", F.length("s"))))
+    return cut_lineage(_with_sketch(firsts.withColumn("len", F.length("s")), _shortest_partner(F.col("len"), threshold) <= LONG_KEY))
 
 
 def similar_pairs(nodes: DataFrame, threshold: int = MERGE_THRESHOLD, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """All similar pairs `(run_id, a, b)`, a < b, over the distinct strings of `(run_id, idx, s)`."""
-    strings = _distinct_strings(nodes)
+    strings = _distinct_strings(nodes, threshold)
     postings = cut_lineage(_postings(strings, threshold, hot_pairs))
     short = _verified(_candidates(postings, postings, threshold), strings, threshold)
     return short.unionByName(_long_pairs(strings, threshold))
@@ -520,7 +538,7 @@ def leaders_of(
     Taken in order of `idx`, a node leads unless an earlier leader is similar; an absorbed node
     belongs to its earliest similar leader. Nodes with an empty string stay alone.
     """
-    strings = _distinct_strings(nodes)
+    strings = _distinct_strings(nodes, threshold)
     tops = _union(_tops(strings, threshold, hot_pairs, peel_rounds, wave))
     by_string = strings.join(tops, ["run_id", "idx"]).select("run_id", "s", "top")
     first = strings.select("run_id", "s", F.col("idx").alias("first"))
